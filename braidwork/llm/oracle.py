@@ -44,3 +44,28 @@ from counted, n
 
 ORACLE["p3_terms"] = _TERMS
 ORACLE["p3_found"] = f"select term, mark from ({_TERMS}) where mark is not null"
+
+_SPANS = """
+with reads as (
+  select read_key, replace(regexp_replace(upper(seq), '[^ACGTU]', 'N', 'g'), 'U', 'T') as s from seq_reads where length(seq) >= 80
+), windows as (
+  select read_key, unnest(range(0, length(s) - 79)) as pos, unnest([s[i:i+79] for i in range(1, length(s) - 78)]) as w from reads
+), shared as (
+  select w from windows where not contains(w, 'N') group by w having count(distinct read_key) > 1
+), places as (
+  select read_key, pos, case when pos <= lag(pos) over (partition by read_key order by pos) + 80 then 0 else 1 end as new
+  from windows semi join shared using (w)
+), spans as (
+  select read_key, pos, sum(new) over (partition by read_key order by pos) as nth from places
+)
+select read_key, min(pos) as span_start, max(pos) + 80 as span_end from spans group by read_key, nth
+"""
+ORACLE["p5_found"] = _SPANS
+ORACLE["p5_cover"] = f"""
+select r.read_key, coalesce(length(r.seq), 0) as n_letters, coalesce(t.n_spans, 0) as n_spans,
+  coalesce(t.shared_letters, 0) as shared_letters,
+  case when length(r.seq) > 0 then round(coalesce(t.shared_letters, 0) / length(r.seq), 6) else 0.0 end as shared_part
+from seq_reads r left join (
+  select read_key, count(*) as n_spans, cast(sum(span_end - span_start) as bigint) as shared_letters from ({_SPANS}) group by read_key
+) t using (read_key)
+"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from braidwork.llm import oracle, runs, terms
+from braidwork.llm import near, oracle, runs, spans, terms
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,8 +31,34 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_terms(spark, sf).where("mark is not null").select("term", "mark")
 
 
+def _near(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, str, tuple[DataFrame, DataFrame]]]:
+    reads, cons = _table(spark, sf, "seq_reads"), _table(spark, sf, "consensus")
+    return {
+        "read": (reads, "read_key", near.near_sequences(reads, "read_key", "seq")),
+        "cons": (cons, "cons_key", near.near_lists(cons, "cons_key", "group_id", "clu_read_ids")),
+    }
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    one, two = (near.expanded(*x).select(F.lit(kind).alias("kind"), "key_a", "key_b") for kind, (_, _, x) in _near(spark, sf).items())
+    return one.unionByName(two)
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    one, two = (near.classes(t, key, *x).withColumn("kind", F.lit(kind)) for kind, (t, key, x) in _near(spark, sf).items())
+    return one.unionByName(two)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, sf, "seq_reads"), "read_key", "seq")
+
+
+def p5_cover(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_cover(_table(spark, sf, "seq_reads"), "read_key", "seq")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p3_found, p3_terms)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_classes, p3_found, p3_terms, p5_found, p5_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
