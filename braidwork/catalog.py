@@ -5,14 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidwork.operators import reject
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/seq_reads.parquet").groupBy("group_id").count()
 
 
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return reject.parse_lines(_table(spark, sf, "raw_records"), "raw_id", "source_file", "line_no", "rec_format", "raw_line")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reject.rejected(_parsed(spark, sf)).select(F.col("key").alias("raw_id"), "reason")
+
+
+def p4_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return reject.accepted(_parsed(spark, sf)).select(F.col("key").alias("raw_id"), "kind", "read_id", "name", "comment", "seq", "qual", F.array_join("tags", "\t").alias("tags"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p4_found, p4_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
