@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import near, oracle, runs, spans, terms
+from braidwork.llm import near, oracle, residue, runs, spans, terms
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,8 +57,16 @@ def p5_cover(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_cover(_table(spark, sf, "seq_reads"), "read_key", "seq")
 
 
+def p8_residue(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_residue(spark, sf).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_classes, p3_found, p3_terms, p5_found, p5_cover)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_classes, p3_found, p3_terms, p5_found, p5_cover, p8_found, p8_residue)}
 
 
 def oracle_sql() -> dict[str, str]:
