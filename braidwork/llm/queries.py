@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import near, oracle, residue, runs, spans, terms
+from braidwork.llm import mixing, near, oracle, packing, residue, runs, spans, terms, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,6 +57,33 @@ def p5_cover(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_cover(_table(spark, sf, "seq_reads"), "read_key", "seq")
 
 
+def _sizes(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return tokens.token_sizes(_table(spark, sf, "documents").select(*columns, "text"))
+
+
+def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    specs = {r.spec_id: r.capacity_tokens for r in _table(spark, sf, "pack_specs").collect()}  # the specs to run, a few rows
+    return packing.pack_all(_sizes(spark, sf, "doc_id"), "doc_id", "tokens", specs, tokens.TOKENIZER)
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    used = p6_assignment(spark, sf).groupBy("spec_id", "capacity_tokens", "tokenizer").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    return used.withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def _targets(spark: SparkSession, sf: str) -> dict[str, tuple[float, int]]:
+    return {r.source.strip().lower(): (r.target_share, r.max_repeats) for r in _table(spark, sf, "mix_targets").collect()}  # the setting, a row for each source
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(_sizes(spark, sf, "doc_id", "source"), "doc_id", "source", "tokens", _targets(spark, sf))
+    return mixed.withColumn("tokenizer", F.lit(tokens.TOKENIZER))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, sf), _targets(spark, sf))
+
+
 def p8_residue(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(_table(spark, sf, "documents"), "doc_id", "text")
 
@@ -66,7 +93,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_classes, p3_found, p3_terms, p5_found, p5_cover, p8_found, p8_residue)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_classes, p3_found, p3_terms, p5_found, p5_cover, p6_assignment, p6_fill, p7_mix, p7_shares, p8_found, p8_residue)}
 
 
 def oracle_sql() -> dict[str, str]:
