@@ -37,32 +37,66 @@ def plain_source(column: str) -> Column:
     return F.lower(F.trim(F.col(f"`{column}`")))
 
 
-def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
-    """Moves the chances of a block along the null space of (size, 1) until at most two lie between 0 and 1."""
-    rng, p = random.Random(seed), list(chance)
+def _fly_class(size: list[int], p: list[float], members: range, rng: random.Random) -> list[int]:
+    """Moves the chances of the members until at most two lie between 0 and 1; these come back."""
     open_: list[int] = []
-    for i in range(len(p)):
+    for i in members:
         if not 0 < p[i] < 1:
             continue
         open_.append(i)
         while len(open_) == 3 or len(open_) == 2 and size[open_[0]] == size[open_[1]]:
-            if len(open_) == 2 or size[open_[0]] == size[open_[1]]:
+            a, b, c = (*(size[j] for j in open_), None)[:3]
+            if a == b:
                 move = [(open_[0], 1.0), (open_[1], -1.0)]
-            elif size[open_[1]] == size[open_[2]]:
+            elif b == c:
                 move = [(open_[1], 1.0), (open_[2], -1.0)]
-            elif size[open_[0]] == size[open_[2]]:
+            elif a == c:
                 move = [(open_[0], 1.0), (open_[2], -1.0)]
             else:
-                a, b, c = (size[j] for j in open_)
                 most = max(abs(b - c), abs(c - a), abs(a - b))
                 move = list(zip(open_, ((b - c) / most, (c - a) / most, (a - b) / most)))
-            up = min((1 - p[j]) / u if u > 0 else p[j] / -u for j, u in move)
-            down = min(p[j] / u if u > 0 else (1 - p[j]) / -u for j, u in move)
+            up = min((1 - p[j]) / u if u > 0 else p[j] / -u for j, u in move if u)
+            down = min(p[j] / u if u > 0 else (1 - p[j]) / -u for j, u in move if u)
             step = up if rng.random() * (up + down) < down else -down
             for j, u in move:
                 x = p[j] + step * u
                 p[j] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
             open_ = [j for j in open_ if 0 < p[j] < 1]
+    return open_
+
+
+def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
+    """Moves the chances of a block, longest first, along the null space of (size, 1) until at most two are open.
+
+    Sizes that differ by less than a factor of two fly together. What a class
+    leaves open is rounded at random, and the shorter classes take over what
+    that shifts: their chances move by a line in the size that restores both
+    totals. So a long document never stays open to the end.
+    """
+    rng, p, n = random.Random(seed), list(chance), len(chance)
+    at = 0
+    while at < n:
+        to = at + 1
+        while to < n and 2 * size[to] > size[at]:
+            to += 1
+        left = _fly_class(size, p, range(at, to), rng)
+        rest = [i for i in range(to, n) if 0 < p[i] < 1]
+        if rest and left:
+            tokens = docs = 0.0
+            for i in left:
+                x = float(rng.random() < p[i])
+                tokens, docs, p[i] = tokens + (p[i] - x) * size[i], docs + p[i] - x, x
+            for _ in range(8):  # again for what the bounds hold back
+                rest = [i for i in rest if 0 < p[i] < 1]
+                if not rest or abs(tokens) < 1e-6:
+                    break
+                one, t, tt = float(len(rest)), float(sum(size[i] for i in rest)), float(sum(size[i] ** 2 for i in rest))
+                det = one * tt - t * t
+                a, b = ((docs * tt - tokens * t) / det, (tokens * one - docs * t) / det) if det > 1e-9 * tt * one else (tokens / t, 0.0)
+                for i in rest:
+                    x = min(1.0, max(0.0, p[i] + a + b * size[i]))
+                    tokens, docs, p[i] = tokens - (x - p[i]) * size[i], docs - (x - p[i]), x
+        at = to
     return p
 
 
