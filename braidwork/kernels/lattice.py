@@ -240,3 +240,19 @@ class Lattice:
 
     def n_columns(self) -> int:
         return self.ranks()[SINK] - 1
+
+    def walk(self) -> list[int]:
+        """Breadth first by edges alone; the order of a written graph."""
+        degree = [len(x) for x in self.into]
+        queue, out = deque([SOURCE]), []
+        while queue:
+            x = queue.popleft()
+            if x == SINK:
+                break
+            if x != SOURCE:
+                out.append(x)
+            for y in self.out[x]:
+                degree[y] -= 1
+                if degree[y] == 0:
+                    queue.append(y)
+        return out
