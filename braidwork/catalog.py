@@ -4,35 +4,375 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.operators import reject
+from braidwork import catalog_sql
+from braidwork.functions import sequences as S
+from braidwork.kernels.params import Params
+from braidwork.operators import columns, poa, reject, sketch
+from braidwork.plans.lineage import written
+from braidwork.sources import fastx, gfa
+from braidwork.streaming import incremental
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/seq_reads.parquet").groupBy("group_id").count()
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Of rows delivered more than once the first; rows without a sequence are left out."""
+    rows = _table(spark, sf, "seq_reads").where("seq is not null and seq <> ''")
+    kept = rows.groupBy("group_id", "read_id").agg(F.min_by(F.struct("name", "seq", "qual"), "read_key").alias("x"))
+    return kept.select("group_id", "read_id", "x.*")
+
+
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.padded(reads(spark, sf))
+
+
+# Lines of files ------------------------------------------------------------------------
+
+
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return reject.parse_lines(_table(spark, sf, "raw_records"), "raw_id", "source_file", "line_no", "rec_format", "raw_line")
 
 
+@query
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return reject.rejected(_parsed(spark, sf)).select(F.col("key").alias("raw_id"), "reason")
 
 
+@query
 def p4_rows(spark: SparkSession, sf: str) -> DataFrame:
     return reject.accepted(_parsed(spark, sf)).select(F.col("key").alias("raw_id"), "kind", "read_id", "name", "comment", "seq", "qual", F.array_join("tags", "\t").alias("tags"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_rows)}
+@query
+def fasta_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Each read written as a record and read again."""
+    text = reads(spark, sf).select("group_id", F.concat(F.lit(">"), "name", F.lit(" x\n"), "seq").alias("text"))
+    return fastx.parse_fasta(text, "text", "group_id").select("group_id", "name", "seq")
+
+
+# Expressions ---------------------------------------------------------------------------
+
+
+@query
+def residue_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return reads(spark, sf).select("group_id", "read_id", S.encode("seq").alias("codes")).withColumn("letters", S.decode("codes"))
+
+
+@query
+def reverse_complements(spark: SparkSession, sf: str) -> DataFrame:
+    return reads(spark, sf).select("group_id", "read_id", S.reverse_complement("seq").alias("seq"))
+
+
+@query
+def quality_weights(spark: SparkSession, sf: str) -> DataFrame:
+    w = reads(spark, sf).where("qual <> ''").select("group_id", "read_id", S.quality_weights("qual").alias("w"))
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x)
+    return w.select("group_id", "read_id", F.size("w").cast("long").alias("n"), total.alias("total"), F.array_min("w").cast("long").alias("low"))
+
+
+@query
+def score_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    p = Params()
+    s = p.scores()
+    rows = [(a, b, int(s[i, j])) for i, a in enumerate(p.letters) for j, b in enumerate(p.letters)]
+    return spark.createDataFrame(rows, "a string, b string, score long")
+
+
+@query
+def gap_costs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(1, 201).select(F.col("id").alias("n"), S.gap_cost("id", Params()).alias("cost"))
+
+
+@query
+def length_order(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("group_id").orderBy(F.desc(F.length("seq")), "read_id")
+    return reads(spark, sf).select("group_id", "read_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+# Words and minimisers ------------------------------------------------------------------
+
+
+@query
+def word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    w = sketch.words(reads(spark, sf), ["group_id", "read_id"], "seq", 19)
+    each = w.groupBy("group_id", "word", "read_id").agg(F.count("*").alias("n"))
+    return each.groupBy("group_id", "word").agg(F.sum("n").alias("n"), F.count("*").alias("reads"))
+
+
+@query
+def word_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    w = sketch.words(reads(spark, sf), ["group_id", "read_id"], "seq", 19)
+    h = w.select("group_id", "read_id", S.hash_word(S.word_code("word"), 38).alias("h"))
+    return h.groupBy("group_id", "read_id").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), F.bit_xor("h").alias("mixed"))
+
+
+def _minis(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.minimisers(reads(spark, sf))
+
+
+@query
+def minimisers(spark: SparkSession, sf: str) -> DataFrame:
+    return _minis(spark, sf).select("group_id", "read_id", "hash", "last")
+
+
+@query
+def shared_minimisers(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.shared(_minis(spark, sf))
+
+
+@query
+def minimiser_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.jaccard(_minis(spark, sf))
+
+
+@query
+def guide_first_pair(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.first_pair(sketch.jaccard(_minis(spark, sf)))
+
+
+def _anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.anchors(_minis(spark, sf), reads(spark, sf), Params().k)
+
+
+@query
+def anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return _anchors(spark, sf).drop("strand")
+
+
+@query
+def chain_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.chain_pairs(_anchors(spark, sf), Params().k).drop("strand").withColumn("score", F.col("score").cast("long"))
+
+
+# Aligned rows --------------------------------------------------------------------------
+
+
+@query
+def msa_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.cells(_rows(spark, sf))
+
+
+@query
+def column_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.depth(_rows(spark, sf))
+
+
+@query
+def most_frequent(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.voted_consensus(_rows(spark, sf))
+
+
+@query
+def phred_scores(spark: SparkSession, sf: str) -> DataFrame:
+    v = columns.votes(_rows(spark, sf))
+    return v.select("group_id", "col", "cov", "n", S.phred("cov", "n").cast("long").alias("phred"))
+
+
+@query
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.edges(_rows(spark, sf))
+
+
+@query
+def edge_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.edge_reads(_rows(spark, sf))
+
+
+@query
+def node_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.node_weights(columns.edges(_rows(spark, sf)))
+
+
+@query
+def path_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.path_scores(columns.edges(_rows(spark, sf)))
+
+
+@query
+def het_sites(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.sites(_rows(spark, sf))
+
+
+@query
+def het_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.profiles(_rows(spark, sf))
+
+
+@query
+def het_priority(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.priorities(columns.profiles(_rows(spark, sf)))
+
+
+@query
+def read_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.distances(_rows(spark, sf))
+
+
+@query
+def farthest_pair(spark: SparkSession, sf: str) -> DataFrame:
+    return columns.farthest(columns.distances(_rows(spark, sf)))
+
+
+def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _rows(spark, sf)
+    d = written(columns.distances(rows), "distances")  # read three times
+    return rows, d, columns.assign(rows, d, columns.farthest(d))
+
+
+@query
+def cluster_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf)[2]
+
+
+@query
+def cluster_medoids(spark: SparkSession, sf: str) -> DataFrame:
+    _, d, clusters = _assigned(spark, sf)
+    return columns.medoids(d, clusters)
+
+
+@query
+def cluster_cover(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _, clusters = _assigned(spark, sf)
+    return columns.cluster_cover(rows, clusters)
+
+
+@query
+def aligned_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows taken apart into cells and put together again."""
+    rows = _rows(spark, sf)
+    widths = rows.groupBy("group_id").agg(F.max(F.length("aligned")).alias("width"))
+    return columns.rows_of(columns.cells(rows), widths)
+
+
+
+def _gfa_ids(rows: DataFrame) -> DataFrame:
+    nodes = columns.cells(rows).select("group_id", "col", "base").distinct()
+    nth = F.dense_rank().over(Window.partitionBy("group_id").orderBy("col", "base"))
+    return nodes.select("group_id", "col", "base", nth.cast("string").alias("id"), F.concat(F.col("col").cast("string"), "base").alias("node"))
+
+
+@query
+def gfa_segments_of_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _gfa_ids(_rows(spark, sf)).select("group_id", F.concat(F.lit("S\t"), "id", F.lit("\t"), "base").alias("line"))
+
+
+@query
+def gfa_links_of_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _rows(spark, sf)
+    side = lambda x: _gfa_ids(rows).select("group_id", F.col("node").alias(f"{x}_node"), F.col("id").alias(f"{x}_id"))
+    e = columns.edges(rows).join(side("from"), ["group_id", "from_node"]).join(side("to"), ["group_id", "to_node"])
+    return e.select("group_id", F.concat(F.lit("L\t"), "from_id", F.lit("\t+\t"), "to_id", F.lit("\t+\t0M")).alias("line"))
+
+
+@query
+def gfa_paths_of_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _rows(spark, sf)
+    steps = columns.cells(rows).join(_gfa_ids(rows).select("group_id", "col", "base", "id"), ["group_id", "col", "base"])
+    way = steps.groupBy("group_id", "read_id").agg(F.sort_array(F.collect_list(F.struct("col", "id"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda s: F.concat(s.id, F.lit("+"))), ",")
+    return way.select("group_id", F.concat(F.lit("P\t"), (F.col("read_id") + 1).cast("string"), F.lit("\t"), text, F.lit("\t*")).alias("line"))
+
+
+@query
+def gfa_path_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The segments of each graph as S lines and one path, parsed and joined."""
+    t = _table(spark, sf, "gfa_segments").select("group_id", F.trim("name").alias("name"), "seq", "seg_key").where("name <> '' and seq is not null and seq <> ''")
+    first = t.groupBy("group_id", "name").agg(F.min_by("seq", "seg_key").alias("seq"))
+    s_lines = first.select("group_id", F.concat(F.lit("S\t"), "name", F.lit("\t"), S.residues("seq")).alias("line"))
+    names = first.groupBy("group_id").agg(F.sort_array(F.collect_list("name")).alias("n"))
+    p_lines = names.select("group_id", F.concat(F.lit("P\tall\t"), F.array_join(F.transform("n", lambda x: F.concat(x, F.lit("+"))), ","), F.lit("\t*")).alias("line"))
+    lines = s_lines.unionByName(p_lines)
+    out = gfa.walked(gfa.segments(lines, "line", "group_id"), gfa.path_steps(lines, "line", "group_id"), "group_id")
+    return out.select("group_id", F.col("at").cast("long").alias("at"), "name", "next_name", "seq")
+
+
+# Graphs: sequential kernels, without SQL ----------------------------------------------------
+
+
+def _poa(spark: SparkSession, sf: str, params: Params = Params(), parts: tuple[str, ...] = ("consensus",)) -> DataFrame:
+    return poa.poa(reads(spark, sf), params, parts)
+
+
+def _consensus(result: DataFrame) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return poa.part(result, "consensus").select("group_id", "cons_id", "seq", "len", text("cov"), "qual", text("clu_read_ids"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus(_poa(spark, sf))
+
+
+@query
+def poa_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return flagship(spark, sf)
+
+
+def _variant(name: str, **changes) -> None:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return _consensus(_poa(spark, sf, Params(**changes)))
+
+    f.__name__ = name
+    query(f)
+
+
+_variant("poa_frequent", consensus="frequent")
+_variant("poa_linear", gap_open=(0, 0))
+_variant("poa_affine", gap_open=(4, 0))
+_variant("poa_local", mode="local")
+_variant("poa_extend", mode="extend", zdrop=100)
+_variant("poa_strand", both_strands=True)
+_variant("poa_quality", use_quality=True)
+_variant("poa_clusters", max_consensus=2)
+_variant("poa_progressive", progressive=True)
+_variant("poa_seeded", seeding=True, k=11, w=5, min_window=50)
+_variant("poa_longest_first", longest_first=True)
+
+
+@query
+def poa_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return poa.part(_poa(spark, sf, parts=("msa",)), "msa")
+
+
+@query
+def poa_graph_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return poa.gfa_lines(_poa(spark, sf, parts=("graph", "consensus")), with_consensus=True)
+
+
+@query
+def poa_drawing(spark: SparkSession, sf: str) -> DataFrame:
+    return poa.dot_lines(_poa(spark, sf, parts=("graph",)))
+
+
+@query
+def heaviest_of_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The heaviest path of graphs restored from aligned rows."""
+    return _consensus(poa.from_aligned(_rows(spark, sf), parts=("consensus",)))
+
+
+@query
+def poa_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of a group added in two parts, the graph kept between them."""
+    r = reads(spark, sf)
+    first = incremental.add(None, r.where("read_id % 2 = 0"))
+    return _consensus(incremental.finish(incremental.add(first, r.where("read_id % 2 = 1"))))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog_sql.ORACLE)
