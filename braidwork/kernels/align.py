@@ -1,9 +1,10 @@
-"""Alignment of a sequence to a part of a graph, by rows over the read.
+"""Alignment of a sequence to a part of a graph, by blocks of rows over the read.
 
-A row belongs to a node and spans the band of read positions worth a look;
-rows of one cost piece or two are held together, so a row takes about twenty
-array operations whatever its length. Rows lie in one block of which only the
-banded cells are ever touched.
+A row belongs to a node and spans the band of read positions worth a look.
+Consecutive rows that do not need one another form a block and are computed
+together, all cost pieces at once, so a block takes some thirty array
+operations whatever its size. Only banded cells are kept, with a sentinel on
+either side of each row that stands for all cells outside.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from braidwork.kernels.lattice import SINK, SOURCE, Lattice
 from braidwork.kernels.params import Gap, Mode, Params
 
 NEG = -(1 << 28)
+BLOCK = 256  # rows computed together at most
 _LOW = NEG // 2
 
 
@@ -69,23 +71,25 @@ class _Job:
                     live[y] = 1
         self.live = live
         self.row_of = {x: i - first for i, x in enumerate(graph.node_at[first:last], first) if live[x]}
-        self.pre = {}
-        for x in self.row_of:
+        self.pre: list[list[tuple[int, int]]] = [[] for _ in range(last - first)]
+        for x, row in self.row_of.items():
             if x != begin:
-                at = [(self.row_of[a], k) for k, a in enumerate(graph.into[x]) if a in self.row_of]
                 costs = path_scores(graph, x) if params.path_score else None
-                self.pre[x] = [(r, costs[k] if costs else 0) for r, k in at]
+                self.pre[row] = [(self.row_of[a], costs[k] if costs else 0) for k, a in enumerate(graph.into[x]) if a in self.row_of]
         rows = last - first
         self.pieces = params.pieces
-        planes = 1 + 2 * len(self.pieces)
-        self.block = np.empty((rows, planes, self.n + 1), np.int32)  # untouched pages cost nothing
+        self.planes = 1 + 2 * len(self.pieces)
         self.beg, self.stop = [0] * rows, [-1] * rows
+        # where each row's cell of position base[row] lies, and how many cells it has
+        self.at, self.base, self.width = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        self.cells = np.full((self.planes, 1 << 14), NEG, np.int32)
+        self.used = 0
 
     def run(self) -> Alignment:
         g, p, n = self.g, self.p, self.n
         w = n if p.band < 0 else p.band + int(p.band_part * n)
         banded = p.band >= 0
-        left, right = dict.fromkeys(range(len(g)), len(g)), dict.fromkeys(range(len(g)), 0)
+        left, right = [len(g)] * len(g), [0] * len(g)
         base_remain = g.remain[self.end]
 
         def reach(x: int) -> tuple[int, int]:
@@ -97,174 +101,229 @@ class _Job:
             for x in g.out[self.begin]:
                 if self.live[x]:
                     left[x] = right[x] = 1
-            self.beg[0], self.stop[0] = 0, reach(self.begin)[1]
+            self.stop[0] = reach(self.begin)[1]
         else:
-            self.beg[0], self.stop[0] = 0, n
+            self.stop[0] = n
         self._first_row(self.stop[0])
-        letters = np.zeros((p.m, n + 1), np.int32)
-        letters[:, 1:] = self.scores[:, self.q]
+        self.letters = np.zeros((p.m, n + 1), np.int32)
+        self.letters[:, 1:] = self.scores[:, self.q]
         step = {Gap.LINEAR: self._linear, Gap.AFFINE: self._affine, Gap.CONVEX: self._convex}[p.gap]
-        self.ext = np.array([e for _, e in self.pieces], np.int32)[:, None]
-        self.open = np.array([oe for oe, _ in self.pieces], np.int32)[:, None]
+        self.ext = np.array([e for _, e in self.pieces], np.int32)[:, None, None]
+        self.open = np.array([oe for oe, _ in self.pieces], np.int32)[:, None, None]
         at = np.arange(n + 2, dtype=np.int32)
-        self.slope = at * self.ext if self.pieces else at * p.gap_extend[0]
+        self.slope = at[None, None, :] * self.ext if self.pieces else at * p.gap_extend[0]
         best, best_row, best_j, best_node = NEG, 0, 0, self.begin
-        for i in range(self.first + 1, self.last):
-            x = g.node_at[i]
-            if not self.live[x]:
-                continue
-            row = i - self.first
-            if banded:
-                b, e = reach(x)
-                b = max(b, min(self.beg[r] for r, _ in self.pre[x]))
-            else:
-                b, e = 0, n
-            self.beg[row], self.stop[row] = b, e
-            if e < b:
-                top, lo, hi = NEG, -1, -1
-            else:
-                h = step(row, self.pre[x], letters[g.base[x]], b, e)
-                top = int(h.max())
-                if top > _LOW:
-                    lo = b + int(h.argmax())
-                    hi = e - int(h[::-1].argmax())
+        order = [x for x in g.node_at[self.first + 1 : self.last] if self.live[x]]
+        i, stopped = 0, False
+        while i < len(order) and not stopped:
+            # rows up to the first that needs one of them
+            rows, start = [], self.row_of[order[i]]
+            while i < len(order) and len(rows) < BLOCK:
+                row = self.row_of[order[i]]
+                if any(r >= start for r, _ in self.pre[row]):
+                    break
+                x = order[i]
+                if banded:
+                    b, e = reach(x)
+                    b = max(b, min(self.beg[r] for r, _ in self.pre[row]))
                 else:
-                    lo = hi = -1
-            if self.local and top > best:
-                best, best_row, best_j = top, row, lo
-            elif self.extend:
-                if top > best:
-                    best, best_row, best_j, best_node = top, row, hi, x
-                elif p.zdrop > 0:
-                    delta = g.remain[best_node] - g.remain[x]
-                    if best - top > p.zdrop + p.gap_extend[0] * abs(delta - (hi - best_j)):
-                        break
-            if banded:
-                for y in g.out[x]:
-                    if hi + 1 > right[y]:
-                        right[y] = hi + 1
-                    if lo + 1 < left[y]:
-                        left[y] = lo + 1
+                    b, e = 0, n
+                self.beg[row], self.stop[row] = b, e
+                rows.append(row)
+                i += 1
+            full = [r for r in rows if self.stop[r] >= self.beg[r]]
+            tops = dict.fromkeys(rows, (NEG, -1, -1))
+            if full:
+                tops.update(zip(full, self._block(full, step)))
+            for row in rows:
+                x = g.node_at[row + self.first]
+                top, lo, hi = tops[row]
+                if self.local:
+                    if top > best:
+                        best, best_row, best_j = top, row, lo
+                elif self.extend:
+                    if top > best:
+                        best, best_row, best_j, best_node = top, row, hi, x
+                    elif p.zdrop > 0:
+                        delta = g.remain[best_node] - g.remain[x]
+                        if best - top > p.zdrop + p.gap_extend[0] * abs(delta - (hi - best_j)):
+                            stopped = True
+                            break
+                if banded:
+                    for y in g.out[x]:
+                        if hi + 1 > right[y]:
+                            right[y] = hi + 1
+                        if lo + 1 < left[y]:
+                            left[y] = lo + 1
         if p.mode is Mode.GLOBAL:
             for x in g.into[self.end]:
                 if x in self.row_of:
                     row = self.row_of[x]
                     j = min(n, self.stop[row])
-                    v = int(self.block[row, 0, j]) if self.beg[row] <= j else NEG
+                    v = self._cell(0, row, j)
                     if v > best:
                         best, best_row, best_j = v, row, j
         return self._trace(best, best_row, best_j)
 
     # Rows -------------------------------------------------------------------------------
 
+    def _room(self, rows: list[int], base: int, width: int) -> np.ndarray:
+        """Cells for rows that all start at base, with a sentinel on each side."""
+        size = len(rows) * (width + 2)
+        while self.used + size > self.cells.shape[1]:
+            self.cells = np.concatenate((self.cells, np.full_like(self.cells, NEG)), axis=1)
+        part = self.cells[:, self.used : self.used + size].reshape(self.planes, len(rows), width + 2)
+        self.at[rows] = self.used + 1 + np.arange(len(rows)) * (width + 2)
+        self.base[rows], self.width[rows] = base, width
+        self.used += size
+        return part[:, :, 1:-1]
+
+    def _cell(self, plane: int, row: int, j: int) -> int:
+        return int(self.cells[plane, self.at[row] + j - self.base[row]]) if self.beg[row] <= j <= self.stop[row] else 2 * NEG
+
     def _first_row(self, stop: int) -> None:
-        row = self.block[0, :, : stop + 1]
+        row = self._room([0], 0, stop + 1)[:, 0, :]
         k = len(self.pieces)
         if self.local:
             row[:] = 0
             return
-        row[:] = NEG
         j = np.arange(1, stop + 1, dtype=np.int32)
         if k == 0:
-            row[0, 0] = 0
             row[0, 1:] = -self.p.gap_extend[0] * j
-            return
-        for i, (oe, e) in enumerate(self.pieces):
-            row[1 + i, 0] = -oe
-            row[1 + k + i, 1:] = -(oe - e) - e * j
-        row[0, 1:] = row[1 + k :, 1:].max(0)
+        else:
+            for i, (oe, e) in enumerate(self.pieces):
+                row[1 + i, 0] = -oe
+                row[1 + k + i, 1:] = -(oe - e) - e * j
+            row[0, 1:] = row[1 + k :, 1:].max(0)
         row[0, 0] = 0
 
-    def _from(self, pre: list[tuple[int, int]], b: int, e: int) -> np.ndarray:
+    def _block(self, rows: list[int], step) -> list[tuple[int, int, int]]:
+        """Computes rows that do not need one another; best score of each with its first and last place."""
+        b, e = min(self.beg[r] for r in rows), max(self.stop[r] for r in rows)
+        j = np.arange(b, e + 1)
+        s = self.letters[[self.g.base[self.g.node_at[r + self.first]] for r in rows], b : e + 1]
+        lo = np.array([self.beg[r] for r in rows])[:, None]
+        hi = np.array([self.stop[r] for r in rows])[:, None]
+        outside = (j < lo) | (j > hi) if len(rows) > 1 else None
+        h, planes = step(rows, s, j, outside)
+        room = self._room(rows, b, e - b + 1)
+        if outside is not None:
+            planes[:, outside] = NEG
+        room[:] = planes
+        h = planes[0]
+        first = h.argmax(1)
+        last = h.shape[1] - 1 - h[:, ::-1].argmax(1)
+        top = h[np.arange(len(rows)), first]
+        return [(t, b + f, b + z) if t > _LOW else (NEG, -1, -1) for t, f, z in zip(top.tolist(), first.tolist(), last.tolist())]
+
+    def _before(self, rows: list[int]):
+        """The rows before, nth by nth: (which of the rows, their rows before, their costs)."""
+        pre = [self.pre[r] for r in rows]
+        for k in range(max(map(len, pre))):
+            some = [i for i, x in enumerate(pre) if len(x) > k]
+            which = slice(None) if len(some) == len(rows) else np.array(some)
+            cost = np.array([pre[i][k][1] for i in some], np.int32)[:, None] if self.p.path_score else None
+            yield which, np.array([pre[i][k][0] for i in some]), cost
+
+    def _places(self, r: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Where the cells at positions j of rows r lie; a sentinel for those outside."""
+        at = j - self.base[r][:, None]
+        np.maximum(at, -1, out=at)
+        np.minimum(at, self.width[r][:, None], out=at)
+        at += self.at[r][:, None]
+        return at
+
+    def _from(self, rows: list[int], j: np.ndarray) -> np.ndarray:
         """Best over the rows before: H one position back (plane 0) and the open gaps at the same position."""
         k = len(self.pieces)
-        got = np.full((1 + k, e - b + 1), NEG, np.int32)
-        if self.local and b == 0:
-            got[0, 0] = 0
-        for r, cost in pre:
-            lo, hi = self.beg[r], self.stop[r]
-            src = self.block[r]
-            a, z = max(lo + 1, b), min(hi + 1, e)
-            if a <= z:
-                part = src[0, a - 1 : z]
-                part = part + cost if cost else part
-                np.maximum(got[0, a - b : z - b + 1], part, out=got[0, a - b : z - b + 1])
-            a, z = max(lo, b), min(hi, e)
-            if k and a <= z:
-                part = src[1 : 1 + k, a : z + 1]
-                part = part + cost if cost else part
-                np.maximum(got[1:, a - b : z - b + 1], part, out=got[1:, a - b : z - b + 1])
+        wide = np.arange(int(j[0]) - 1, int(j[-1]) + 1)  # from one position in front
+        got = None
+        for which, r, cost in self._before(rows):
+            part = self.cells[: 1 + k].take(self._places(r, wide), axis=1)
+            part[0, :, 1:] = part[0, :, :-1]
+            part = part[:, :, 1:]
+            if cost is not None:
+                part = part + cost
+            if got is None:
+                got = part
+            elif isinstance(which, slice):
+                np.maximum(got, part, out=got)
+            else:
+                got[:, which] = np.maximum(got[:, which], part)
+        if self.local and j[0] == 0:
+            got[0, :, 0] = 0
         return got
 
-    def _gaps(self, over: np.ndarray, b: int, e: int) -> np.ndarray:
-        """Insertions that start from the given row of scores."""
-        slope = self.slope[:, : e - b + 1]
-        run = np.maximum.accumulate(over + slope, axis=1)
+    def _gaps(self, over: np.ndarray) -> np.ndarray:
+        """Insertions that start from the given scores (pieces or 1, rows, positions)."""
+        slope = self.slope[:, :, : over.shape[-1]]
+        run = np.maximum.accumulate(over + slope, axis=-1)
         f = np.full(run.shape, NEG, np.int32)
-        f[:, 1:] = run[:, :-1] - slope[:, 1:] - (self.open - self.ext)
+        f[:, :, 1:] = run[:, :, :-1] - slope[:, :, 1:] - (self.open - self.ext)
         return f
 
-    def _convex(self, row: int, pre, letters: np.ndarray, b: int, e: int) -> np.ndarray:
-        got = self._from(pre, b, e)
-        got[0] += letters[b : e + 1]
-        if b == 0 and not self.local:
-            got[0, 0] = NEG
+    def _convex(self, rows, s: np.ndarray, j: np.ndarray, outside) -> tuple[np.ndarray, np.ndarray]:
+        got = self._from(rows, j)
+        got[0] += s
+        if j[0] == 0 and not self.local:
+            got[0, :, 0] = NEG
         over = got.max(0)
-        f = self._gaps(over, b, e)
+        if outside is not None:
+            over[outside] = NEG
+        f = self._gaps(over[None])
         h = np.maximum(over, f.max(0))
         if self.local:
             np.maximum(h, 0, out=h)
         out = np.maximum(got[1:] - self.ext, h - self.open)
         if self.local:
             np.maximum(out, 0, out=out)
-        here = self.block[row, :, b : e + 1]
-        here[0], here[1:3], here[3:5] = h, out, f
-        return h
-
-    def _affine(self, row: int, pre, letters: np.ndarray, b: int, e: int) -> np.ndarray:
-        got = self._from(pre, b, e)
-        m = got[0] + letters[b : e + 1]
-        if b == 0 and not self.local:
-            m[0] = NEG
+        return h, np.concatenate((h[None], out, f))
+
+    def _affine(self, rows, s: np.ndarray, j: np.ndarray, outside) -> tuple[np.ndarray, np.ndarray]:
+        got = self._from(rows, j)
+        m = got[0] + s
+        if j[0] == 0 and not self.local:
+            m[:, 0] = NEG
         over = np.maximum(m, got[1])
-        f = self._gaps(m[None, :], b, e)
+        if outside is not None:
+            m[outside] = over[outside] = NEG
+        f = self._gaps(m[None])
         h = np.maximum(over, f[0])
         if self.local:
             np.maximum(h, 0, out=h)
-        out = np.maximum(got[1] - self.ext[0, 0], h - self.open[0, 0])
+        out = np.maximum(got[1:] - self.ext, h - self.open)
         if self.local:
             np.maximum(out, 0, out=out)
-        out[f[0] > over] = 0 if self.local else NEG
-        here = self.block[row, :, b : e + 1]
-        here[0], here[1], here[2] = h, out, f[0]
-        return h
-
-    def _linear(self, row: int, pre, letters: np.ndarray, b: int, e: int) -> np.ndarray:
-        step = self.p.gap_extend[0]
-        h = np.full(e - b + 1, NEG, np.int32)
-        s = letters[b : e + 1]
-        if self.local:
-            h[:] = 0
-        for r, cost in pre:
-            lo, hi = self.beg[r], self.stop[r]
-            src = self.block[r, 0]
-            a, z = max(lo + 1, b), min(hi + 1, e)
-            if a <= z:
-                np.maximum(h[a - b : z - b + 1], src[a - 1 : z] + s[a - b : z - b + 1] + cost, out=h[a - b : z - b + 1])
-            a, z = max(lo, b), min(hi, e)
-            if a <= z:
-                np.maximum(h[a - b : z - b + 1], src[a : z + 1] - step + cost, out=h[a - b : z - b + 1])
-        slope = self.slope[: e - b + 1]
-        h = np.maximum.accumulate(h + slope) - slope
+        out[0][f[0] > over] = 0 if self.local else NEG
+        return h, np.concatenate((h[None], out, f))
+
+    def _linear(self, rows, s: np.ndarray, j: np.ndarray, outside) -> tuple[np.ndarray, np.ndarray]:
+        step, h = self.p.gap_extend[0], None
+        for which, r, cost in self._before(rows):
+            one = self.cells[0].take(self._places(r, j - 1)) + s[which]
+            if j[0] == 0:
+                one[:, 0] = 0 if self.local else NEG
+            part = np.maximum(one, self.cells[0].take(self._places(r, j)) - step)
+            if cost is not None:
+                part += cost
+            if h is None:
+                h = part
+            elif isinstance(which, slice):
+                np.maximum(h, part, out=h)
+            else:
+                h[which] = np.maximum(h[which], part)
+        if outside is not None:
+            h[outside] = NEG
+        slope = self.slope[: len(j)]
+        h = np.maximum.accumulate(h + slope, axis=1) - slope
         if self.local:
             np.maximum(h, 0, out=h)
-        self.block[row, 0, b : e + 1] = h
-        return h
+        return h, h[None].copy()
 
     # Traceback --------------------------------------------------------------------------
 
     def _trace(self, best: int, row: int, j: int) -> Alignment:
-        g, p, n, block = self.g, self.p, self.n, self.block
+        g, p, n, cell = self.g, self.p, self.n, self._cell
         k, step = len(self.pieces), p.gap_extend[0]
         out = Alignment(best)
         steps: list[tuple[str, int, int]] = []
@@ -275,9 +334,6 @@ class _Job:
             else:
                 steps.append(("I", -1, length))
 
-        def cell(plane: int, r: int, c: int) -> int:
-            return int(block[r, plane, c]) if self.beg[r] <= c <= self.stop[r] else NEG * 2
-
         if j < n:
             insert(n - j)
         at_end = p.gap_at_end  # until the first gap, gaps go before matches
@@ -295,24 +351,24 @@ class _Job:
 
             def match():
                 if closing:
-                    for r, cost in self.pre[node]:
-                        if self.beg[r] <= j - 1 <= self.stop[r] and int(block[r, 0, j - 1]) + s + cost == h:
+                    for r, cost in self.pre[row]:
+                        if self.beg[r] <= j - 1 <= self.stop[r] and cell(0, r, j - 1) + s + cost == h:
                             return r
                 return None
 
             def delete():
-                for r, cost in self.pre[node]:
+                for r, cost in self.pre[row]:
                     if not self.beg[r] <= j <= self.stop[r]:
                         continue
                     if k == 0:
-                        if int(block[r, 0, j]) - step + cost == h:
+                        if cell(0, r, j) - step + cost == h:
                             return r, True, -1
                         continue
                     for i in sorted(gaps_out):
                         oe, e = self.pieces[i]
-                        v = int(block[r, 1 + i, j])
+                        v = cell(1 + i, r, j)
                         if (h == v + cost) if closing else (cell(1 + i, row, j) == v - e + cost):
-                            return r, int(block[r, 0, j]) - oe == v, i
+                            return r, cell(0, r, j) - oe == v, i
                 return None
 
             def inside():
