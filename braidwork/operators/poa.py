@@ -201,10 +201,10 @@ def gfa_lines(result: DataFrame, with_consensus: bool = False) -> DataFrame:
     links = F.size(F.filter("edges", lambda e: (e.from_id != 0) & (e.to_id != 1)))
     head = alive.select("group_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("H\tVN:Z:1.0\tNS:i:"), (F.size("nodes") - 2).cast("string"), F.lit("\tNL:i:"), links.cast("string"), F.lit("\tNP:i:"), (F.col("n_seq") + int(with_consensus)).cast("string")).alias("line"))
     nodes = part(alive, "nodes").where("walk_index >= 0")
-    wide = F.lit(1 << 20)
-    segments = nodes.select("group_id", F.lit(1).alias("section"), (F.col("walk_index") * wide).cast("long").alias("ord"), F.concat(F.lit("S\t"), text(F.col("node_id") - 1), F.lit("\t"), F.col("base")).alias("line"))
+    wide = F.lit(1 << 20).cast("long")
+    segments = nodes.select("group_id", F.lit(1).alias("section"), (F.col("walk_index") * wide).alias("ord"), F.concat(F.lit("S\t"), text(F.col("node_id") - 1), F.lit("\t"), F.col("base")).alias("line"))
     edges = part(alive, "edges").where("from_id <> 0 and to_id <> 1").join(nodes.select("group_id", F.col("node_id").alias("to_id"), "walk_index"), ["group_id", "to_id"])
-    joins = edges.select("group_id", F.lit(1).alias("section"), (F.col("walk_index") * wide + F.col("in_ord") + 1).cast("long").alias("ord"), F.concat(F.lit("L\t"), text(F.col("from_id") - 1), F.lit("\t+\t"), text(F.col("to_id") - 1), F.lit("\t+\t0M")).alias("line"))
+    joins = edges.select("group_id", F.lit(1).alias("section"), (F.col("walk_index") * wide + F.col("in_ord") + 1).alias("ord"), F.concat(F.lit("L\t"), text(F.col("from_id") - 1), F.lit("\t+\t"), text(F.col("to_id") - 1), F.lit("\t+\t0M")).alias("line"))
     who = alive.select("group_id", F.posexplode("reads").alias("read", "x")).select("group_id", "read", "x.name", "x.is_rc")
     nth = lambda sign: lambda x: F.concat((x - 1).cast("string"), F.lit(sign))
     way = F.when(F.col("is_rc"), F.array_join(F.transform(F.reverse("node_ids"), nth("-")), ",")).otherwise(F.array_join(F.transform("node_ids", nth("+")), ","))
