@@ -32,25 +32,34 @@ def quoted_fields(line: Column) -> tuple[Column, Column]:
     mark. The quoting is sound if the marks are even in number and each stretch
     outside starts and ends at a comma or at an end of the line.
     """
-    parts = F.split(line, '"', -1)
-    last = F.size(parts) - 1
+    def hidden(parts: Column) -> Column:
+        """The stretches put together, commas inside quotes hidden for the split."""
+        last = F.size(parts) - 1
+
+        def text(x: Column, i: Column) -> Column:
+            plain = F.replace(x, F.lit(_ESC), F.lit(_ESC + "e"))
+            return F.when(i % 2 == 1, F.replace(plain, F.lit(","), F.lit(_ESC + "c"))).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(plain)
+
+        return F.array_join(F.transform(parts, text), "")
 
-    def bad(x: Column, i: Column) -> Column:
-        outside = (i % 2 == 0) & ~((x == "") & (i > 0) & (i < last))
-        return outside & (((i > 0) & ~x.startswith(",")) & ~((i == last) & (x == "")) | ((i < last) & ~x.endswith(",")) & ~((i == 0) & (x == "")))
+    def wrong(parts: Column) -> Column:
+        last = F.size(parts) - 1
 
-    wrong = F.exists(F.transform(parts, lambda x, i: bad(x, i)), lambda x: x)
-    sound = (last % 2 == 0) & ~wrong
-    # Commas inside are hidden for the split.
+        def bad(x: Column, i: Column) -> Column:
+            start = (i > 0) & ~x.startswith(",") & ~((i == last) & (x == ""))
+            end = (i < last) & ~x.endswith(",") & ~((i == 0) & (x == ""))
+            return (i % 2 == 0) & ~((x == "") & (i > 0) & (i < last)) & (start | end)
+
+        return (last % 2 == 1) | F.exists(F.transform(parts, bad), lambda x: x)
+
+    parts = F.split(line, '"', -1)
+    fields = F.transform(F.split(_with(parts, hidden), ",", -1), lambda x: F.replace(F.replace(x, F.lit(_ESC + "c"), F.lit(",")), F.lit(_ESC + "e"), F.lit(_ESC)))
+    return fields, ~_with(parts, wrong)
 
-    def text(x: Column, i: Column) -> Column:
-        inside = F.replace(F.replace(x, F.lit(_ESC), F.lit(_ESC + "e")), F.lit(","), F.lit(_ESC + "c"))
-        outside = F.replace(x, F.lit(_ESC), F.lit(_ESC + "e"))
-        return F.when(i % 2 == 1, inside).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(outside)
 
-    joined = F.array_join(F.transform(parts, lambda x, i: text(x, i)), "")
-    fields = F.transform(F.split(joined, ",", -1), lambda x: F.replace(F.replace(x, F.lit(_ESC + "c"), F.lit(",")), F.lit(_ESC + "e"), F.lit(_ESC)))
-    return fields, sound
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, not again for each element of a loop in ``f``."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _field(fields: Column, n: int) -> Column:
@@ -66,10 +75,10 @@ def _only(c: Column, letters: str) -> Column:
 RESIDUES = "ACGTUNRYSWKMBDHV"
 
 
-def _reasons(kind: Column, line: Column) -> tuple[Column, dict[str, Column]]:
+def _reasons() -> tuple[Column, dict[str, Column]]:
+    """The error array, and the fields as text, from the columns kind, line, fields, sound and tabs."""
+    kind, line, fields, sound, tabs = (F.col(c) for c in ("kind", "line", "fields", "sound", "tabs"))
     csv, gfa = kind == "reads_csv", kind == "gfa_s"
-    fields, sound = quoted_fields(line)
-    tabs = F.split(line, "\t", -1)
     residues = RESIDUES + RESIDUES.lower()
     read_id, name, comment, seq, qual = (_field(fields, i) for i in range(5))
     printable = "".join(map(chr, range(ord("!"), ord("~") + 1)))
@@ -103,7 +112,9 @@ def _reasons(kind: Column, line: Column) -> tuple[Column, dict[str, Column]]:
 def parse_lines(df: DataFrame, key: str, source: str, line_no: str, kind: str, line: str) -> DataFrame:
     """Every line with its error array and its fields as text, null where there are errors."""
     rows = take(df, key=key, source=source, line_no=line_no, kind=kind, line=line)
-    errors, typed = _reasons(F.col("kind"), F.col("line"))
+    fields, sound = quoted_fields(F.col("line"))
+    rows = rows.select("*", fields.alias("fields"), sound.alias("sound"), F.split("line", "\t", -1).alias("tabs"))
+    errors, typed = _reasons()
     rows = rows.withColumn("errors", errors)
     fine = F.size("errors") == 0
     rows = rows.select("key", "source", "line_no", "kind", "line", "errors", *[F.when(fine, c).alias(k) for k, c in typed.items()])
