@@ -43,13 +43,13 @@ def _count(path: str):
             return n
 
         for batch in it:
-            kept = [i for i, c in enumerate(batch.schema.names) if c != "text"]
+            kept = [i for i, c in enumerate(batch.schema.names) if c not in ("text", "tokens")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([size(x) for x in batch.column("text").to_pylist()], pa.int64())], names=[*(batch.schema.names[i] for i in kept), "tokens"])
 
     return batches
 
 
 def token_sizes(df: DataFrame, folder: str = FOLDER, tokenizer: str = TOKENIZER) -> DataFrame:
-    """All columns but ``text``, and ``tokens``: its size; null and empty texts have none."""
-    kept = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != "text")
+    """All columns but ``text``, and ``tokens``, its size, in place of any column of that name; null and empty texts have none."""
+    kept = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c not in ("text", "tokens"))
     return df.mapInArrow(_count(f"{folder}/{tokenizer}"), f"{kept}, tokens long")
