@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -37,7 +38,7 @@ def plain_source(column: str) -> Column:
     return F.lower(F.trim(F.col(f"`{column}`")))
 
 
-def _fly_class(size: list[int], p: list[float], members: range, rng: random.Random) -> list[int]:
+def _fly_class(size: list[int], p: list[float], members: Iterable[int], rng: random.Random) -> list[int]:
     """Moves the chances of the members until at most two lie between 0 and 1; these come back."""
     open_: list[int] = []
     for i in members:
@@ -71,17 +72,19 @@ def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
     Sizes that differ by less than a factor of two fly together. What a class
     leaves open is rounded at random, and the shorter classes take over what
     that shifts: their chances move by a line in the size that restores both
-    totals. So a long document never stays open to the end.
+    totals. So a long document does not stay open to the end. Where the shorter
+    ones cannot take that over, the open ones fly on with the next class.
     """
     rng, p, n = random.Random(seed), list(chance), len(chance)
-    at = 0
+    at, left = 0, []
     while at < n:
         to = at + 1
         while to < n and 2 * size[to] > size[at]:
             to += 1
-        left = _fly_class(size, p, range(at, to), rng)
+        left = _fly_class(size, p, [*left, *range(at, to)], rng)
         rest = [i for i in range(to, n) if 0 < p[i] < 1]
         if rest and left:
+            before = list(p)
             tokens = docs = 0.0
             for i in left:
                 x = float(rng.random() < p[i])
@@ -96,6 +99,10 @@ def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
                 for i in rest:
                     x = min(1.0, max(0.0, p[i] + a + b * size[i]))
                     tokens, docs, p[i] = tokens - (x - p[i]) * size[i], docs - (x - p[i]), x
+            if abs(tokens) < 1e-3:
+                left = []
+            else:
+                p = before
         at = to
     return p
 
