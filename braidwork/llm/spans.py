@@ -33,7 +33,7 @@ HOT = 50_000
 _RUN = 256  # windows in one super-k-mer at most
 _PIECE = 1_000_000
 _LETTERS = np.array([[b >> s & 3 for s in (6, 4, 2, 0)] for b in range(256)], np.uint8)
-_TRAVEL = "mini long, key long, at long, many boolean, n int, letters binary"
+_TRAVEL = "mini long, key long, place long, letters binary"  # place: start << 10 | windows << 1 | whether the record has copies
 _FOUND = "key long, lo long, hi long, a long, b long, c long, shared boolean"
 
 
@@ -67,9 +67,9 @@ def _super_kmers(width: int):
         r = np.searchsorted(starts, start, side="right") - 1
         offsets = np.concatenate(([0], ends)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(mini[begin].view(np.int64)), pa.array(key[row[r]]), pa.array(start - starts[r] + first[r]), pa.array(many[row[r]]), pa.array(windows.astype(np.int32)),
+            [pa.array(mini[begin].view(np.int64)), pa.array(key[row[r]]), pa.array((start - starts[r] + first[r]) << 10 | windows << 1 | many[row[r]]),
              pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])],
-            names=["mini", "key", "at", "many", "n", "letters"],
+            names=["mini", "key", "place", "letters"],
         )
 
     def batches(it):
@@ -84,14 +84,16 @@ def _super_kmers(width: int):
 
 def _find(width: int):
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        mini, key, at, many, n, hot = (t.column(c).to_numpy() for c in ("mini", "key", "at", "many", "n", "hot"))
+        mini, key, place = (t.column(c).to_numpy() for c in ("mini", "key", "place"))
+        at, n, many = place >> 10, place >> 1 & 511, (place & 1).astype(bool)
+        hot = t.column("hot").to_numpy() if "hot" in t.column_names else np.zeros(len(mini), bool)
         # A minimiser seen in one record only can hold no shared window.
         first = np.flatnonzero(np.concatenate(([True], mini[1:] != mini[:-1])))
         one = (np.minimum.reduceat(key, first) == np.maximum.reduceat(key, first)) & ~np.logical_or.reduceat(many | hot, first)
         keep = np.flatnonzero(~np.repeat(one, np.diff(np.append(first, len(mini)))))
         if not len(keep):
             return None
-        key, at, many, n, hot = key[keep], at[keep], many[keep], n[keep].astype(np.int64), hot[keep]
+        key, at, many, n, hot = key[keep], at[keep], many[keep], n[keep], hot[keep]
         letters = t.column("letters").combine_chunks().take(pa.array(keep))
         letters = letters.combine_chunks() if isinstance(letters, pa.ChunkedArray) else letters
         off = np.frombuffer(letters.buffers()[1], np.int32)[letters.offset : letters.offset + len(letters) + 1].astype(np.int64)
@@ -179,10 +181,13 @@ def shared_spans(df: DataFrame, key: str, seq: str, width: int = 80, hot: int =
     limit = max(hot, total // 1_000_000)
     crowded = travel.groupBy("mini").count().where(F.col("count") > limit).select("mini", F.ceil(F.col("count") / limit).cast("long").alias("salts"))
     crowded = spark.createDataFrame(crowded.toArrow())
-    salted = travel.join(F.broadcast(crowded), "mini", "left") if crowded.head(1) else travel.withColumn("salts", F.lit(None).cast("long"))
-    salted = salted.select("*", F.col("salts").isNotNull().alias("hot"), F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key"), "salts")).otherwise(F.lit(0).cast("long")).alias("salt")).drop("salts")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 250_000 + 1)
-    met = salted.repartition(parts, "mini", "salt").sortWithinPartitions("mini", "salt").mapInArrow(_find(width), _FOUND)
+    by = ["mini"]
+    if crowded.head(1):
+        salted = travel.join(F.broadcast(crowded), "mini", "left")
+        travel = salted.select("mini", "key", "place", "letters", F.col("salts").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("key"), "salts"), F.lit(0)).cast("long").alias("salt"))
+        by = ["mini", "salt"]
+    met = travel.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(_find(width), _FOUND)
     if crowded.head(1):
         met = written(met, "windows")
         again = met.where("a is not null")
