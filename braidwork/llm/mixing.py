@@ -91,7 +91,7 @@ def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
                 tokens, docs, p[i] = tokens + (p[i] - x) * size[i], docs + p[i] - x, x
             for _ in range(8):  # again for what the bounds hold back
                 rest = [i for i in rest if 0 < p[i] < 1]
-                if not rest or abs(tokens) < 1e-6:
+                if not rest or abs(tokens) < 1e-6 and abs(docs) < 1e-9:
                     break
                 one, t, tt = float(len(rest)), float(sum(size[i] for i in rest)), float(sum(size[i] ** 2 for i in rest))
                 det = one * tt - t * t
@@ -99,7 +99,7 @@ def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
                 for i in rest:
                     x = min(1.0, max(0.0, p[i] + a + b * size[i]))
                     tokens, docs, p[i] = tokens - (x - p[i]) * size[i], docs - (x - p[i]), x
-            if abs(tokens) < 1e-3:
+            if abs(tokens) < 1e-3 and abs(docs) < 1e-6:
                 left = []
             else:
                 p = before

@@ -177,8 +177,11 @@ def test_mixing(spark, monkeypatch):
 
 def test_flight_keeps_totals():
     size = sorted((rng.randint(1, 5000) for _ in range(2000)), reverse=True)
-    p = mixing.landing(size, mixing.flight(size, [0.37] * 2000, 1))
-    assert set(p) <= {0.0, 1.0} and abs(sum(p) - 740) <= 1 and abs(sum(map(lambda a, b: a * b, size, p)) - 0.37 * sum(size)) <= 5
+    flown = mixing.flight(size, [0.37] * 2000, 1)
+    p, open_ = mixing.landing(size, flown), [x for x, y in zip(size, flown) if 0 < y < 1]
+    off = lambda q: abs(sum(map(lambda a, b: a * b, size, q)) - 0.37 * sum(size))
+    assert len(open_) <= 2 and off(flown) < 0.01 and abs(sum(flown) - 740) < 0.01  # the flight itself keeps both totals
+    assert set(p) <= {0.0, 1.0} and abs(sum(p) - 740) <= 1 and off(p) <= sum(open_) and sum(open_) <= 2 * size[-100]
 
 
 CASES = [
