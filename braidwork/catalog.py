@@ -320,16 +320,9 @@ def poa_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return flagship(spark, sf)
 
 
-def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """The consensus sequences of all runs of a group, as reads to be aligned with one another."""
-    t = _table(spark, sf, "consensus").where("seq is not null and seq <> ''")
-    nth = F.row_number().over(Window.partitionBy("group_id").orderBy("run_no", "cons_id", "cons_key"))
-    return t.select("group_id", (nth - 1).alias("read_id"), F.col("cons_key").cast("string").alias("name"), "seq", "qual")
-
-
 def _variant(name: str, **changes) -> None:
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        return _consensus(poa.poa(runs(spark, sf), Params(**changes), ("consensus",)))
+        return _consensus(_poa(spark, sf, Params(**changes)))
 
     f.__name__ = name
     query(f)
@@ -354,18 +347,18 @@ def poa_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def poa_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return poa.part(poa.poa(runs(spark, sf), parts=("msa",)), "msa")
+    return poa.part(_poa(spark, sf, parts=("msa",)), "msa")
 
 
 @query
 def poa_graph_lines(spark: SparkSession, sf: str) -> DataFrame:
-    result = written(poa.poa(runs(spark, sf), parts=("graph", "consensus")), "graphs")  # read for each kind of line
+    result = written(_poa(spark, sf, parts=("graph", "consensus")), "graphs")  # read for each kind of line
     return poa.gfa_lines(result, with_consensus=True)
 
 
 @query
 def poa_drawing(spark: SparkSession, sf: str) -> DataFrame:
-    return poa.dot_lines(written(poa.poa(runs(spark, sf), parts=("graph",)), "graphs"))
+    return poa.dot_lines(written(_poa(spark, sf, parts=("graph",)), "graphs"))
 
 
 @query
@@ -377,7 +370,7 @@ def heaviest_of_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def poa_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """Reads of a group added in two parts, the graph kept between them."""
-    r = runs(spark, sf)
+    r = reads(spark, sf)
     first = incremental.add(None, r.where("read_id % 2 = 0"))
     return _consensus(incremental.finish(incremental.add(first, r.where("read_id % 2 = 1"))))
 

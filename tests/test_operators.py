@@ -145,3 +145,17 @@ def test_sql(spark, name):
     got = catalog.queries()[name](spark, DATA)
     assert sorted(got.columns) == sorted(cols)
     assert collections.Counter(tidy(r) for r in got.select(*cols).collect()) == collections.Counter(map(tidy, want.fetchall()))
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="the test tables are not there")
+def test_graphs_fold_all_reads(spark, monkeypatch):
+    table, seen = catalog._table, set()
+    monkeypatch.setattr(catalog, "_table", lambda s, sf, name: seen.add(name) or table(s, sf, name).where("group_id = 'g000000005' and read_id < 2"))
+    names = [n for n in catalog.queries() if n.startswith("poa_")]
+    assert len(names) == 16
+    for name in names:
+        seen.clear()
+        catalog.queries()[name](spark, DATA)
+        assert seen == {"seq_reads"}, name
+    of_group = lambda df: {r.group_id: r["count"] for r in df.groupBy("group_id").count().collect()}
+    assert of_group(catalog.queries()["poa_rows"](spark, DATA)) == of_group(catalog.reads(spark, DATA)) == {"g000000005": 2}
