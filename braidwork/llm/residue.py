@@ -7,7 +7,8 @@ addresses masked; equal messages are counted once, and the distinct ones are
 mined for templates with a prefix tree of fixed depth (number of tokens, then
 the first TREE_DEPTH tokens), whose leaves hold templates that a message joins
 if SIMILAR of its tokens agree. A template is classified once, by its distinct
-messages, and its verdict goes to all posts that hold a message of it.
+messages, and its verdict goes to all posts that hold a message of it; a post
+whose own message is recognised is a case whatever its template.
 
 Skew: equal messages are counted with partial aggregation before they move, so
 a text reposted by a third of all rows costs one message; a leaf is a key of
@@ -288,6 +289,7 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     leaves = distinct.select(F.xxhash64("message").alias("key"), F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, TREE_DEPTH)).alias("leaf"), "message", "hit")
     cases = leaves.repartition("leaf").sortWithinPartitions("leaf", "message").mapInArrow(_mine(), "key long")
     held = pairs.select("id", F.xxhash64("message").alias("key"), "hit")
-    by_template = held.join(cases, "key", "left_semi").select("id").distinct()
+    added = held.where("not hit").join(cases, "key", "left_semi")
+    by_template = held.where("hit").unionByName(added).select("id").distinct()
     alone = read.where("alone").select("id", F.lit("alone").alias("reason"))
     return alone.unionByName(by_template.withColumn("reason", F.lit("template"))).withColumnRenamed("id", key)

@@ -204,6 +204,12 @@ def test_residue(spark):
     assert posts.own_text("a wrote:\n> x\n\nmine [b]bold[/b] &amp; more\n\n~~~\nsent from") == "mine bold & more"
 
 
+def test_recognised_messages_stay(spark):
+    text = ["You must be logged in.", "You must be very patient.", "This page cannot be displayed.", "This page cannot be edited."]
+    got = residue.residue(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc_id for r in got.collect()} == {0, 2}
+
+
 def test_token_sizes(spark):
     text = [None, "", "hello world", "word " * 30_000, "x" * 1000]
     got = {r.i: r.tokens for r in tokens.token_sizes(spark.createDataFrame(list(enumerate(text)), "i int, text string").withColumn("tokens", F.lit("x"))).collect()}
