@@ -144,8 +144,9 @@ _ERROR_WORDS = _triggers(
     "error fehler erreur código javascript java_script scripts scripting skript noscript cookie js_ _js browser denied permission session sitzung sesión maintenance page seite página server servi sql connect undefined traceback uncaught unhandled <title <h1 <noscript status"
     " token timed_out timeout time-out log_in sign_in logged_in human requests wrong snag been_told been_notified been_informed moment later spät tard navig blocked banned suspended introuvable zugriff berechtigung accès acceso permiso identificarse datenbank"
     " base_de wartung mantenimiento unavailable home_page homepage followed forbidden unauthor payment method conflict gone large not_implemented gateway not_found not_acceptable bad_request nicht_erreichbar überlastet disabled switched_off"
+    " naveg droits autorisation loading restricted index _on_line_ site conectar code"
 )
-_FILLER_WORDS = _triggers("text copy paragraph content contenu contenido soon tbd to_be_ platzhalter construction próximamente inhalt párrafo lorem ipsum")
+_FILLER_WORDS = _triggers("text title message sentence copy paragraph content contenu contenido soon tbd to_be_ platzhalter construction próximamente inhalt párrafo lorem ipsum")
 
 
 def _any(a: ahocorasick.Automaton, text: str) -> bool:

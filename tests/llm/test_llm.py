@@ -210,6 +210,47 @@ def test_recognised_messages_stay(spark):
     assert {r.doc_id for r in got.collect()} == {0, 2}
 
 
+def example(parsed):
+    """A random text of a parsed pattern, without regard to its anchors and lookarounds."""
+    out = []
+    for op, arg in ((str(op), arg) for op, arg in parsed):
+        if op == "IN":
+            op, arg = rng.choice(arg)
+            op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "RANGE":
+            out.append(chr(rng.randint(*arg)))
+        elif op == "CATEGORY":
+            out.append({"CATEGORY_DIGIT": "7", "CATEGORY_WORD": "x"}.get(str(arg), " "))
+        elif op in ("NOT_LITERAL", "NEGATE", "ANY"):
+            out.append("x")
+        elif op == "BRANCH":
+            out.append(example(rng.choice(arg[1])))
+        elif op == "SUBPATTERN":
+            out.append(example(arg[3]))
+        elif op == "MAX_REPEAT":
+            out.extend(example(arg[2]) for _ in range(rng.choice([arg[0], min(arg[1], arg[0] + 1)])))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("pattern, words", [(residue._ERROR, residue._ERROR_WORDS), (residue._FILLER_LINE, residue._FILLER_WORDS)])
+def test_filter_words_lose_nothing(pattern, words):
+    parsed = re._parser.parse(pattern.pattern)
+    texts = {t for _ in range(60_000) if pattern.search(t := example(parsed))}
+    assert len(texts) > 100
+    assert [t for t in texts if not residue._any(words, t.lower())] == []
+
+
+def test_filter_words_examples(spark):
+    text = [
+        "Verificando su navegador antes de continuar.", "Vous n'avez pas les droits de voir ceci.", "Loading comments...", "Access to this area is restricted.", "Return to the index of", "Checking your site",
+        "Warning: Division by zero in /srv/x/post.tpl on line 395", "Your title here", "Replace this sentence now.",
+    ]
+    got = residue.residue(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc_id for r in got.collect()} == set(range(len(text)))
+
+
 def test_token_sizes(spark):
     text = [None, "", "hello world", "word " * 30_000, "x" * 1000]
     got = {r.i: r.tokens for r in tokens.token_sizes(spark.createDataFrame(list(enumerate(text)), "i int, text string").withColumn("tokens", F.lit("x"))).collect()}
