@@ -208,7 +208,7 @@ def _mask(message: str) -> str:
 
 
 def _parts(own: str) -> list[str]:
-    return [x for x in _SPLIT.split(own) if len(x) >= 4 and '""' not in x]
+    return [x for x in _SPLIT.split(own) if len(x) >= 4]
 
 
 def _short(message: str) -> str:
@@ -225,7 +225,7 @@ def _read():
             alone, messages, hits = [], [], []
             for text in batch.column("text").to_pylist():
                 own = own_text(text)
-                status = re.search(r"(?:^|[^'\"„“«‹\s])\s*[{]\W{0,2}(?:status|code|error)\W{1,4}\s*[45]\d\d\b", own) is not None if "{" in own else False
+                status = re.search(r"(?:^|[^'\"„“«‹\s])\s*[{](?:[^{}]{1,400},\s*)?\W{0,2}(?:status|code|error)\W{1,4}\s*[45]\d\d\b", own) is not None if "{" in own else False
                 own = _cited_out(own)
                 alone.append(bool(own) and (status or has_slot(own) or is_filler(own)))
                 hit: dict[str, bool] = {}

@@ -210,6 +210,15 @@ def test_recognised_messages_stay(spark):
     assert {r.doc_id for r in got.collect()} == {0, 2}
 
 
+def test_errors_that_quote(spark):
+    text = [
+        'Warning: Undefined array key "id" in /srv/x/post.php on line 3', 'Fatal error: Uncaught Error: Class "Foo" not found in /srv/x/a.php:7', "SQLSTATE[42S22]: Unknown column 'thread.title' in the field list", '{"error": "Forbidden", "status": 403}',
+        'The page said "404 Not Found" twice.', 'It ended in "Fatal error: x" and "Access denied" on a line.', '"Access denied", said the door.',
+    ]
+    got = residue.residue(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc_id for r in got.collect()} == {0, 1, 2, 3}
+
+
 def example(parsed):
     """A random text of a parsed pattern, without regard to its anchors and lookarounds."""
     out = []
