@@ -1,16 +1,19 @@
-"""Alignment of a sequence to a part of a graph, by blocks of rows over the read.
-
-A row belongs to a node and spans the band of read positions worth a look.
-Consecutive rows that do not need one another form a block and are computed
-together, all cost pieces at once, so a block takes some thirty array
-operations whatever its size. Only banded cells are kept, with a sentinel on
-either side of each row that stands for all cells outside.
+"""Alignment of sequences to graphs, of many groups at once.
+
+A row belongs to a node and spans the band of read positions worth a look. A
+row's level is the longest way to it from the start, so rows of one level do
+not need one another, in one graph or in many. A round takes one read each of
+many graphs, orders all rows by level, and computes level after level: some
+forty array operations a level, whatever the number of graphs. Only banded
+cells are kept, with a sentinel on either side of each row that stands for all
+cells outside.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
@@ -18,8 +21,8 @@ from braidwork.kernels.lattice import SINK, SOURCE, Lattice
 from braidwork.kernels.params import Gap, Mode, Params
 
 NEG = -(1 << 28)
-BLOCK = 256  # rows computed together at most
 _LOW = NEG // 2
+_SLACK = 4096  # cells of padding that do not matter
 
 
 @dataclass
@@ -34,6 +37,16 @@ class Alignment:
     query_end: int = -1
 
 
+@dataclass
+class Request:
+    """A read to be aligned to what lies between two nodes of a graph, both excluded."""
+
+    graph: Lattice
+    query: np.ndarray
+    begin: int = SOURCE
+    end: int = SINK
+
+
 def path_scores(graph: Lattice, node: int) -> list[int]:
     """For each edge into a node, the rounded log of its part of what leaves its start, at least -20."""
     out = []
@@ -46,377 +59,492 @@ def path_scores(graph: Lattice, node: int) -> list[int]:
 
 def align(graph: Lattice, query: np.ndarray, params: Params, begin: int = SOURCE, end: int = SINK) -> Alignment:
     """The best alignment between begin and end, both excluded."""
-    if graph.empty:
-        return Alignment(-1)
-    if graph.stale:
-        graph.order()
-    return _Job(graph, query, params, begin, end).run()
+    return align_many([Request(graph, query, begin, end)], params)[0]
+
+
+def align_many(requests: list[Request], params: Params) -> list[Alignment]:
+    """The best alignment of each request; the result of one does not depend on the others."""
+    out = [Alignment(-1)] * len(requests)
+    some = [i for i, r in enumerate(requests) if not r.graph.empty]
+    if some:
+        for i, found in zip(some, _Round([_Lane(requests[i], params) for i in some], params).run()):
+            out[i] = found
+    return out
+
+
+_pool: dict[int, np.ndarray] = {}
+
+
+def _kept(planes: int, size: int) -> np.ndarray:
+    """Room for cells, taken over from the round before where it is large enough and not far too large."""
+    old = _pool.get(planes)
+    if old is None or not size <= old.shape[1] <= 8 * size + (1 << 20):
+        old = _pool[planes] = np.empty((planes, max(1 << 12, size)), np.int32)
+    return old
+
+
+def cells_needed(request: Request, params: Params) -> int:
+    """About how many cells a request keeps."""
+    n = len(request.query)
+    width = n if params.band < 0 else min(n, 2 * (params.band + int(params.band_part * n)) + 40)
+    return len(request.graph) * (width + 3)
+
 
+class _Lane:
+    """One request: its nodes in order, their levels and the rows before each."""
 
-class _Job:
-    def __init__(self, graph: Lattice, query: np.ndarray, params: Params, begin: int, end: int):
-        self.g, self.q, self.p, self.begin, self.end = graph, query, params, begin, end
-        self.n = len(query)
+    def __init__(self, request: Request, params: Params):
+        g = self.g = request.graph
+        if g.stale:
+            g.order()
+        self.q, self.begin, self.end = request.query, request.begin, request.end
+        self.n = len(self.q)
+        first, last = g.index[self.begin], g.index[self.end]
+        nodes, into = g.node_at[first:last], g.into
+        if self.begin != SOURCE or self.end != SINK:  # only what can be reached from the start
+            live = {self.begin}
+            for x in nodes[1:]:
+                if any(a in live for a in into[x]):
+                    live.add(x)
+            nodes = [x for x in nodes if x in live]
+            before = [[]] + [[a for a in into[x] if a in live] for x in nodes[1:]]
+        else:
+            before = [[]] + [into[x] for x in nodes[1:]]
+        self.nodes = nodes
+        level = [0] * len(g)
+        for x, p in zip(nodes[1:], before[1:]):
+            level[x] = (level[p[0]] if len(p) == 1 else max([level[a] for a in p])) + 1
+        at = np.array(nodes, np.int64)
+        row_of = np.full(len(g), -1, np.int64)
+        row_of[at] = np.arange(len(nodes))
+        self.row_of = row_of
+        self.level = np.array(level, np.int64)[at]
+        self.count = np.fromiter(map(len, before), np.int64, len(nodes))
+        flat = np.fromiter(chain.from_iterable(before), np.int64, int(self.count.sum()))
+        row = np.repeat(np.arange(len(nodes)), self.count)
+        self.nth = np.arange(len(flat)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.row, self.pre = row, row_of[flat]
+        self.before = before
+        self.cost = None
+        if params.path_score:
+            kept = [[c for a, c in zip(into[x], path_scores(g, x)) if row_of[a] >= 0] for x in nodes[1:]]
+            self.cost = np.fromiter(chain.from_iterable(kept), np.int32, len(flat))
+        remain = np.array(g.remain, np.int64)
+        self.reach = self.n - (remain[at] - g.remain[self.end] - 1)
+        self.base = np.array(g.base, np.int64)[at]
+
+
+class _Round:
+    def __init__(self, lanes: list[_Lane], params: Params):
+        self.lanes, self.p = lanes, params
         self.local, self.extend = params.mode is Mode.LOCAL, params.mode is Mode.EXTEND
-        self.scores = params.scores()
-        first, last = graph.index[begin], graph.index[end]
-        self.first, self.last = first, last
-        # rows reachable from the start
-        live = bytearray(len(graph))
-        live[begin] = live[end] = 1
-        for i in range(first, last - 1):
-            x = graph.node_at[i]
-            if live[x]:
-                for y in graph.out[x]:
-                    live[y] = 1
-        self.live = live
-        self.row_of = {x: i - first for i, x in enumerate(graph.node_at[first:last], first) if live[x]}
-        self.pre: list[list[tuple[int, int]]] = [[] for _ in range(last - first)]
-        for x, row in self.row_of.items():
-            if x != begin:
-                costs = path_scores(graph, x) if params.path_score else None
-                self.pre[row] = [(self.row_of[a], costs[k] if costs else 0) for k, a in enumerate(graph.into[x]) if a in self.row_of]
-        rows = last - first
+        self.banded = params.band >= 0
         self.pieces = params.pieces
-        self.planes = 1 + 2 * len(self.pieces)
-        self.beg, self.stop = [0] * rows, [-1] * rows
-        # where each row's cell of position base[row] lies, and how many cells it has
-        self.at, self.base, self.width = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.cells = np.full((self.planes, 1 << 14), NEG, np.int32)
-        self.used = 0
-
-    def run(self) -> Alignment:
-        g, p, n = self.g, self.p, self.n
-        w = n if p.band < 0 else p.band + int(p.band_part * n)
-        banded = p.band >= 0
-        left, right = [len(g)] * len(g), [0] * len(g)
-        base_remain = g.remain[self.end]
-
-        def reach(x: int) -> tuple[int, int]:
-            r = n - (g.remain[x] - base_remain - 1)
-            return max(0, min(left[x], r) - w), min(n, max(right[x], r) + w)
-
-        if banded:
-            left[self.begin] = right[self.begin] = 0
-            for x in g.out[self.begin]:
-                if self.live[x]:
-                    left[x] = right[x] = 1
-            self.stop[0] = reach(self.begin)[1]
-        else:
-            self.stop[0] = n
-        self._first_row(self.stop[0])
-        self.letters = np.zeros((p.m, n + 1), np.int32)
-        self.letters[:, 1:] = self.scores[:, self.q]
-        step = {Gap.LINEAR: self._linear, Gap.AFFINE: self._affine, Gap.CONVEX: self._convex}[p.gap]
+        k = len(self.pieces)
+        self.planes = 1 + 2 * k
+        sizes = np.array([len(x.nodes) for x in lanes])
+        starts = np.cumsum(sizes) - sizes
+        level, count = np.concatenate([x.level for x in lanes]), np.concatenate([x.count for x in lanes])
+        order = np.lexsort((-count, level))  # within a level, rows with more rows before them first
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.place = np.split(place, starts[1:])
+        self.count = count[order]
+        level = level[order]
+        self.levels = np.concatenate((np.searchsorted(level, np.arange(int(level[-1]) + 1)), [len(order)])).tolist()
+        self.many = np.stack([np.bincount(level[self.count > k], minlength=len(self.levels) - 1) for k in range(max(1, int(count.max())))], 1).tolist()
+        self.pre = np.full((max(1, int(count.max())), len(order)), -1, np.int64)
+        rows, nth = np.concatenate([x.row + s for x, s in zip(lanes, starts)]), np.concatenate([x.nth for x in lanes])
+        self.pre[nth, place[rows]] = place[np.concatenate([x.pre + s for x, s in zip(lanes, starts)])]
+        self.cost = None
+        if params.path_score:
+            self.cost = np.zeros(self.pre.shape, np.int32)
+            self.cost[nth, place[rows]] = np.concatenate([x.cost for x in lanes])
+        n = np.array([x.n for x in lanes])
+        w = np.array([params.band + int(params.band_part * x.n) for x in lanes]) if self.banded else n
+        each = lambda x: np.repeat(x, sizes)[order]
+        self.n, self.w = each(n), each(w)
+        self.reach = np.concatenate([x.reach for x in lanes])[order]
+        self.scores = params.scores()
+        wide = int(n.max()) + 2
+        query = np.concatenate([np.concatenate(([0], x.q)) for x in lanes] + [np.zeros(wide, np.int64)]).astype(np.int64)
+        self.letters = np.ascontiguousarray(self.scores[:, query]).astype(np.int32)
+        self.letters[:, np.cumsum(n + 1) - (n + 1)] = 0
+        # where the score of a row's letter against no letter of the read lies
+        self.letter_at = np.concatenate([x.base for x in lanes])[order] * len(query) + each(np.cumsum(n + 1) - (n + 1))
+        self.letters = self.letters.reshape(-1)
+        rows = len(order)
+        # where each row's cell of position beg lies, and how many cells it has
+        self.beg, self.stop = np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
+        self.at, self.width = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        self.top, self.lo, self.hi = np.full(rows, NEG, np.int64), np.full(rows, -1, np.int64), np.full(rows, -1, np.int64)
+        guess = int((sizes * (np.minimum(n, 2 * w + 40) + 3)).sum())
+        self.cells, self.used = _kept(self.planes, guess), 0
         self.ext = np.array([e for _, e in self.pieces], np.int32)[:, None, None]
         self.open = np.array([oe for oe, _ in self.pieces], np.int32)[:, None, None]
-        at = np.arange(n + 2, dtype=np.int32)
-        self.slope = at[None, None, :] * self.ext if self.pieces else at * p.gap_extend[0]
-        best, best_row, best_j, best_node = NEG, 0, 0, self.begin
-        order = [x for x in g.node_at[self.first + 1 : self.last] if self.live[x]]
-        i, stopped = 0, False
-        while i < len(order) and not stopped:
-            # rows up to the first that needs one of them
-            rows, start = [], self.row_of[order[i]]
-            while i < len(order) and len(rows) < BLOCK:
-                row = self.row_of[order[i]]
-                if any(r >= start for r, _ in self.pre[row]):
-                    break
-                x = order[i]
-                if banded:
-                    b, e = reach(x)
-                    b = max(b, min(self.beg[r] for r, _ in self.pre[row]))
-                else:
-                    b, e = 0, n
-                self.beg[row], self.stop[row] = b, e
-                rows.append(row)
-                i += 1
-            full = [r for r in rows if self.stop[r] >= self.beg[r]]
-            tops = dict.fromkeys(rows, (NEG, -1, -1))
-            if full:
-                tops.update(zip(full, self._block(full, step)))
-            for row in rows:
-                x = g.node_at[row + self.first]
-                top, lo, hi = tops[row]
-                if self.local:
-                    if top > best:
-                        best, best_row, best_j = top, row, lo
-                elif self.extend:
-                    if top > best:
-                        best, best_row, best_j, best_node = top, row, hi, x
-                    elif p.zdrop > 0:
-                        delta = g.remain[best_node] - g.remain[x]
-                        if best - top > p.zdrop + p.gap_extend[0] * abs(delta - (hi - best_j)):
-                            stopped = True
-                            break
-                if banded:
-                    for y in g.out[x]:
-                        if hi + 1 > right[y]:
-                            right[y] = hi + 1
-                        if lo + 1 < left[y]:
-                            left[y] = lo + 1
+        at = np.arange(wide + 2, dtype=np.int32)
+        self.slope = at * self.ext if self.pieces else at * np.int32(params.gap_extend[0])
+        self.shift = self.slope + self.open - self.ext if self.pieces else None
+        self.span = np.arange(-1, wide + 2)
+        self.compute = {Gap.LINEAR: self._linear, Gap.AFFINE: self._affine, Gap.CONVEX: self._convex}[params.gap]
+
+    def run(self) -> list[Alignment]:
+        self._first_rows(self.levels[1])
+        for a, b, many in zip(self.levels[1:-1], self.levels[2:], self.many[1:]):
+            self._level(a, b, [m for m in many if m])
+        at, beg, stop = self.at.tolist(), self.beg.tolist(), self.stop.tolist()
+        flat = [self.cells[i] for i in range(self.planes)]
+        return [self._trace(lane, place, *self._best(lane, place), at, beg, stop, flat) for lane, place in zip(self.lanes, self.place)]
+
+    def _best(self, lane: _Lane, place: np.ndarray) -> tuple[int, int, int]:
+        """Score, row among the lane's nodes, and read position at which the way back starts."""
+        g, p = lane.g, self.p
         if p.mode is Mode.GLOBAL:
-            for x in g.into[self.end]:
-                if x in self.row_of:
-                    row = self.row_of[x]
-                    j = min(n, self.stop[row])
-                    v = self._cell(0, row, j)
+            best, row, j = NEG, 0, 0
+            for x in g.into[lane.end]:
+                r = int(lane.row_of[x])
+                if r >= 0:
+                    at = int(place[r])
+                    here = min(lane.n, int(self.stop[at]))
+                    v = self._cell(at, here)
                     if v > best:
-                        best, best_row, best_j = v, row, j
-        return self._trace(best, best_row, best_j)
+                        best, row, j = v, r, here
+            return best, row, j
+        tops = self.top[place]
+        tops[0] = NEG
+        if self.local or p.zdrop <= 0:
+            row = int(tops.argmax())
+            at = place[row]
+            return (int(tops[row]), row, int((self.lo if self.local else self.hi)[at])) if row else (NEG, 0, 0)
+        best, best_row, best_j, best_node = NEG, 0, 0, lane.begin
+        for row, (top, hi) in enumerate(zip(tops.tolist(), self.hi[place].tolist())):
+            if row == 0:
+                continue
+            if top > best:
+                best, best_row, best_j, best_node = top, row, hi, lane.nodes[row]
+            else:
+                delta = g.remain[best_node] - g.remain[lane.nodes[row]]
+                if best - top > p.zdrop + p.gap_extend[0] * abs(delta - (hi - best_j)):
+                    break
+        return best, best_row, best_j
 
     # Rows -------------------------------------------------------------------------------
 
-    def _room(self, rows: list[int], base: int, width: int) -> np.ndarray:
-        """Cells for rows that all start at base, with a sentinel on each side."""
-        size = len(rows) * (width + 2)
-        while self.used + size > self.cells.shape[1]:
-            self.cells = np.concatenate((self.cells, np.full_like(self.cells, NEG)), axis=1)
-        part = self.cells[:, self.used : self.used + size].reshape(self.planes, len(rows), width + 2)
-        self.at[rows] = self.used + 1 + np.arange(len(rows)) * (width + 2)
-        self.base[rows], self.width[rows] = base, width
+    def _room(self, rows, n: int, width: int) -> np.ndarray:
+        """Cells for n rows of one padded width, with a sentinel on each side."""
+        size = n * (width + 2)
+        if self.used + size > self.cells.shape[1]:
+            old, self.cells = self.cells, _kept(self.planes, max(self.used + size, self.cells.shape[1] * 3 // 2))
+            self.cells[:, : self.used] = old[:, : self.used]
+        part = self.cells[:, self.used : self.used + size].reshape(self.planes, n, width + 2)
+        part[:, :, 0] = part[:, :, -1] = NEG
+        self.at[rows] = np.arange(self.used + 1, self.used + 1 + size, width + 2)
         self.used += size
         return part[:, :, 1:-1]
 
-    def _cell(self, plane: int, row: int, j: int) -> int:
-        return int(self.cells[plane, self.at[row] + j - self.base[row]]) if self.beg[row] <= j <= self.stop[row] else 2 * NEG
+    def _cell(self, row: int, j: int) -> int:
+        return int(self.cells[0, self.at[row] + j - self.beg[row]]) if self.beg[row] <= j <= self.stop[row] else 2 * NEG
 
-    def _first_row(self, stop: int) -> None:
-        row = self._room([0], 0, stop + 1)[:, 0, :]
+    def _first_rows(self, n: int) -> None:
+        rows = slice(0, n)
+        stop = np.minimum(self.n[rows], np.maximum(0, self.reach[rows]) + self.w[rows]) if self.banded else self.n[rows]
+        self.stop[rows], self.width[rows] = stop, stop + 1
+        self.lo[rows] = self.hi[rows] = 0
+        wide = int(stop.max()) + 1
+        room = self._room(rows, n, wide)
         k = len(self.pieces)
-        if self.local:
-            row[:] = 0
-            return
-        j = np.arange(1, stop + 1, dtype=np.int32)
-        if k == 0:
-            row[0, 1:] = -self.p.gap_extend[0] * j
+        room[:] = 0 if self.local else NEG
+        if not self.local:
+            j = np.arange(1, wide, dtype=np.int32)
+            if k == 0:
+                room[0, :, 1:] = -self.p.gap_extend[0] * j
+            else:
+                for i, (oe, e) in enumerate(self.pieces):
+                    room[1 + i, :, 0] = -oe
+                    room[1 + k + i, :, 1:] = -(oe - e) - e * j
+                room[0, :, 1:] = room[1 + k :, :, 1:].max(0)
+            room[0, :, 0] = 0
+        np.copyto(room, NEG, where=np.arange(wide) > stop[:, None])
+
+    def _level(self, a: int, b: int, many: list[int]) -> None:
+        """Bands of the rows of one level, then their cells, in parts of about the same width."""
+        pre = self.pre
+        if self.banded:
+            p = pre[0, a:b]
+            left, right, low = self.lo[p], self.hi[p], self.beg[p]
+            for k, m in enumerate(many[1:], 1):
+                p = pre[k, a : a + m]
+                np.minimum(left[:m], self.lo[p], out=left[:m])
+                np.maximum(right[:m], self.hi[p], out=right[:m])
+                np.minimum(low[:m], self.beg[p], out=low[:m])
+            reach, w = self.reach[a:b], self.w[a:b]
+            left += 1
+            np.minimum(left, reach, out=left)
+            left -= w
+            right += 1
+            np.maximum(right, reach, out=right)
+            right += w
+            beg = np.maximum(left, low)
+            np.maximum(beg, 0, out=beg)
+            stop = np.minimum(right, self.n[a:b])
+            self.beg[a:b], self.stop[a:b] = beg, stop
+            width = stop - beg
+            width += 1
         else:
-            for i, (oe, e) in enumerate(self.pieces):
-                row[1 + i, 0] = -oe
-                row[1 + k + i, 1:] = -(oe - e) - e * j
-            row[0, 1:] = row[1 + k :, 1:].max(0)
-        row[0, 0] = 0
-
-    def _block(self, rows: list[int], step) -> list[tuple[int, int, int]]:
-        """Computes rows that do not need one another; best score of each with its first and last place."""
-        b, e = min(self.beg[r] for r in rows), max(self.stop[r] for r in rows)
-        j = np.arange(b, e + 1)
-        s = self.letters[[self.g.base[self.g.node_at[r + self.first]] for r in rows], b : e + 1]
-        lo = np.array([self.beg[r] for r in rows])[:, None]
-        hi = np.array([self.stop[r] for r in rows])[:, None]
-        outside = (j < lo) | (j > hi) if len(rows) > 1 else None
-        h, planes = step(rows, s, j, outside)
-        room = self._room(rows, b, e - b + 1)
-        if outside is not None:
-            planes[:, outside] = NEG
-        room[:] = planes
-        h = planes[0]
-        first = h.argmax(1)
-        last = h.shape[1] - 1 - h[:, ::-1].argmax(1)
-        top = h[np.arange(len(rows)), first]
-        return [(t, b + f, b + z) if t > _LOW else (NEG, -1, -1) for t, f, z in zip(top.tolist(), first.tolist(), last.tolist())]
-
-    def _before(self, rows: list[int]):
-        """The rows before, nth by nth: (which of the rows, their rows before, their costs)."""
-        pre = [self.pre[r] for r in rows]
-        for k in range(max(map(len, pre))):
-            some = [i for i, x in enumerate(pre) if len(x) > k]
-            which = slice(None) if len(some) == len(rows) else np.array(some)
-            cost = np.array([pre[i][k][1] for i in some], np.int32)[:, None] if self.p.path_score else None
-            yield which, np.array([pre[i][k][0] for i in some]), cost
-
-    def _places(self, r: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Where the cells at positions j of rows r lie; a sentinel for those outside."""
-        at = j - self.base[r][:, None]
-        np.maximum(at, -1, out=at)
-        np.minimum(at, self.width[r][:, None], out=at)
-        at += self.at[r][:, None]
-        return at
-
-    def _from(self, rows: list[int], j: np.ndarray) -> np.ndarray:
-        """Best over the rows before: H one position back (plane 0) and the open gaps at the same position."""
-        k = len(self.pieces)
-        wide = np.arange(int(j[0]) - 1, int(j[-1]) + 1)  # from one position in front
-        got = None
-        for which, r, cost in self._before(rows):
-            part = self.cells[: 1 + k].take(self._places(r, wide), axis=1)
-            part[0, :, 1:] = part[0, :, :-1]
-            part = part[:, :, 1:]
+            self.stop[a:b] = self.n[a:b]
+            width = self.n[a:b] + 1
+        most, least = int(width.max()), int(width.min())
+        if least > 0 and (least == most or most * (b - a) <= 2 * int(width.sum()) + _SLACK):
+            self.width[a:b] = width
+            self._block(slice(a, b), many, most)
+            return
+        self.width[a:b] = np.maximum(width, 0)
+        size = np.where(width > 0, np.frexp(width.astype(np.float64))[1], 0)
+        for s in np.unique(size).tolist():
+            if s > 0:
+                rows = np.flatnonzero(size == s)
+                self._block(rows + a, [x for x in np.searchsorted(rows, many).tolist() if x], int(width[rows].max()))
+
+    def _block(self, rows, many: list[int], width: int) -> None:
+        """``many``: how many of the rows have one, two, three, ... rows before them; those with more come first."""
+        beg = self.beg[rows]
+        n = len(beg)
+        s = self.letters.take((self.letter_at[rows] + beg)[:, None] + self.span[1 : width + 1])
+        wide = self.width[rows]
+        outside = self.span[1 : width + 1] >= wide[:, None] if int(wide.min()) < width else None
+        zero = np.flatnonzero(beg == 0) if int(beg.min()) == 0 else None
+        room = self._room(rows, n, width)
+        self.compute(room, rows, many, beg, s, outside, zero)
+        if self.banded or self.p.mode is not Mode.GLOBAL:
+            h = room[0]
+            first = h.argmax(1)
+            top = h[self.span[1 : n + 1] if n < len(self.span) else np.arange(n), first]
+            last = width - 1 - h[:, ::-1].argmax(1)
+            some = top > _LOW
+            if some.all():
+                self.top[rows], self.lo[rows], self.hi[rows] = top, beg + first, beg + last
+            else:
+                self.top[rows], self.lo[rows], self.hi[rows] = np.where(some, top, NEG), np.where(some, beg + first, -1), np.where(some, beg + last, -1)
+
+    def _before(self, rows, many: list[int], beg: np.ndarray, width: int):
+        """Rows before, nth by nth: (how many of the rows have one, where its cells lie from one position in front, costs)."""
+        for k, m in enumerate(many):
+            p = self.pre[k, rows][:m]
+            at = (beg[:m] - self.beg[p])[:, None] + self.span[: width + 1]
+            np.maximum(at, -1, out=at)
+            np.minimum(at, self.width[p][:, None], out=at)
+            at += self.at[p][:, None]
+            yield m, at, (self.cost[k, rows][:m, None] if self.cost is not None else None)
+
+    def _from(self, rows, many, beg, s: np.ndarray, zero) -> tuple[np.ndarray, np.ndarray]:
+        """Best over the rows before: letter against letter, and each open gap."""
+        got, cells = None, self.cells[: 1 + len(self.pieces)]
+        for m, at, cost in self._before(rows, many, beg, s.shape[1]):
+            part = cells.take(at, axis=1)
             if cost is not None:
-                part = part + cost
+                part += cost
             if got is None:
                 got = part
-            elif isinstance(which, slice):
-                np.maximum(got, part, out=got)
             else:
-                got[:, which] = np.maximum(got[:, which], part)
-        if self.local and j[0] == 0:
-            got[0, :, 0] = 0
-        return got
-
-    def _gaps(self, over: np.ndarray) -> np.ndarray:
-        """Insertions that start from the given scores (pieces or 1, rows, positions)."""
-        slope = self.slope[:, :, : over.shape[-1]]
-        run = np.maximum.accumulate(over + slope, axis=-1)
-        f = np.full(run.shape, NEG, np.int32)
-        f[:, :, 1:] = run[:, :, :-1] - slope[:, :, 1:] - (self.open - self.ext)
-        return f
-
-    def _convex(self, rows, s: np.ndarray, j: np.ndarray, outside) -> tuple[np.ndarray, np.ndarray]:
-        got = self._from(rows, j)
-        got[0] += s
-        if j[0] == 0 and not self.local:
-            got[0, :, 0] = NEG
-        over = got.max(0)
-        if outside is not None:
-            over[outside] = NEG
-        f = self._gaps(over[None])
-        h = np.maximum(over, f.max(0))
-        if self.local:
-            np.maximum(h, 0, out=h)
-        out = np.maximum(got[1:] - self.ext, h - self.open)
+                np.maximum(got[:, :m], part, out=got[:, :m])
+        if zero is not None and self.local:
+            got[0, zero, 0] = 0
+        got[0, :, :-1] += s
+        if zero is not None and not self.local:
+            got[0, zero, 0] = NEG
+        return got[0, :, :-1], got[1:, :, 1:]
+
+    def _gaps(self, over: np.ndarray, f: np.ndarray) -> None:
+        """Insertions that start from the given scores, into f (pieces, rows, positions)."""
+        width = over.shape[-1]
+        run = over + self.slope[:, :, :width]
+        np.maximum.accumulate(run, axis=2, out=run)
+        f[:, :, 0] = NEG
+        np.subtract(run[:, :, :-1], self.shift[:, :, 1:width], out=f[:, :, 1:])
+
+    def _leave(self, gap: np.ndarray, h: np.ndarray, room: np.ndarray) -> None:
+        """Deletions that go on or start here."""
+        out = room[1 : 1 + len(self.pieces)]
+        np.subtract(gap, self.ext, out=out)
+        np.maximum(out, h - self.open, out=out)
         if self.local:
             np.maximum(out, 0, out=out)
-        return h, np.concatenate((h[None], out, f))
-
-    def _affine(self, rows, s: np.ndarray, j: np.ndarray, outside) -> tuple[np.ndarray, np.ndarray]:
-        got = self._from(rows, j)
-        m = got[0] + s
-        if j[0] == 0 and not self.local:
-            m[:, 0] = NEG
-        over = np.maximum(m, got[1])
+
+    def _convex(self, room, rows, many, beg, s, outside, zero) -> None:
+        over, gap = self._from(rows, many, beg, s, zero)
+        for x in gap:
+            np.maximum(over, x, out=over)
         if outside is not None:
-            m[outside] = over[outside] = NEG
-        f = self._gaps(m[None])
-        h = np.maximum(over, f[0])
+            np.copyto(over, NEG, where=outside)
+        f, h = room[1 + len(self.pieces) :], room[0]
+        self._gaps(over, f)
+        np.maximum(over, f[0], out=h)
+        for x in f[1:]:
+            np.maximum(h, x, out=h)
         if self.local:
             np.maximum(h, 0, out=h)
-        out = np.maximum(got[1:] - self.ext, h - self.open)
+        self._leave(gap, h, room)
+        if outside is not None:
+            np.copyto(room[: 1 + len(self.pieces)], NEG, where=outside)
+
+    def _affine(self, room, rows, many, beg, s, outside, zero) -> None:
+        m, gap = self._from(rows, many, beg, s, zero)
+        over = np.maximum(m, gap[0])
+        if outside is not None:
+            np.copyto(m, NEG, where=outside)
+            np.copyto(over, NEG, where=outside)
+        f, h = room[2], room[0]
+        self._gaps(m, room[2:])
+        np.maximum(over, f, out=h)
         if self.local:
-            np.maximum(out, 0, out=out)
-        out[0][f[0] > over] = 0 if self.local else NEG
-        return h, np.concatenate((h[None], out, f))
-
-    def _linear(self, rows, s: np.ndarray, j: np.ndarray, outside) -> tuple[np.ndarray, np.ndarray]:
-        step, h = self.p.gap_extend[0], None
-        for which, r, cost in self._before(rows):
-            one = self.cells[0].take(self._places(r, j - 1)) + s[which]
-            if j[0] == 0:
-                one[:, 0] = 0 if self.local else NEG
-            part = np.maximum(one, self.cells[0].take(self._places(r, j)) - step)
+            np.maximum(h, 0, out=h)
+        self._leave(gap, h, room)
+        np.copyto(room[1], 0 if self.local else NEG, where=f > over)
+        if outside is not None:
+            np.copyto(room[:2], NEG, where=outside)
+
+    def _linear(self, room, rows, many, beg, s, outside, zero) -> None:
+        step, h, width = self.p.gap_extend[0], None, s.shape[1]
+        for m, at, cost in self._before(rows, many, beg, width):
+            one = self.cells[0].take(at)
+            part = one[:, :-1] + s[:m]
+            if zero is not None:
+                part[zero[zero < m], 0] = 0 if self.local else NEG
+            np.maximum(part, one[:, 1:] - step, out=part)
             if cost is not None:
                 part += cost
             if h is None:
                 h = part
-            elif isinstance(which, slice):
-                np.maximum(h, part, out=h)
             else:
-                h[which] = np.maximum(h[which], part)
+                np.maximum(h[:m], part, out=h[:m])
         if outside is not None:
-            h[outside] = NEG
-        slope = self.slope[: len(j)]
-        h = np.maximum.accumulate(h + slope, axis=1) - slope
+            np.copyto(h, NEG, where=outside)
+        slope = self.slope[:width]
+        h += slope
+        np.maximum.accumulate(h, axis=1, out=h)
+        h -= slope
         if self.local:
             np.maximum(h, 0, out=h)
-        return h, h[None].copy()
+        room[0] = h
+        if outside is not None:
+            np.copyto(room[0], NEG, where=outside)
 
-    # Traceback --------------------------------------------------------------------------
+    # Way back ---------------------------------------------------------------------------
 
-    def _trace(self, best: int, row: int, j: int) -> Alignment:
-        g, p, n, cell = self.g, self.p, self.n, self._cell
+    def _trace(self, lane: _Lane, place: np.ndarray, best: int, first_row: int, first_j: int, at: list, beg: list, stop: list, flat: list) -> Alignment:
+        g, p, n, q, nodes = lane.g, self.p, lane.n, lane.q.tolist(), lane.nodes
         k, step = len(self.pieces), p.gap_extend[0]
+        places = place.tolist()
+        H, scores, base, costs = flat[0].item, self.scores.tolist(), g.base, self.cost
         out = Alignment(best)
         steps: list[tuple[str, int, int]] = []
 
+        def cell(plane: int, row: int, j: int) -> int:
+            return flat[plane].item(at[row] + j - beg[row]) if beg[row] <= j <= stop[row] else 2 * NEG
+
         def insert(length: int) -> None:
             if steps and steps[-1][0] == "I":
                 steps[-1] = ("I", -1, steps[-1][2] + length)
             else:
                 steps.append(("I", -1, length))
 
+        nth, before, nth_of = first_row, lane.before, lane.row_of.tolist()  # among the lane's nodes
+        j, row, start = first_j, places[first_row], places[0]
         if j < n:
             insert(n - j)
         at_end = p.gap_at_end  # until the first gap, gaps go before matches
-        first_row, first_j = row, j
-        may_match, gaps_out, gaps_in = True, set(range(k)), set(range(k))
+        may_match = not p.gap_on_right
+        every = list(range(k))
+        gaps_out = gaps_in = every
         closing = True  # whether a gap may close here, so that H counts
-        last_row, last_j = row, j
-        while row > 0 and j > 0:
+        last, last_j = nth, j
+        aligned = matched = 0
+        while row != start and j > 0:
             h = cell(0, row, j)
             if self.local and h == 0:
                 break
-            last_row, last_j = row, j
-            node = g.node_at[row + self.first]
-            s = int(self.scores[g.base[node], self.q[j - 1]])
-
-            def match():
-                if closing:
-                    for r, cost in self.pre[row]:
-                        if self.beg[r] <= j - 1 <= self.stop[r] and cell(0, r, j - 1) + s + cost == h:
-                            return r
-                return None
-
-            def delete():
-                for r, cost in self.pre[row]:
-                    if not self.beg[r] <= j <= self.stop[r]:
+            last, last_j = nth, j
+            node = nodes[nth]
+            letter = base[node]
+            rows = before[nth]
+            to, cost = -1, 0
+            if closing:
+                s = h - scores[letter][q[j - 1]]
+                i = j - 1
+                for nr, x in enumerate(rows):
+                    x = nth_of[x]
+                    r = places[x]
+                    if costs is not None:
+                        cost = int(costs[nr, row])
+                    if beg[r] <= i <= stop[r] and H(at[r] + i - beg[r]) + cost == s:
+                        to = x
+                        break
+            if to < 0 or not may_match or at_end:
+                found = None
+                for nr, x in enumerate(rows):
+                    x = nth_of[x]
+                    r = places[x]
+                    if costs is not None:
+                        cost = int(costs[nr, row])
+                    if not beg[r] <= j <= stop[r]:
                         continue
                     if k == 0:
                         if cell(0, r, j) - step + cost == h:
-                            return r, True, -1
+                            found = x, True, -1
+                            break
                         continue
-                    for i in sorted(gaps_out):
+                    for i in gaps_out:
                         oe, e = self.pieces[i]
                         v = cell(1 + i, r, j)
                         if (h == v + cost) if closing else (cell(1 + i, row, j) == v - e + cost):
-                            return r, cell(0, r, j) - oe == v, i
-                return None
-
-            def inside():
+                            found = x, cell(0, r, j) - oe == v, i
+                            break
+                    if found:
+                        break
+                if found:
+                    nth, opened, i = found
+                    steps.append(("D", node, 1))
+                    row, at_end = places[nth], False
+                    if k:
+                        closing = opened
+                        gaps_out, gaps_in = ([], every) if opened else ([i], [])
+                    continue
                 if k == 0:
-                    return (True, -1) if cell(0, row, j - 1) - step == h else None
-                for i in sorted(gaps_in):
-                    oe, e = self.pieces[i]
-                    f = cell(1 + k + i, row, j)
-                    if closing and f != h:
-                        continue
-                    if cell(0, row, j - 1) - oe == f:
-                        return True, i
-                    if cell(1 + k + i, row, j - 1) - e == f:
-                        return False, i
-                return None
-
-            if not p.gap_on_right and not at_end and (r := match()) is not None:
-                pass
-            elif (d := delete()) is not None:
-                r, opened, i = d
-                steps.append(("D", node, 1))
-                row, at_end = r, False
-                if k:
-                    closing = opened
-                    gaps_out, gaps_in = (set(), set(range(k))) if opened else ({i}, set())
-                continue
-            elif (f := inside()) is not None:
-                opened, i = f
-                insert(1)
-                j, at_end = j - 1, False
-                out.n_aligned += 1
-                if k:
-                    closing = opened
-                    gaps_out, gaps_in = (set(range(k)), set()) if opened else (set(), {i})
-                continue
-            elif (r := match()) is not None:
+                    if cell(0, row, j - 1) - step == h:
+                        found = True, -1
+                else:
+                    for i in gaps_in:
+                        oe, e = self.pieces[i]
+                        f = cell(1 + k + i, row, j)
+                        if closing and f != h:
+                            continue
+                        if cell(0, row, j - 1) - oe == f:
+                            found = True, i
+                            break
+                        if cell(1 + k + i, row, j - 1) - e == f:
+                            found = False, i
+                            break
+                if found:
+                    opened, i = found
+                    insert(1)
+                    j, at_end = j - 1, False
+                    aligned += 1
+                    if k:
+                        closing = opened
+                        gaps_out, gaps_in = (every, []) if opened else ([], [i])
+                    continue
+                if to < 0:
+                    raise RuntimeError("no way back from a cell")
                 at_end = False
-            else:
-                raise RuntimeError("no way back from a cell")
             steps.append(("M", node, 1))
-            out.n_aligned += 1
-            out.n_matched += int(g.base[node] == self.q[j - 1])
-            row, j = r, j - 1
-            closing, gaps_out, gaps_in = True, set(range(k)), set(range(k))
+            aligned += 1
+            matched += letter == q[j - 1]
+            nth, row, j = to, places[to], j - 1
+            closing, gaps_out, gaps_in = True, every, every
         if j > 0:
             insert(j)
         steps.reverse()
-        out.steps = steps
-        out.node_end, out.query_end = g.node_at[first_row + self.first], first_j - 1
-        out.node_start, out.query_start = g.node_at[last_row + self.first], last_j - 1
+        out.steps, out.n_aligned, out.n_matched = steps, aligned, matched
+        out.node_end, out.query_end = nodes[first_row], first_j - 1
+        out.node_start, out.query_start = nodes[last], last_j - 1
         return out

@@ -36,6 +36,7 @@ class Lattice:
         self.read_weight: dict[int, dict[int, int]] = {}
         self.n_seq = 0
         self.stale = True
+        self.touched: set[int] = set()  # whose edges may be out of order
         for _ in range(2):
             self.add_node(-1)
 
@@ -56,6 +57,8 @@ class Lattice:
 
     def add_edge(self, a: int, b: int, weight: int, read: int | None, fresh: bool = False, counted: bool = True, keep_weight: bool = False) -> None:
         """One more read from a to b. ``fresh``: there can be no such edge yet."""
+        self.touched.add(a)
+        self.touched.add(b)
         at = -1 if fresh or b not in self.out[a] else self.out[a].index(b)
         if at >= 0:
             self.out_weight[a][at] += weight
@@ -126,9 +129,9 @@ class Lattice:
                     nodes.append(new)
         self.add_edge(last, end, int(weights[n - 1]), read, fresh, True, keep_weight)
         self.order()
-        at = self.index
-        for i in range(at[begin] + 1, at[end]):
-            self.n_span[self.node_at[i]] += 1
+        at, span = self.index, self.n_span
+        for x in self.node_at[at[begin] + 1 : at[end]]:
+            span[x] += 1
         if both_ends:
             self.n_span[begin] += 1
             self.n_span[end] += 1
@@ -136,61 +139,62 @@ class Lattice:
 
     # Orders -----------------------------------------------------------------------------
 
-    def _settle(self, visit) -> None:
-        """Visits nodes once all edges into their whole column are used; ``visit`` gets and gives the queue."""
-        degree = [len(x) for x in self.into]
-        queue = deque([SOURCE])
-        while queue:
-            node = visit(queue)
-            if node == SINK:
-                return
-            for to in self.out[node]:
-                degree[to] -= 1
-                if degree[to] == 0 and not any(degree[x] for x in self.column[to]):
-                    queue.append(to)
-                    queue.extend(self.column[to])
-        raise RuntimeError("the graph does not reach its sink")
-
     def order(self) -> None:
-        """Topological order breadth first, edges by weight, and letters left to the sink on the heaviest way."""
-        self.node_at: list[int] = []
+        """Topological order breadth first by columns, edges by weight, and letters left to the sink on the heaviest way.
 
-        def visit(queue):
-            self.node_at.append(queue.popleft())
-            return self.node_at[-1]
-
-        self._settle(visit)
-        self.index = [0] * len(self)
-        for i, x in enumerate(self.node_at):
-            self.index[x] = i
-        for x in range(len(self)):
+        Only nodes whose edges changed since the last time can be out of order.
+        """
+        degree, out, column = list(map(len, self.into)), self.out, self.column
+        at = [SOURCE]
+        for x in at:  # grows while it is read
+            if x == SINK:
+                break
+            for to in out[x]:
+                degree[to] = left = degree[to] - 1
+                if left == 0:
+                    mates = column[to]
+                    if not mates:
+                        at.append(to)
+                    elif not any([degree[m] for m in mates]):
+                        at.append(to)
+                        at += mates
+        else:
+            raise RuntimeError("the graph does not reach its sink")
+        del at[at.index(SINK) + 1 :]
+        self.node_at = at
+        self.index = index = [0] * len(self)
+        for i, x in enumerate(at):
+            index[x] = i
+        for x in self.touched:
             if len(self.into[x]) > 1:
                 swap_sorted(self.into_weight[x], self.into[x])
-            if len(self.out[x]) > 1:
-                swap_sorted(self.out_weight[x], self.out[x], self.out_reads[x])
-        self.remain = [0] * len(self)
-        self.remain[SINK] = -1
-        for x in reversed(self.node_at):
-            if x != SINK:
-                self.remain[x] = self.remain[self.out[x][0]] + 1
+            if len(out[x]) > 1:
+                swap_sorted(self.out_weight[x], out[x], self.out_reads[x])
+        self.touched.clear()
+        self.remain = remain = [0] * len(self)
+        remain[SINK] = -1
+        for x in at[-2::-1]:
+            remain[x] = remain[out[x][0]] + 1
         self.stale = False
 
     def ranks(self) -> list[int]:
         """Alignment column of each node, depth first: source 0, columns from 1, sink last."""
-        rank = [-1] * len(self)
-        n = 0
-
-        def visit(stack):
-            nonlocal n
+        rank, n = [-1] * len(self), 0
+        degree, stack = list(map(len, self.into)), [SOURCE]
+        while stack:
             node = stack.pop()
             if rank[node] < 0:
                 for x in (node, *self.column[node]):
                     rank[x] = n
                 n += 1
-            return node
-
-        self._settle(visit)
-        return rank
+            if node == SINK:
+                return rank
+            for to in self.out[node]:
+                degree[to] -= 1
+                if degree[to] == 0 and not any(degree[x] for x in self.column[to]):
+                    stack.append(to)
+                    stack.extend(self.column[to])
+        raise RuntimeError("the graph does not reach its sink")
 
     # Parts ------------------------------------------------------------------------------
 

@@ -7,16 +7,19 @@ on the group. What follows the graph is relational and stays in the JVM.
 
 from __future__ import annotations
 
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.kernels import restore
 from braidwork.kernels.consensus import Called, call
-from braidwork.kernels.fold import fold
+from braidwork.kernels.fold import fold_many
 from braidwork.kernels.lattice import Lattice
 from braidwork.kernels.params import Params
 from braidwork.plans.columns import take
+from braidwork.plans.grouping import each_group, grouped, tables
 
 READS = "array<struct<read_id:int,name:string,is_rc:boolean,score:int>>"
 NODES = "array<struct<node_id:int,base:string,n_read:int,n_span_read:int,topo_index:int,walk_index:int,msa_rank:int>>"
@@ -91,57 +94,91 @@ def describe(group: str | None, graph: Lattice, params: Params, reads: list[dict
 
 
 def _folder(params: Params, parts: tuple[str, ...]):
-    def group(table):
-        table = table.sort_by("read_id")
-        columns = {c: table.column(c).to_pylist() for c in ("read_id", "name", "seq", "qual")}
-        name = table.column("group_id")[0].as_py()
-        done = fold([(s or "", q) for s, q in zip(columns["seq"], columns["qual"])], params)
-        reads = [{"read_id": columns["read_id"][i], "name": columns["name"][i], "is_rc": back, "score": score} for i, back, score in zip(done.order, done.reversed, done.scores)]
-        return pa.Table.from_pylist([describe(name, done.graph, params, reads, parts)], schema=SCHEMA)
+    def run(batches):
+        waiting: deque = deque()
+
+        def reads():
+            for name, c in each_group(batches, "group_id"):
+                waiting.append((name, c["read_id"], c["name"]))
+                yield [(s or "", w or q) for s, q, w in zip(c["seq"], c["qual"], c["weights"])], None
+
+        def rows():
+            for done in fold_many(reads(), params):
+                name, ids, names = waiting.popleft()
+                made = [{"read_id": ids[i], "name": names[i], "is_rc": back, "score": score} for i, back, score in zip(done.order, done.reversed, done.scores)]
+                yield describe(name, done.graph, params, made, parts)
 
-    return group
+        yield from tables(rows(), SCHEMA)
 
+    return run
 
-def poa(reads: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PARTS, group: str = "group_id", read_id: str = "read_id", name: str | None = "name", seq: str = "seq", qual: str | None = "qual") -> DataFrame:
+
+def poa(reads: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PARTS, group: str = "group_id", read_id: str = "read_id", name: str | None = "name", seq: str = "seq", qual: str | None = "qual", weights: str | None = None, partitions: int | None = None) -> DataFrame:
     """One row a group: its reads, graph, alignment and consensus, as far as ``parts`` asks.
 
     Reads are added in the order of ``read_id``; places in the result count
-    from 0 in that order (or by length, with ``longest_first``). A null or empty
-    sequence is a read that adds nothing; a null group is a group; extra columns
-    do not matter; an empty table gives an empty result.
+    from 0 in that order (or by length, with ``longest_first``). ``weights``: a
+    column of integers, one a letter, that count in place of qualities; a null
+    or empty list leaves the quality, a list of another length and null
+    elements are an error. A null or empty sequence is a read that adds nothing; a null
+    group is a group; extra columns do not matter; an empty table gives an
+    empty result.
     """
     nothing = F.lit(None).cast("string")
-    rows = take(reads, group_id=F.col(f"`{group}`").cast("string"), read_id=F.col(f"`{read_id}`").cast("int"), name=F.col(f"`{name}`").cast("string") if name else nothing, seq=seq, qual=(F.col(f"`{qual}`") if qual and params.use_quality else nothing))
-    return rows.groupBy("group_id").applyInArrow(_folder(params, parts), RESULT)
+    given = F.lit(None).cast("array<int>")
+    if weights:
+        params = params.with_(use_quality=True)
+        w = F.col(f"`{weights}`").cast("array<int>")
+        bad = F.coalesce((F.size(w) > 0) & ((F.size(w) != F.length(F.coalesce(F.col(f"`{seq}`"), F.lit("")))) | F.exists(w, lambda x: x.isNull() | (x < 0))), F.lit(False))
+        given = F.when(bad, F.raise_error(F.lit("weights must be one number of at least 0 for each letter"))).otherwise(w)
+    rows = take(reads, group_id=F.col(f"`{group}`").cast("string"), read_id=F.col(f"`{read_id}`").cast("int"), name=F.col(f"`{name}`").cast("string") if name else nothing, seq=seq, qual=(F.col(f"`{qual}`") if qual and params.use_quality else nothing), weights=given)
+    return grouped(rows, "group_id", "read_id", "seq", "name", partitions=partitions).mapInArrow(_folder(params, parts), RESULT)
 
 
-def from_aligned(rows: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PARTS, group: str = "group_id", read_id: str = "read_id", name: str | None = None, aligned: str = "aligned") -> DataFrame:
-    """Graphs restored from aligned rows."""
+def _restorer(build, params: Params, parts: tuple[str, ...]):
+    """``build``: from a group's columns to (restored graph, ids of its reads)."""
+
+    def run(batches):
+        def rows():
+            for name, c in each_group(batches, "group_id"):
+                got, ids = build(c)
+                made = [{"read_id": r, "name": n or None, "is_rc": b, "score": 0} for r, n, b in zip(ids, got.names, got.reversed)]
+                yield describe(name, got.graph, params, made, parts)
+
+        yield from tables(rows(), SCHEMA)
+
+    return run
+
+
+def restored_rows(c: dict[str, list], params: Params) -> tuple[restore.Restored, list[int]]:
+    return restore.from_rows([(n or "", a) for n, a in zip(c["name"], c["aligned"])], params), c["read_id"]
+
 
-    def build(table):
-        table = table.sort_by("read_id")
-        names = [x or "" for x in table.column("name").to_pylist()]
-        got = restore.from_rows(list(zip(names, table.column("aligned").to_pylist())), params)
-        made = [{"read_id": r, "name": n or None, "is_rc": b, "score": 0} for r, n, b in zip(table.column("read_id").to_pylist(), got.names, got.reversed)]
-        return pa.Table.from_pylist([describe(table.column("group_id")[0].as_py(), got.graph, params, made, parts)], schema=SCHEMA)
+def restored_paths(c: dict[str, list], params: Params) -> tuple[restore.Restored, list[int]]:
+    fields = [x.split("\t") for x in c["line"]]
+    got = restore.from_paths([(f[1], f[2]) for f in fields if f[0] == "S"], [(f[1], f[2]) for f in fields if f[0] == "P"], params)
+    return got, list(range(len(got.names)))
 
+
+def aligned_input(rows: DataFrame, group: str, read_id: str, name: str | None, aligned: str) -> DataFrame:
     take_name = F.col(f"`{name}`").cast("string") if name else F.lit(None).cast("string")
     kept = take(rows, group_id=F.col(f"`{group}`").cast("string"), read_id=F.col(f"`{read_id}`").cast("int"), name=take_name, aligned=aligned).where("aligned is not null")
-    return kept.groupBy("group_id").applyInArrow(build, RESULT)
+    return grouped(kept, "group_id", "read_id", "aligned")
 
 
-def from_gfa(lines: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PARTS, group: str = "group_id", order: str = "line_no", line: str = "line") -> DataFrame:
-    """Graphs restored from S and P lines; other lines do not matter."""
+def gfa_input(lines: DataFrame, group: str, order: str, line: str) -> DataFrame:
+    kept = take(lines, group_id=F.col(f"`{group}`").cast("string"), line_no=F.col(f"`{order}`").cast("long"), line=line)
+    return grouped(kept.where(F.col("line").startswith("S\t") | F.col("line").startswith("P\t")), "group_id", "line_no", "line")
 
-    def build(table):
-        table = table.sort_by("line_no")
-        fields = [x.split("\t") for x in table.column("line").to_pylist()]
-        got = restore.from_paths([(f[1], f[2]) for f in fields if f[0] == "S"], [(f[1], f[2]) for f in fields if f[0] == "P"], params)
-        made = [{"read_id": r, "name": n, "is_rc": b, "score": 0} for r, (n, b) in enumerate(zip(got.names, got.reversed))]
-        return pa.Table.from_pylist([describe(table.column("group_id")[0].as_py(), got.graph, params, made, parts)], schema=SCHEMA)
 
-    kept = take(lines, group_id=F.col(f"`{group}`").cast("string"), line_no=F.col(f"`{order}`").cast("long"), line=line)
-    return kept.where(F.col("line").startswith("S\t") | F.col("line").startswith("P\t")).groupBy("group_id").applyInArrow(build, RESULT)
+def from_aligned(rows: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PARTS, group: str = "group_id", read_id: str = "read_id", name: str | None = None, aligned: str = "aligned") -> DataFrame:
+    """Graphs restored from aligned rows; a null row is left out."""
+    return aligned_input(rows, group, read_id, name, aligned).mapInArrow(_restorer(lambda c: restored_rows(c, params), params, parts), RESULT)
+
+
+def from_gfa(lines: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PARTS, group: str = "group_id", order: str = "line_no", line: str = "line") -> DataFrame:
+    """Graphs restored from S and P lines; other lines do not matter."""
+    return gfa_input(lines, group, order, line).mapInArrow(_restorer(lambda c: restored_paths(c, params), params, parts), RESULT)
 
 
 # Tables of a result ------------------------------------------------------------------------

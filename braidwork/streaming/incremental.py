@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -18,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from braidwork.kernels.fold import fold
+from braidwork.kernels.fold import fold_many
 from braidwork.kernels.lattice import Lattice
 from braidwork.kernels.params import Params
+from braidwork.operators import poa
 from braidwork.operators.poa import RESULT, SCHEMA, describe
 from braidwork.plans.columns import take
+from braidwork.plans.grouping import each_group, grouped, tables
 
 _KEPT = ("base", "into", "into_weight", "out", "out_weight", "out_reads", "column", "n_reads", "n_span", "read_weight", "n_seq")
 STATE = "group_id string, n_seq int, state binary"
@@ -45,32 +48,73 @@ def unpack(state: bytes | None) -> tuple[Lattice, list[dict]]:
     return graph, reads
 
 
-def _grow(state: bytes | None, rows: list[dict], params: Params) -> tuple[Lattice, list[dict]]:
-    graph, reads = unpack(state)
-    rows = sorted(rows, key=lambda r: r["read_id"])
-    done = fold([(r["seq"] or "", r["qual"]) for r in rows], params, graph)
-    reads += [{"read_id": rows[i]["read_id"], "name": rows[i]["name"], "is_rc": b, "score": s} for i, b, s in zip(done.order, done.reversed, done.scores)]
-    return graph, reads
+def _grow(states: Iterable[tuple[bytes | None, dict[str, list]]], params: Params) -> Iterator[tuple[Lattice, list[dict]]]:
+    """Each group's graph and reads after its new reads, which come in their order."""
+    held: deque = deque()
+
+    def groups():
+        for state, c in states:
+            graph, reads = unpack(state)
+            held.append((c, reads))
+            yield [(s or "", q) for s, q in zip(c["seq"], c["qual"])], graph
+
+    for done in fold_many(groups(), params):
+        c, reads = held.popleft()
+        reads += [{"read_id": c["read_id"][i], "name": c["name"][i], "is_rc": b, "score": s} for i, b, s in zip(done.order, done.reversed, done.scores)]
+        yield done.graph, reads
 
 
 def _reads(df: DataFrame) -> DataFrame:
     return take(df, group_id=F.col("group_id").cast("string"), read_id=F.col("read_id").cast("int"), name="name", seq="seq", qual="qual")
 
 
-def add(state: DataFrame | None, reads: DataFrame, params: Params = Params()) -> DataFrame:
-    """(group_id, n_seq, state) after the reads; groups without new reads stay as they are."""
+_STATE = pa.schema([("group_id", pa.string()), ("n_seq", pa.int32()), ("state", pa.binary())])
+_COLUMNS = ("read_id", "name", "seq", "qual")
+
 
-    def group(table):
-        rows = table.to_pylist()
-        old = next((r["state"] for r in rows if r["state"] is not None), None)
-        graph, kept = _grow(old, [r for r in rows if r["read_id"] is not None], params)
-        return pa.table({"group_id": pa.array([rows[0]["group_id"]], pa.string()), "n_seq": pa.array([graph.n_seq], pa.int32()), "state": pa.array([pack(graph, kept)], pa.binary())})
+def add(state: DataFrame | None, reads: DataFrame, params: Params = Params(), partitions: int | None = None) -> DataFrame:
+    """(group_id, n_seq, state) after the reads; groups without new reads stay as they are. ``state``: of ``add``, ``from_gfa`` or ``from_aligned``."""
 
-    rows = _reads(reads).withColumn("state", F.lit(None).cast("binary"))
+    def run(batches):
+        names: deque = deque()
+
+        def states():
+            for name, c in each_group(batches, "group_id"):
+                names.append(name)
+                new = [i for i, x in enumerate(c["is_new"]) if x]
+                yield next((x for x in c["state"] if x is not None), None), {k: [c[k][i] for i in new] for k in _COLUMNS}
+
+        done = ((names.popleft(), graph, kept) for graph, kept in _grow(states(), params))
+        yield from tables(({"group_id": n, "n_seq": g.n_seq, "state": pack(g, r)} for n, g, r in done), _STATE)
+
+    rows = _reads(reads).withColumns({"state": F.lit(None).cast("binary"), "is_new": F.lit(True)})
     if state is not None:
         none = {c: F.lit(None).cast(t) for c, t in (("read_id", "int"), ("name", "string"), ("seq", "string"), ("qual", "string"))}
-        rows = rows.unionByName(state.select("group_id", *[v.alias(k) for k, v in none.items()], "state"))
-    return rows.groupBy("group_id").applyInArrow(group, STATE)
+        rows = rows.unionByName(state.select("group_id", *[v.alias(k) for k, v in none.items()], "state", F.lit(False).alias("is_new")))
+    return grouped(rows, "group_id", "is_new", "read_id", "seq", "name", partitions=partitions).mapInArrow(run, STATE)
+
+
+def _restored(df: DataFrame, build, params: Params) -> DataFrame:
+    def run(batches):
+        def rows():
+            for name, c in each_group(batches, "group_id"):
+                got, ids = build(c, params)
+                reads = [{"read_id": r, "name": n or None, "is_rc": b, "score": 0} for r, n, b in zip(ids, got.names, got.reversed)]
+                yield {"group_id": name, "n_seq": got.graph.n_seq, "state": pack(got.graph, reads)}
+
+        yield from tables(rows(), _STATE)
+
+    return df.mapInArrow(run, STATE)
+
+
+def from_aligned(rows: DataFrame, params: Params = Params(), group: str = "group_id", read_id: str = "read_id", name: str | None = None, aligned: str = "aligned") -> DataFrame:
+    """States of graphs restored from aligned rows, to which ``add`` adds reads."""
+    return _restored(poa.aligned_input(rows, group, read_id, name, aligned), poa.restored_rows, params)
+
+
+def from_gfa(lines: DataFrame, params: Params = Params(), group: str = "group_id", order: str = "line_no", line: str = "line") -> DataFrame:
+    """States of graphs restored from S and P lines, to which ``add`` adds reads."""
+    return _restored(poa.gfa_input(lines, group, order, line), poa.restored_paths, params)
 
 
 def finish(state: DataFrame, params: Params = Params(), parts: tuple[str, ...] = ("graph", "msa", "consensus")) -> DataFrame:
@@ -95,8 +139,8 @@ def consensus_stream(reads: DataFrame, params: Params = Params()) -> DataFrame:
     from braidwork.kernels.consensus import call
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [r for f in frames for r in f.where(f.notna(), None).to_dict("records")]
-        graph, kept = _grow(bytes(state.get[0]) if state.exists else None, rows, params)
+        rows = sorted((r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")), key=lambda r: (r["read_id"] is not None, r["read_id"] or 0))
+        graph, kept = next(_grow([(bytes(state.get[0]) if state.exists else None, {k: [r[k] for r in rows] for k in _COLUMNS})], params))
         state.update((pack(graph, kept),))
         yield pd.DataFrame([(key[0], graph.n_seq, i, params.decode(c.bases), "".join(map(chr, c.quality))) for i, c in enumerate(call(graph, params), 1)], columns=["group_id", "n_seq", "cons_id", "seq", "qual"])
 
