@@ -145,26 +145,30 @@ class _Round:
         sizes = np.array([len(x.nodes) for x in lanes])
         starts = np.cumsum(sizes) - sizes
         level, count = np.concatenate([x.level for x in lanes]), np.concatenate([x.count for x in lanes])
-        order = np.lexsort((-count, level))  # within a level, rows with more rows before them first
+        order = np.argsort(level, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.place = np.split(place, starts[1:])
-        self.count = count[order]
         level = level[order]
         self.levels = np.concatenate((np.searchsorted(level, np.arange(int(level[-1]) + 1)), [len(order)])).tolist()
-        self.many = np.stack([np.bincount(level[self.count > k], minlength=len(self.levels) - 1) for k in range(max(1, int(count.max())))], 1).tolist()
-        self.pre = np.full((max(1, int(count.max())), len(order)), -1, np.int64)
-        rows, nth = np.concatenate([x.row + s for x, s in zip(lanes, starts)]), np.concatenate([x.nth for x in lanes])
-        self.pre[nth, place[rows]] = place[np.concatenate([x.pre + s for x, s in zip(lanes, starts)])]
+        # the rows before each row, one after another, from first[row] to first[row + 1]
+        self.count = count[order]
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+        to, nth = place[np.concatenate([x.row + s for x, s in zip(lanes, starts)])], np.concatenate([x.nth for x in lanes])
+        at = self.first[to] + nth
+        self.pre = np.empty(len(at), np.int64)
+        self.pre[at] = place[np.concatenate([x.pre + s for x, s in zip(lanes, starts)])]
         self.cost = None
         if params.path_score:
-            self.cost = np.zeros(self.pre.shape, np.int32)
-            self.cost[nth, place[rows]] = np.concatenate([x.cost for x in lanes])
+            self.cost = np.empty(len(at), np.int32)
+            self.cost[at] = np.concatenate([x.cost for x in lanes])
         n = np.array([x.n for x in lanes])
         w = np.array([params.band + int(params.band_part * x.n) for x in lanes]) if self.banded else n
         each = lambda x: np.repeat(x, sizes)[order]
-        self.n, self.w = each(n), each(w)
-        self.reach = np.concatenate([x.reach for x in lanes])[order]
+        self.n, w_each = each(n), each(w)
+        reach = np.concatenate([x.reach for x in lanes])[order]
+        # what the band starts and stops at by itself, and what it adds to where the rows before did best
+        self.reach_low, self.reach_high, self.low, self.high = reach - w_each, reach + w_each, 1 - w_each, 1 + w_each
         self.scores = params.scores()
         wide = int(n.max()) + 2
         query = np.concatenate([np.concatenate(([0], x.q)) for x in lanes] + [np.zeros(wide, np.int64)]).astype(np.int64)
@@ -175,9 +179,13 @@ class _Round:
         self.letters = self.letters.reshape(-1)
         rows = len(order)
         # where each row's cell of position beg lies, and how many cells it has
-        self.beg, self.stop = np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
+        self.stop = np.full(rows, -1, np.int64)
         self.at, self.width = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.top, self.lo, self.hi = np.full(rows, NEG, np.int64), np.full(rows, -1, np.int64), np.full(rows, -1, np.int64)
+        self.top = np.full(rows, NEG, np.int64)
+        # first place of each row's best score, last place (negative), and start of the band
+        self.band = np.full((3, rows), -1, np.int64)
+        self.lo, self.not_hi, self.beg = self.band
+        self.not_hi[:], self.beg[:] = 1, 0
         guess = int((sizes * (np.minimum(n, 2 * w + 40) + 3)).sum())
         self.cells, self.used = _kept(self.planes, guess), 0
         self.ext = np.array([e for _, e in self.pieces], np.int32)[:, None, None]
@@ -190,8 +198,9 @@ class _Round:
 
     def run(self) -> list[Alignment]:
         self._first_rows(self.levels[1])
-        for a, b, many in zip(self.levels[1:-1], self.levels[2:], self.many[1:]):
-            self._level(a, b, [m for m in many if m])
+        edges = self.first[self.levels].tolist()
+        for a, b, ea, eb in zip(self.levels[1:-1], self.levels[2:], edges[1:-1], edges[2:]):
+            self._level(a, b, ea, eb)
         at, beg, stop = self.at.tolist(), self.beg.tolist(), self.stop.tolist()
         flat = [self.cells[i] for i in range(self.planes)]
         return [self._trace(lane, place, *self._best(lane, place), at, beg, stop, flat) for lane, place in zip(self.lanes, self.place)]
@@ -215,9 +224,9 @@ class _Round:
         if self.local or p.zdrop <= 0:
             row = int(tops.argmax())
             at = place[row]
-            return (int(tops[row]), row, int((self.lo if self.local else self.hi)[at])) if row else (NEG, 0, 0)
+            return (int(tops[row]), row, int(self.lo[at] if self.local else -self.not_hi[at])) if row else (NEG, 0, 0)
         best, best_row, best_j, best_node = NEG, 0, 0, lane.begin
-        for row, (top, hi) in enumerate(zip(tops.tolist(), self.hi[place].tolist())):
+        for row, (top, hi) in enumerate(zip(tops.tolist(), (-self.not_hi[place]).tolist())):
             if row == 0:
                 continue
             if top > best:
@@ -247,9 +256,9 @@ class _Round:
 
     def _first_rows(self, n: int) -> None:
         rows = slice(0, n)
-        stop = np.minimum(self.n[rows], np.maximum(0, self.reach[rows]) + self.w[rows]) if self.banded else self.n[rows]
+        stop = np.minimum(self.n[rows], np.maximum(self.high[rows] - 1, self.reach_high[rows])) if self.banded else self.n[rows]
         self.stop[rows], self.width[rows] = stop, stop + 1
-        self.lo[rows] = self.hi[rows] = 0
+        self.lo[rows] = self.not_hi[rows] = 0
         wide = int(stop.max()) + 1
         room = self._room(rows, n, wide)
         k = len(self.pieces)
@@ -266,27 +275,22 @@ class _Round:
             room[0, :, 0] = 0
         np.copyto(room, NEG, where=np.arange(wide) > stop[:, None])
 
-    def _level(self, a: int, b: int, many: list[int]) -> None:
+    def _level(self, a: int, b: int, ea: int, eb: int) -> None:
         """Bands of the rows of one level, then their cells, in parts of about the same width."""
-        pre = self.pre
+        pre = self.pre[ea:eb]
+        starts = self.first[a:b] - ea if eb - ea > b - a else None
         if self.banded:
-            p = pre[0, a:b]
-            left, right, low = self.lo[p], self.hi[p], self.beg[p]
-            for k, m in enumerate(many[1:], 1):
-                p = pre[k, a : a + m]
-                np.minimum(left[:m], self.lo[p], out=left[:m])
-                np.maximum(right[:m], self.hi[p], out=right[:m])
-                np.minimum(low[:m], self.beg[p], out=low[:m])
-            reach, w = self.reach[a:b], self.w[a:b]
-            left += 1
-            np.minimum(left, reach, out=left)
-            left -= w
-            right += 1
-            np.maximum(right, reach, out=right)
-            right += w
-            beg = np.maximum(left, low)
+            x = self.band.take(pre, axis=1)
+            if starts is not None:
+                x = np.minimum.reduceat(x, starts, axis=1)
+            beg, stop, low = x
+            beg += self.low[a:b]
+            np.minimum(beg, self.reach_low[a:b], out=beg)
+            np.maximum(beg, low, out=beg)
             np.maximum(beg, 0, out=beg)
-            stop = np.minimum(right, self.n[a:b])
+            np.subtract(self.high[a:b], stop, out=stop)
+            np.maximum(stop, self.reach_high[a:b], out=stop)
+            np.minimum(stop, self.n[a:b], out=stop)
             self.beg[a:b], self.stop[a:b] = beg, stop
             width = stop - beg
             width += 1
@@ -296,63 +300,64 @@ class _Round:
         most, least = int(width.max()), int(width.min())
         if least > 0 and (least == most or most * (b - a) <= 2 * int(width.sum()) + _SLACK):
             self.width[a:b] = width
-            self._block(slice(a, b), many, most)
+            self._block(slice(a, b), pre, starts, self.cost[ea:eb] if self.cost is not None else None, most)
             return
         self.width[a:b] = np.maximum(width, 0)
         size = np.where(width > 0, np.frexp(width.astype(np.float64))[1], 0)
         for s in np.unique(size).tolist():
             if s > 0:
-                rows = np.flatnonzero(size == s)
-                self._block(rows + a, [x for x in np.searchsorted(rows, many).tolist() if x], int(width[rows].max()))
-
-    def _block(self, rows, many: list[int], width: int) -> None:
-        """``many``: how many of the rows have one, two, three, ... rows before them; those with more come first."""
-        beg = self.beg[rows]
+                rows = np.flatnonzero(size == s) + a
+                n = self.first[rows + 1] - self.first[rows]
+                starts = np.cumsum(n) - n
+                edges = np.repeat(self.first[rows] - starts, n) + np.arange(int(n.sum()))
+                self._block(rows, self.pre[edges], starts if len(edges) > len(rows) else None, self.cost[edges] if self.cost is not None else None, int(width[rows - a].max()))
+
+    def _block(self, rows, pre: np.ndarray, starts: np.ndarray | None, cost: np.ndarray | None, width: int) -> None:
+        """``pre``: the rows before, one row's after another's, which start at ``starts`` (None: each has one)."""
+        beg, wide = self.beg[rows], self.width[rows]
         n = len(beg)
-        s = self.letters.take((self.letter_at[rows] + beg)[:, None] + self.span[1 : width + 1])
-        wide = self.width[rows]
-        outside = self.span[1 : width + 1] >= wide[:, None] if int(wide.min()) < width else None
+        span = self.span[1 : width + 1]
+        s = self.letters.take((self.letter_at[rows] + beg)[:, None] + span)
+        outside = span >= wide[:, None] if n > 1 and int(wide.min()) < width else None
         zero = np.flatnonzero(beg == 0) if int(beg.min()) == 0 else None
         room = self._room(rows, n, width)
-        self.compute(room, rows, many, beg, s, outside, zero)
+        # where the cells of the rows before lie, from one position in front
+        if starts is None:
+            at = beg - self.beg.take(pre)
+        else:
+            at = beg.repeat(self.count[rows]) - self.beg.take(pre)
+        at = at[:, None] + self.span[: width + 1]
+        np.maximum(at, -1, out=at)
+        np.minimum(at, self.width.take(pre)[:, None], out=at)
+        at += self.at.take(pre)[:, None]
+        self.compute(room, at, starts, None if cost is None else cost[:, None], s, outside, zero)
         if self.banded or self.p.mode is not Mode.GLOBAL:
             h = room[0]
             first = h.argmax(1)
-            top = h[self.span[1 : n + 1] if n < len(self.span) else np.arange(n), first]
-            last = width - 1 - h[:, ::-1].argmax(1)
+            top = h[np.arange(n), first]
+            last = h[:, ::-1].argmax(1)
             some = top > _LOW
             if some.all():
-                self.top[rows], self.lo[rows], self.hi[rows] = top, beg + first, beg + last
+                self.top[rows] = top
+                self.lo[rows] = first + beg
+                self.not_hi[rows] = last - beg - (width - 1)
             else:
-                self.top[rows], self.lo[rows], self.hi[rows] = np.where(some, top, NEG), np.where(some, beg + first, -1), np.where(some, beg + last, -1)
-
-    def _before(self, rows, many: list[int], beg: np.ndarray, width: int):
-        """Rows before, nth by nth: (how many of the rows have one, where its cells lie from one position in front, costs)."""
-        for k, m in enumerate(many):
-            p = self.pre[k, rows][:m]
-            at = (beg[:m] - self.beg[p])[:, None] + self.span[: width + 1]
-            np.maximum(at, -1, out=at)
-            np.minimum(at, self.width[p][:, None], out=at)
-            at += self.at[p][:, None]
-            yield m, at, (self.cost[k, rows][:m, None] if self.cost is not None else None)
-
-    def _from(self, rows, many, beg, s: np.ndarray, zero) -> tuple[np.ndarray, np.ndarray]:
+                self.top[rows], self.lo[rows], self.not_hi[rows] = np.where(some, top, NEG), np.where(some, beg + first, -1), np.where(some, last - beg - (width - 1), 1)
+
+    def _from(self, at, starts, cost, s: np.ndarray, zero) -> tuple[np.ndarray, np.ndarray]:
         """Best over the rows before: letter against letter, and each open gap."""
-        got, cells = None, self.cells[: 1 + len(self.pieces)]
-        for m, at, cost in self._before(rows, many, beg, s.shape[1]):
-            part = cells.take(at, axis=1)
-            if cost is not None:
-                part += cost
-            if got is None:
-                got = part
-            else:
-                np.maximum(got[:, :m], part, out=got[:, :m])
+        got = self.cells[: 1 + len(self.pieces)].take(at, axis=1)
+        if cost is not None:
+            got += cost
+        if starts is not None:
+            got = np.maximum.reduceat(got, starts, axis=1)
         if zero is not None and self.local:
             got[0, zero, 0] = 0
-        got[0, :, :-1] += s
+        m = got[0, :, :-1]
+        m += s
         if zero is not None and not self.local:
-            got[0, zero, 0] = NEG
-        return got[0, :, :-1], got[1:, :, 1:]
+            m[zero, 0] = NEG
+        return m, got[1:, :, 1:]
 
     def _gaps(self, over: np.ndarray, f: np.ndarray) -> None:
         """Insertions that start from the given scores, into f (pieces, rows, positions)."""
@@ -370,8 +375,8 @@ class _Round:
         if self.local:
             np.maximum(out, 0, out=out)
 
-    def _convex(self, room, rows, many, beg, s, outside, zero) -> None:
-        over, gap = self._from(rows, many, beg, s, zero)
+    def _convex(self, room, at, starts, cost, s, outside, zero) -> None:
+        over, gap = self._from(at, starts, cost, s, zero)
         for x in gap:
             np.maximum(over, x, out=over)
         if outside is not None:
@@ -387,8 +392,8 @@ class _Round:
         if outside is not None:
             np.copyto(room[: 1 + len(self.pieces)], NEG, where=outside)
 
-    def _affine(self, room, rows, many, beg, s, outside, zero) -> None:
-        m, gap = self._from(rows, many, beg, s, zero)
+    def _affine(self, room, at, starts, cost, s, outside, zero) -> None:
+        m, gap = self._from(at, starts, cost, s, zero)
         over = np.maximum(m, gap[0])
         if outside is not None:
             np.copyto(m, NEG, where=outside)
@@ -403,20 +408,17 @@ class _Round:
         if outside is not None:
             np.copyto(room[:2], NEG, where=outside)
 
-    def _linear(self, room, rows, many, beg, s, outside, zero) -> None:
-        step, h, width = self.p.gap_extend[0], None, s.shape[1]
-        for m, at, cost in self._before(rows, many, beg, width):
-            one = self.cells[0].take(at)
-            part = one[:, :-1] + s[:m]
-            if zero is not None:
-                part[zero[zero < m], 0] = 0 if self.local else NEG
-            np.maximum(part, one[:, 1:] - step, out=part)
-            if cost is not None:
-                part += cost
-            if h is None:
-                h = part
-            else:
-                np.maximum(h[:m], part, out=h[:m])
+    def _linear(self, room, at, starts, cost, s, outside, zero) -> None:
+        step, width = self.p.gap_extend[0], s.shape[1]
+        one = self.cells[0].take(at)
+        if cost is not None:
+            one += cost
+        if starts is not None:
+            one = np.maximum.reduceat(one, starts, axis=0)
+        h = one[:, :-1] + s
+        if zero is not None:
+            h[zero, 0] = 0 if self.local else NEG
+        np.maximum(h, one[:, 1:] - step, out=h)
         if outside is not None:
             np.copyto(h, NEG, where=outside)
         slope = self.slope[:width]
@@ -475,7 +477,7 @@ class _Round:
                     x = nth_of[x]
                     r = places[x]
                     if costs is not None:
-                        cost = int(costs[nr, row])
+                        cost = int(costs[self.first[row] + nr])
                     if beg[r] <= i <= stop[r] and H(at[r] + i - beg[r]) + cost == s:
                         to = x
                         break
@@ -485,7 +487,7 @@ class _Round:
                     x = nth_of[x]
                     r = places[x]
                     if costs is not None:
-                        cost = int(costs[nr, row])
+                        cost = int(costs[self.first[row] + nr])
                     if not beg[r] <= j <= stop[r]:
                         continue
                     if k == 0:
