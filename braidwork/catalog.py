@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from braidwork import catalog_sql
 from braidwork.functions import sequences as S
 from braidwork.kernels.params import Params
-from braidwork.operators import columns, poa, reject, sketch
+from braidwork.operators import columns, reject, sketch
 from braidwork.plans.lineage import written
 from braidwork.sources import fastx, gfa
-from braidwork.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -299,85 +298,13 @@ def gfa_path_walk(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("group_id", F.col("at").cast("long").alias("at"), "name", "next_name", "seq")
 
 
-# Graphs: sequential kernels, without SQL ----------------------------------------------------
-
-
-def _poa(spark: SparkSession, sf: str, params: Params = Params(), parts: tuple[str, ...] = ("consensus",)) -> DataFrame:
-    return poa.poa(reads(spark, sf), params, parts)
-
-
-def _consensus(result: DataFrame) -> DataFrame:
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return poa.part(result, "consensus").select("group_id", "cons_id", "seq", "len", text("cov"), "qual", text("clu_read_ids"))
-
-
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return _consensus(_poa(spark, sf))
-
-
-@query
-def poa_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return flagship(spark, sf)
-
-
-def _variant(name: str, **changes) -> None:
-    def f(spark: SparkSession, sf: str) -> DataFrame:
-        return _consensus(_poa(spark, sf, Params(**changes)))
-
-    f.__name__ = name
-    query(f)
-
-
-_variant("poa_frequent", consensus="frequent")
-_variant("poa_linear", gap_open=(0, 0))
-_variant("poa_affine", gap_open=(4, 0))
-_variant("poa_local", mode="local")
-_variant("poa_extend", mode="extend", zdrop=100)
-_variant("poa_strand", both_strands=True)
-_variant("poa_quality", use_quality=True)
-_variant("poa_progressive", progressive=True)
-_variant("poa_seeded", seeding=True, k=11, w=5, min_window=50)
-_variant("poa_longest_first", longest_first=True)
-
-
-@query
-def poa_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return _consensus(_poa(spark, sf, Params(max_consensus=2)))
-
-
-@query
-def poa_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return poa.part(_poa(spark, sf, parts=("msa",)), "msa")
-
-
-@query
-def poa_graph_lines(spark: SparkSession, sf: str) -> DataFrame:
-    result = written(_poa(spark, sf, parts=("graph", "consensus")), "graphs")  # read for each kind of line
-    return poa.gfa_lines(result, with_consensus=True)
-
-
-@query
-def poa_drawing(spark: SparkSession, sf: str) -> DataFrame:
-    return poa.dot_lines(written(_poa(spark, sf, parts=("graph",)), "graphs"))
-
-
-@query
-def heaviest_of_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The heaviest path of graphs restored from aligned rows."""
-    return _consensus(poa.from_aligned(_rows(spark, sf), parts=("consensus",)))
-
-
-@query
-def poa_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """Reads of a group added in two parts, the graph kept between them."""
-    r = reads(spark, sf)
-    first = incremental.add(None, r.where("read_id % 2 = 0"))
-    return _consensus(incremental.finish(incremental.add(first, r.where("read_id % 2 = 1"))))
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from braidwork import catalog_graphs
+
+    return _QUERIES | catalog_graphs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalog_sql.ORACLE)
+    from braidwork import catalog_graphs
+
+    return catalog_sql.ORACLE | catalog_graphs.ORACLE

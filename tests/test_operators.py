@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from braidwork import catalog, catalog_sql
 from braidwork.functions import sequences as S
 from braidwork.kernels.params import Params
-from braidwork.operators import columns, poa, reject
+from braidwork.operators import audit, columns, poa, reject
+from braidwork.plans import grouping
 from braidwork.sources import fastx, gfa
 from braidwork.streaming import incremental
 
@@ -152,10 +153,45 @@ def test_graphs_fold_all_reads(spark, monkeypatch):
     table, seen = catalog._table, set()
     monkeypatch.setattr(catalog, "_table", lambda s, sf, name: seen.add(name) or table(s, sf, name).where("group_id = 'g000000005' and read_id < 2"))
     names = [n for n in catalog.queries() if n.startswith("poa_")]
-    assert len(names) == 16
+    assert len(names) == 23
     for name in names:
         seen.clear()
         catalog.queries()[name](spark, DATA)
         assert seen == {"seq_reads"}, name
     of_group = lambda df: {r.group_id: r["count"] for r in df.groupBy("group_id").count().collect()}
     assert of_group(catalog.queries()["poa_rows"](spark, DATA)) == of_group(catalog.reads(spark, DATA)) == {"g000000005": 2}
+
+
+def test_audit_finds_faults(spark):
+    df = spark.createDataFrame(READS[:3], SCHEMA)
+    good = poa.poa(df)
+    assert [c for c, x in audit.audit(good, df).first().asDict().items() if x] == ["group_id", "n_seq", "letters", "edge_weight", "source_reads"]
+    edges = F.transform("edges", lambda e: F.when((e.from_id == 2), e.withField("weight", F.lit(0)).withField("read_ids", F.lit(None).cast("array<int>"))).otherwise(e))
+    bad = good.withColumn("edges", F.filter(edges, lambda e: e.to_id != 5)).withColumn("msa", F.transform("msa", lambda m: m.withField("aligned", F.lit("AC"))))
+    got = audit.audit(bad, df).first()
+    assert got.unbalanced > 0 and got.astray > 0 and got.ragged == 3 and got.misspelt == 3
+
+
+def test_restore_and_weights(spark):
+    df = spark.createDataFrame(READS[:3], SCHEMA)
+    rows = poa.part(poa.poa(df.where("read_id < 2")), "msa")
+    state = incremental.add(incremental.from_aligned(rows), df.where("read_id = 2"))
+    got = poa.part(incremental.finish(state), "msa").orderBy("read_id").collect()
+    assert [r.aligned.replace("-", "") for r in got] == ["ACGTACGT", "ACGACGT", "ACGTACGT"]
+    weighted = df.withColumn("w", F.when(F.col("read_id") == 1, F.array_repeat(F.lit(9), 7)))
+    assert poa.part(poa.poa(weighted, weights="w"), "consensus").first().seq == "ACGACGT"
+    for bad in (F.array(F.lit(1)), F.array_repeat(F.lit(-1), F.length("seq"))):
+        with pytest.raises(Exception, match="weights must be"):
+            poa.poa(df.withColumn("w", bad), weights="w").collect()
+    stray = spark.createDataFrame([("g", i % 3, "ACGT"[: 1 + i % 4]) for i in range(7)] + [(None, 0, "A"), (None, 0, "A")], "group_id string, read_id int, seq string")
+    got = {r.group_id: r.n_seq for r in poa.poa(stray, name=None, qual=None, partitions=1).collect()}
+    assert got == {"g": 7, None: 2}
+
+
+def test_groups_over_batches():
+    import pyarrow as pa
+
+    cut = lambda *r: pa.RecordBatch.from_pydict({"g": [x[0] for x in r], "v": [x[1] for x in r]})
+    got = list(grouping.each_group([cut((None, 0)), cut((None, 1), ("a", 2)), cut(("a", 3)), cut(("b", 4), ("c", 5))], "g"))
+    assert [(k, c["v"]) for k, c in got] == [(None, [0, 1]), ("a", [2, 3]), ("b", [4]), ("c", [5])]
+    assert list(grouping.each_group([], "g")) == []
