@@ -153,7 +153,7 @@ def test_graphs_fold_all_reads(spark, monkeypatch):
     table, seen = catalog._table, set()
     monkeypatch.setattr(catalog, "_table", lambda s, sf, name: seen.add(name) or table(s, sf, name).where("group_id = 'g000000005' and read_id < 2"))
     names = [n for n in catalog.queries() if n.startswith("poa_")]
-    assert len(names) == 23
+    assert len(names) == 24
     for name in names:
         seen.clear()
         catalog.queries()[name](spark, DATA)
