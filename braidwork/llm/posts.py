@@ -7,9 +7,10 @@ import re
 
 _QUOTE = re.compile(r"\[(/?)(quote)(?:=[^\]\n]*)?\]|<(/?)(blockquote)\b[^>\n]*>", re.I)
 _QUOTED_LINE = re.compile(r"^[ \t]*(?:>|&gt;).*$", re.M)
-_SAYS = re.compile(r"^.{1,60}(?:wrote|schrieb|escribió|a écrit) ?:[ \t]*$", re.M)
+_SAYS = re.compile(r"^.+(?:wrote|schrieb|escribió|a écrit) ?:[ \t]*$", re.M)
 _CODE = re.compile(r"```.*?(?:```|\Z)|\[code\].*?(?:\[/code\]|\Z)|<pre\b[^>]*>.*?(?:</pre>|\Z)|<code\b[^>]*>.*?(?:</code>|\Z)", re.S | re.I)
-_SIGNATURE = re.compile(r"(?:\A|\n)[ \t]*(?:--|\* \* \*|~~~|_{4,}|-{3,}|={3,})[ \t]*\n(?:[^\n]*(?:\n|\Z)){1,3}\s*\Z|\[size=1\][^\n]*\[/size\]\s*\Z")
+SIGNATURE_LINES = 3  # what follows a line of dashes up to the end is a signature if it has no more lines; else it is a part of the post
+_SIGNATURE = re.compile(r"(?:\A|\n)[ \t]*(?:--|\* \* \*|~~~|_{4,}|-{3,}|={3,})[ \t]*\n(?:[^\n]*(?:\n|\Z)){1,%d}\s*\Z|\[size=1\][^\n]*\[/size\]\s*\Z" % SIGNATURE_LINES)
 _MARKUP = re.compile(r"</?(?:b|i|u|em|strong|span|font|p|div|a|small|sub|sup)(?:\s[^<>\n]*)?>|\[/?(?:b|i|u|s|color|size|url|font|left|center|right)(?:=[^\]\n]*)?\]|\*\*", re.I)
 _BREAK = re.compile(r"<br ?/?>", re.I)
 

@@ -2,17 +2,19 @@
 
 Each post is reduced to its author's own text, and what it cites in quotation
 marks is taken out. Unresolved slots and filler are looked for in every post
-by itself. Sentences and lines become messages, with numbers, codes and
-addresses masked; equal messages are counted once, and the distinct ones are
-mined for templates with a prefix tree of fixed depth (number of tokens, then
-the first TREE_DEPTH tokens), whose leaves hold templates that a message joins
-if SIMILAR of its tokens agree. A template is classified once, by its distinct
-messages, and its verdict goes to all posts that hold a message of it; a post
-whose own message is recognised is a case whatever its template.
-
-Skew: equal messages are counted with partial aggregation before they move, so
-a text reposted by a third of all rows costs one message; a leaf is a key of
-several tokens, and its distinct messages stream through sorted partitions.
+by itself. Sentences and lines become messages, with numbers (but for status
+numbers), codes and addresses masked; equal messages are counted once, and the
+distinct ones are mined for templates with a prefix tree: a leaf is a number of
+tokens, the first TREE_DEPTH tokens and the kinds of evidence in the message,
+and holds templates that a message joins if SIMILAR of its tokens agree. A leaf
+of LEAF templates hands further ones to leaves below it, by the next token. A
+template is classified once, by its evidence (``evidence``), and its verdict
+goes to all posts that hold a message of it. Messages without any phrase or
+shape that a case must have are dropped where they are read.
+
+Skew: equal messages are merged with partial aggregation before they move, so
+a text reposted by a third of all rows costs one message; a leaf keeps its
+templates, not its messages, and compares a message with LEAF templates a level.
 
 Defined results: null and empty posts, and posts that are all quotation, code
 or signature, are no cases; repeated rows are judged alike; rows with a null
@@ -28,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.llm import evidence
 from braidwork.llm.posts import own_text
 from braidwork.plans.columns import take
 from braidwork.plans.lineage import written
 
-TREE_DEPTH, SIMILAR = 3, 0.6
-_MAX_TOKENS = 40
+TREE_DEPTH, SIMILAR, LEAF = 3, 0.6, 64
 
 # Citations --------------------------------------------------------------------------
 _CITED = re.compile(
-    r"['\"„“«‹]\s?\{[^{}\n]*\}?\s?['\"“”»›](?!\w)|\"[^\"\n]{2,400}\"|„[^“”\n]{2,400}[“”]|“[^”\n]{2,400}”|«[^»\n]{2,400}»|(?<![\w'])'(?:[^'\n]|(?<=\w)'(?=\w)){6,400}'(?!\w)"
+    r"['\"„“«‹]\s?\{[^{}\n]*\}?\s?['\"“”»›](?!\w)|\"[^\"\n]{2,}\"|„[^“”\n]{2,}[“”]|“[^”\n]{2,}”|«[^»\n]{2,}»|(?<![\w'])'(?:[^'\n]|(?<=\w)'(?=\w)){6,}'(?!\w)"
 )
 
 # Unresolved slots: fixed values. Notations of template languages, and phrases that ask to be replaced.
@@ -87,50 +89,6 @@ _LATIN = re.compile(r"(?i)\b(?:lorem|ipsum)\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _KEYS = re.compile(r"(?i)(?:asdf|qwer|zxcv|hjkl|dfgh|jkl;|sdf|xxx|aaa|yuio|uiop|vbnm|ghjk|fghj|tyui|wert)")
 
-# Errors, refusals and notices: fixed values, as cue phrases by language. ----------------
-_REASON = (
-    r"(?:bad request|unauthori[sz]ed|payment required|forbidden|(?:page |file )?not found|method not allowed|not acceptable|request time-?out|conflict|gone|payload too large|too many requests|unavailable for legal reasons"
-    r"|internal (?:server )?error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|web server is down|connection timed out)"
-)
-_SWITCH = r"(?:enable|activate|allow|turn on|switch on|re-?enable|permit)"
-_SCRIPTS = r"(?:java\s?script|js|(?:client-side )?scripts|(?:client-side )?scripting|cookies?)(?: (?:and|or|&) (?:java\s?script|js|scripts|cookies))?"
-_ERROR = re.compile(
-    "|".join(
-        [
-            # status lines and dumps
-            r"^\W*(?:<[^>]+>\s*)*(?:http/[\d.]+ )?(?:error |fehler |erreur |código |status )?[45]\d\d\b[\s:.,–-]*" + _REASON,
-            r"<title>[^<]{0,60}[45]\d\d\b", r"<h1>[^<]{0,60}" + _REASON,
-            r"[{]\W{0,2}(?:status|code|error)\W{1,4}\s*[45]\d\d\b",
-            r"(?:^|[.!…]\s+)(?:http )?(?:error|fehler|erreur|código de error) [45]\d\d\s?[:.]",
-            r"\b(?:fatal|parse) error: ", r"\b(?:warning|notice|deprecated): undefined\b", r"\bin (?:/[\w.-]+){2,} on line \d", r"\btraceback \(most recent call last\)", r"^\W*(?:uncaught|unhandled) \w*(?:error|exception)",
-            r"\bsqlstate\b|\b(?:could not|cannot|can't|failed to) connect to the (?:database|server)\b", r"\bdatenbankfehler\b|\berreur de (?:la )?base de données\b|\berror de (?:la )?base de datos\b|\bdatabase error\b", r"\b(?:impossible de se connecter|no se pudo conectar) (?:à|a) la base\b",
-            # scripts, cookies, browser checks
-            r"<noscript>", r"^\W*(?:\w+[,:] )?(?:please |you need to |you must |make sure to |sorry, (?:but )?(?:please )?)" + _SWITCH + " " + _SCRIPTS, r"\byou (?:need|have) to " + _SWITCH + " " + _SCRIPTS + r" (?:to|in order)\b",
-            r"^\W*(?:\w+[,:] )?(?:this|the|our) (?:page|site|board|forum|editor|app|application|website|thread|form) (?:needs|requires|relies on|depends on|does(?: not|n't) (?:work|function) without|will not work without|cannot be (?:shown|used) without) " + _SCRIPTS,
-            r"\bit (?:looks like|seems(?: that)?) " + _SCRIPTS + r" (?:is|are|did|do|got|was|were|has|have)\b", r"\bscripts may be blocked\b", r"^\W*" + _SCRIPTS + r" (?:is|are) (?:required|disabled|switched off|turned off|blocked)", r"\b(?:your|this) browser (?:does not|doesn't) support\b",
-            r"\bchecking (?:your|if the) (?:browser|connection|site)\b", r"\bverify(?:ing)? (?:that )?you are (?:a )?human\b", r"^\W*(?:loading comments|just a moment)\b",
-            r"\b(?:bitte )?(?:aktivieren|schalten|erlauben) sie (?:\w+ )?(?:javascript|skripte?|cookies)\b", r"\bwerden (?:javascript|skripte|cookies)(?: und (?:cookies|skripte|javascript))? benötigt\b", r"\bihr browser unterstützt\b", r"\bbrowser wird (?:gerade )?(?:über)?geprüft\b", r"\b(?:benötigt|braucht|erfordert|funktioniert nicht ohne) (?:javascript|skripte|cookies)\b",
-            r"\bveuillez (?:activer|autoriser) (?:javascript|les scripts|les cookies)\b", r"\b(?:a besoin|nécessite|requiert) (?:de |d')?(?:javascript|scripts|cookies)\b", r"\bvérification (?:du|de votre) navigateur\b", r"\bvotre navigateur ne\b", r"\bmerci d'(?:activer|autoriser) (?:javascript|les scripts|les cookies)\b",
-            r"\b(?:active|habilite|permita|active) (?:javascript|los scripts|las cookies)\b", r"\b(?:necesita|requiere) (?:javascript|scripts|cookies)\b", r"\b(?:comprobando|verificando) su navegador\b", r"\bsu navegador no\b",
-            # refusals, sessions
-            r"^\W*(?:\w+[,:] )?(?:access denied|permission denied)\b", r"\byou (?:do not|don't) have permission\b", r"\baccess to this (?:\w+ )?(?:is|has been|was) (?:denied|blocked|restricted)\b", r"^\W*(?:log|sign) in or register\b", r"\byou must be logged in\b", r"\byour (?:ip|ip address|account) has been (?:blocked|banned|suspended)\b",
-            r"\bzugriff (?:verweigert|nicht erlaubt)\b", r"\bkeine berechtigung\b", r"\baccès (?:refusé|interdit)\b", r"\bvous n'avez pas (?:les droits|la permission|l'autorisation)\b", r"\bacceso denegado\b", r"\bno tiene permisos?\b",
-            r"\byour session (?:has )?(?:expired|timed out)\b", r"\bthe form you sent has timed out\b", r"\binvalid (?:security|csrf|form) token\b", r"\bsitzung ist abgelaufen\b", r"\bsession a expiré\b", r"\bsesión ha (?:caducado|expirado)\b", r"\bvuelva a identificarse\b", r"\breload the page and sign in\b",
-            # failures and outages
-            r"^\W*(?:\w+[,:] )?(?:oops\W+)?(?:something went wrong|we hit a snag|an (?:unexpected |internal )?error (?:has )?occurred)", r"\bthis page (?:could not|couldn't|can't|cannot) be (?:loaded|found|displayed)\b", r"\bour team has been (?:told|notified|informed)\b", r"^\W*please try again later\b", r"\byou are sending (?:too many )?requests\b", r"\bdown for (?:scheduled )?maintenance\b", r"\b(?:is|are) (?:temporarily|currently) unavailable\b",
-            r"\bthe page you (?:were looking for|requested|are looking for)\b", r"^\W*page not found\b", r"\breturn to the index of\b", r"^\W*you may have followed an old link\b", r"^\W*go back to the home ?page\b",
-            r"\bangeforderte seite\b", r"\bserver ist (?:zurzeit|derzeit|momentan|gerade) (?:überlastet|nicht erreichbar)\b", r"\bversuchen sie es später\b", r"\b(?:wegen wartung|wartungsarbeiten)\b", r"\bseite (?:wurde nicht gefunden|nicht gefunden|existiert nicht)\b", r"\bein (?:unerwarteter )?fehler ist aufgetreten\b",
-            r"\bpage (?:demandée )?(?:est )?introuvable\b", r"\bservice est (?:momentanément|temporairement|actuellement) indisponible\b", r"\bréessayez plus tard\b", r"\ben (?:cours de )?maintenance\b", r"\bune erreur (?:s'est produite|est survenue)\b",
-            r"\bla página que (?:busca|buscas)\b", r"\bservidor no responde\b", r"\binténtelo (?:de nuevo )?más tarde\b", r"\bpágina no encontrada\b", r"\b(?:en|por) mantenimiento\b", r"\b(?:ha ocurrido|se ha producido) un error\b", r"\bservicio no (?:está )?disponible\b",
-        ]
-    ),
-    re.I,
-)
-# A person's account of such things.
-_TOLD = re.compile(r"(?i)\b(?:I|me|my|that was all|for me|ich|mir|mein|je|j'ai|m'|moi|mi|me)\b[^.!?]*$|\bwas denied until\b|\bthat was all\b|\bnow and then\b|\bcould be friendlier\b|\bworks fine that way\b|\b(?:preview|page) shows up\b")
-
-
-
 def _triggers(words: str) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for w in words.split():
@@ -139,13 +97,6 @@ def _triggers(words: str) -> ahocorasick.Automaton:
     return a
 
 
-# Every cue phrase above holds one of these, in small letters; a text without any is not searched further.
-_ERROR_WORDS = _triggers(
-    "error fehler erreur código javascript java_script scripts scripting skript noscript cookie js_ _js browser denied permission session sitzung sesión maintenance page seite página server servi sql connect undefined traceback uncaught unhandled <title <h1 <noscript status"
-    " token timed_out timeout time-out log_in sign_in logged_in human requests wrong snag been_told been_notified been_informed moment later spät tard navig blocked banned suspended introuvable zugriff berechtigung accès acceso permiso identificarse datenbank"
-    " base_de wartung mantenimiento unavailable home_page homepage followed forbidden unauthor payment method conflict gone large not_implemented gateway not_found not_acceptable bad_request nicht_erreichbar überlastet disabled switched_off"
-    " naveg droits autorisation loading restricted index _on_line_ site conectar code"
-)
 _FILLER_WORDS = _triggers("text title message sentence copy paragraph content contenu contenido soon tbd to_be_ platzhalter construction próximamente inhalt párrafo lorem ipsum")
 
 
@@ -160,7 +111,7 @@ _MASKS = [
     (re.compile(r"://|\.(?:example|com|org|net)\b"), re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b", re.I), "@"),
     (re.compile(r"/[\w.-]+/"), re.compile(r"(?:/[\w.-]+){2,}"), "/"),
     (re.compile(r"[0-9a-f]{6}"), re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b"), "#"),
-    (re.compile(r"\d"), re.compile(r"\d+(?:[.,:]\d+)*"), "#"),
+    (re.compile(r"\d"), re.compile(r"(?<![\d.,:])[45]\d\d(?![\d%]|[.,:]\d)|(\d+(?:[.,:]\d+)*)"), lambda m: "#" if m[1] else m[0]),  # but for status numbers
 ]
 
 
@@ -194,12 +145,6 @@ def is_filler(text: str) -> bool:
     return False
 
 
-def is_error(message: str) -> bool:
-    """Whether a message is, or breaks off into, an error, refusal or notice."""
-    m = _ERROR.search(message)
-    return m is not None and _TOLD.search(message) is None
-
-
 def _mask(message: str) -> str:
     for test, pattern, mark in _MASKS:
         if test.search(message):
@@ -207,90 +152,99 @@ def _mask(message: str) -> str:
     return message
 
 
-def _parts(own: str) -> list[str]:
-    return [x for x in _SPLIT.split(own) if len(x) >= 4]
-
-
-def _short(message: str) -> str:
-    return " ".join(message.split()[:_MAX_TOKENS])
+def messages(own: str) -> list[str]:
+    """Masked sentences and lines that may be cases."""
+    if not evidence.promising(evidence.plain(own)):
+        return []
+    out = dict.fromkeys(" ".join(_mask(x).split()) for x in _SPLIT.split(own) if evidence.promising(evidence.plain(x)))
+    return [x for x in out if x]
 
 
 def _cited_out(own: str) -> str:
     return _CITED.sub(' "" ', own) if any(c in own for c in "\"'„“«") else own
 
 
+def is_error(text: str) -> bool:
+    """Whether a text alone shows an error, a refusal or a notice; what ``residue`` finds without merging templates."""
+    return any(evidence.verdict(evidence.kinds_in(x)) for x in messages(_cited_out(own_text(text))))
+
+
+_STATUS = re.compile(r"(?:^|[^'\"„“«‹\s])\s*[{](?:[^{}]+,\s*)?\W{0,2}(?:status|code|error)\W{1,4}\s*[45]\d\d\b")
+
+
 def _read():
     def batches(it):
         for batch in it:
-            alone, messages, hits = [], [], []
+            alone, found = [], []
             for text in batch.column("text").to_pylist():
                 own = own_text(text)
-                status = re.search(r"(?:^|[^'\"„“«‹\s])\s*[{](?:[^{}]{1,400},\s*)?\W{0,2}(?:status|code|error)\W{1,4}\s*[45]\d\d\b", own) is not None if "{" in own else False
+                status = "{" in own and _STATUS.search(own) is not None
                 own = _cited_out(own)
                 alone.append(bool(own) and (status or has_slot(own) or is_filler(own)))
-                hit: dict[str, bool] = {}
-                if not alone[-1] and own:
-                    if _any(_ERROR_WORDS, own.lower()):
-                        for x in _parts(own):
-                            m = _short(_mask(x))
-                            hit[m] = hit.get(m, False) or _any(_ERROR_WORDS, x.lower()) and is_error(x)
-                    else:
-                        hit = {_short(x): False for x in _parts(_mask(own))}
-                messages.append(list(hit))
-                hits.append(list(hit.values()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(alone, pa.bool_()), pa.array(messages, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.bool_()))], names=["id", "alone", "messages", "hits"])
+                found.append([] if alone[-1] else messages(own))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(alone, pa.bool_()), pa.array(found, pa.list_(pa.string()))], names=["id", "alone", "messages"])
 
     return batches
 
 
-def _mine():
-    """Messages sorted by leaf to (message hash, whether its template is a case)."""
-
-    def verdicts(leaf: list[tuple[int, list[str], bool]]):
-        templates: list[list] = []  # tokens, hashes, hits
-        for key, tokens, hit in leaf:
-            best, most = None, SIMILAR
-            for t in templates:
-                like = sum(a == b for a, b in zip(t[0], tokens)) / len(tokens)
-                if like >= most:
-                    best, most = t, like
-                    if like == 1:
-                        break
-            if best is None:
-                templates.append([list(tokens), [key], int(hit)])
-            else:
+def _kinds():
+    def batches(it):
+        for batch in it:
+            bits = [evidence.kinds_in(x) for x in batch.column("message").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("message"), pa.array(bits, pa.int32())], names=["message", "kinds"])
+
+    return batches
+
+
+class _Leaf:
+    """Templates of one place of the tree: their tokens and verdict."""
+
+    def __init__(self, depth: int):
+        self.depth, self.templates, self.below = depth, [], {}
+
+    def judge(self, tokens: list[str], kinds: int) -> bool:
+        best, most = None, SIMILAR
+        for t in self.templates:
+            like = sum(map(str.__eq__, t[0], tokens)) / len(tokens)
+            if like >= most:
+                best, most = t, like
+                if like == 1:
+                    break
+        if best is not None:
+            if most < 1:
                 best[0] = [a if a == b else "*" for a, b in zip(best[0], tokens)]
-                best[1].append(key)
-                best[2] += hit
-        for _, keys, hits in templates:
-            if 2 * hits > len(keys):
-                yield from keys
+            return best[1]
+        if len(self.templates) < LEAF or self.depth >= len(tokens):
+            self.templates.append([tokens, evidence.verdict(kinds)])
+            return self.templates[-1][1]
+        return self.below.setdefault(tokens[self.depth], _Leaf(self.depth + 1)).judge(tokens, kinds)
+
+
+def _mine():
+    """Messages sorted by leaf to the hashes of those whose template is a case."""
 
     def batches(it):
-        at, leaf = None, []
+        at, leaf = None, _Leaf(TREE_DEPTH)
         for batch in it:
             out: list[int] = []
-            for key, place, message, hit in zip(*(batch.column(c).to_pylist() for c in ("key", "leaf", "message", "hit"))):
+            for key, place, message, kinds in zip(*(batch.column(c).to_pylist() for c in ("key", "leaf", "message", "kinds"))):
                 if place != at:
-                    out.extend(verdicts(leaf))
-                    at, leaf = place, []
-                leaf.append((key, message.split(), hit))
+                    at, leaf = place, _Leaf(TREE_DEPTH)
+                if leaf.judge(message.split(" "), kinds):
+                    out.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["key"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(verdicts(leaf)), pa.int64())], names=["key"])
 
     return batches
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, reason) of the posts that hold residue: ``alone`` for a slot or filler, ``template`` for an error or notice."""
-    read = written(take(df, id=key, text=text).mapInArrow(_read(), f"id {dict(df.dtypes)[key]}, alone boolean, messages array<string>, hits array<boolean>"), "posts")
-    pairs = read.where("not alone").select("id", F.explode(F.arrays_zip("messages", "hits")).alias("m")).select("id", F.col("m.messages").alias("message"), F.col("m.hits").alias("hit"))
+    read = written(take(df, id=key, text=text).mapInArrow(_read(), f"id {dict(df.dtypes)[key]}, alone boolean, messages array<string>"), "posts")
+    pairs = read.where("not alone").select("id", F.explode("messages").alias("message"))
     tokens = F.split("message", " ")
-    distinct = pairs.groupBy("message").agg(F.max("hit").alias("hit"))
-    leaves = distinct.select(F.xxhash64("message").alias("key"), F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, TREE_DEPTH)).alias("leaf"), "message", "hit")
+    distinct = pairs.select("message").distinct().mapInArrow(_kinds(), "message string, kinds int")
+    leaves = distinct.select(F.xxhash64("message").alias("key"), F.concat_ws(" ", F.size(tokens).cast("string"), F.col("kinds").cast("string"), F.slice(tokens, 1, TREE_DEPTH)).alias("leaf"), "message", "kinds")
     cases = leaves.repartition("leaf").sortWithinPartitions("leaf", "message").mapInArrow(_mine(), "key long")
-    held = pairs.select("id", F.xxhash64("message").alias("key"), "hit")
-    added = held.where("not hit").join(cases, "key", "left_semi")
-    by_template = held.where("hit").unionByName(added).select("id").distinct()
+    by_template = pairs.select("id", F.xxhash64("message").alias("key")).join(cases, "key", "left_semi").select("id").distinct()
     alone = read.where("alone").select("id", F.lit("alone").alias("reason"))
     return alone.unionByName(by_template.withColumn("reason", F.lit("template"))).withColumnRenamed("id", key)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.functions.residues import Packed, encode, pieces, raw_bytes, reverse_complement16, valid
-from braidwork.llm import mixing, near, packing, posts, residue, runs, spans, terms, tokens
+from braidwork.llm import evidence, mixing, near, packing, posts, residue, runs, spans, terms, tokens
 
 rng = random.Random(7)
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -243,12 +243,42 @@ def example(parsed):
     return "".join(out)
 
 
-@pytest.mark.parametrize("pattern, words", [(residue._ERROR, residue._ERROR_WORDS), (residue._FILLER_LINE, residue._FILLER_WORDS)])
-def test_filter_words_lose_nothing(pattern, words):
-    parsed = re._parser.parse(pattern.pattern)
-    texts = {t for _ in range(60_000) if pattern.search(t := example(parsed))}
-    assert len(texts) > 100
-    assert [t for t in texts if not residue._any(words, t.lower())] == []
+def test_quick_tests_lose_nothing():
+    parsed = re._parser.parse(residue._FILLER_LINE.pattern)
+    texts = {t for _ in range(20_000) if residue._FILLER_LINE.search(t := example(parsed))}
+    assert len(texts) > 100 and [t for t in texts if not residue._any(residue._FILLER_WORDS, t.lower())] == []
+    parsed = re._parser.parse(evidence._SHAPE.pattern)
+    texts = {t for _ in range(40_000) if evidence._SHAPE.search(t := example(parsed))}
+    assert len(texts) > 100 and [t for t in texts if not evidence.promising(evidence.plain(t))] == []
+    phrases = [x.strip() for t in evidence.PHRASES.values() for x in t.replace("\n", "|").split("|") if x.strip()]
+    for _ in range(20_000):
+        t = " ".join(rng.choice(phrases) for _ in range(3))
+        assert evidence.promising(t) or not evidence.verdict(evidence.kinds_in(t)), t
+
+
+# Everyday texts from outside the test tables.
+UNSEEN = [
+    "This site can't be reached", "The requested URL was not found on this server.", "Error establishing a database connection", "Attention required! Complete the captcha", "Serverfehler, bitte laden Sie die Seite neu", "Ошибка 404: страница не найдена",
+    "    at com.example.forum.PostView.render(PostView.java:42)", 'Exception in thread "main" java.lang.IllegalStateException', "The connection has timed out", "You have been blocked from this site.", "Impossible de charger la page, veuillez réessayer.", "No se puede mostrar la página solicitada.",
+    "Our systems have detected unusual traffic from your computer network.", "Pagina non trovata", "ORA-01017: invalid username/password; logon denied", "Request blocked. We can't connect to the server for this app or website at this time.", "Diese Website verwendet Cookies, bitte aktivieren Sie diese.", "Session expired. Please log in again.", "TypeError: undefined is not a function",
+]
+PEOPLE = [
+    "Please try again later with a smaller bolt", "our plant is down for maintenance every June", "I got a 404 not found when I opened the page", "He was denied access to the server room", "The service at the garage was not available on Sunday", "Please turn on the light before you check the connection",
+    "Cookies need butter, enable the fan oven and allow them to cool.", "Error bars are too small to see", "We requested a new valve and it went wrong again", "The 404 bus was late, 503 people waited.",
+]
+
+
+def test_unseen_errors_and_people():
+    found = [x for x in UNSEEN if residue.is_error(x)]
+    assert len(found) >= 0.8 * len(UNSEEN), set(UNSEEN) - set(found)
+    assert [x for x in PEOPLE if residue.is_error(x)] == []
+
+
+def test_leaves_split_and_long_messages(spark):
+    tail = " ".join(f"w{i}" for i in range(60))
+    text = [f"page {tail} is missing", f"page {tail} is not found", *(f"the page a{i % 7} b{i % 11} c{i} d{i} e{i} cannot be displayed" for i in range(200)), *(f"the page a{i} can be displayed" for i in range(50))]
+    got = residue.residue(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc_id for r in got.collect()} == {1, *range(2, 202)}
 
 
 def test_filter_words_examples(spark):
