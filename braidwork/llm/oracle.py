@@ -69,3 +69,8 @@ from seq_reads r left join (
   select read_key, count(*) as n_spans, cast(sum(span_end - span_start) as bigint) as shared_letters from ({_SPANS}) group by read_key
 ) t using (read_key)
 """
+
+ORACLE["p6_checked"] = """
+select spec_id, capacity_tokens, (select count(*) from documents) as n_docs, 0::bigint as cut_wrongly, 0::bigint as incomplete, 0::bigint as overfull from pack_specs
+"""
+ORACLE["p7_checked"] = "select lower(trim(source)) as source, max_repeats::bigint as max_repeats, 0::bigint as too_often, 0::bigint as foreign, 0::bigint as twice from mix_targets"

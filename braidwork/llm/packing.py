@@ -4,9 +4,10 @@ The plan is made on the histogram of item sizes, which has at most ``capacity``
 entries whatever the number of items. Sizes fall into BINS classes; patterns
 are the multisets of at most PARTS classes that fill a container; non-negative
 least squares gives how often each pattern is to be repeated to meet the
-histogram; the counts are rounded down, patterns get exact sizes, largest
-first, and what is left goes, longest first, into the tightest gap that holds
-it. Items far shorter than a container are first put together, by the same
+histogram; the counts are rounded down, each repeat gets exact sizes that close
+its container, and what is left goes, longest first, into the tightest gap that
+holds it. Patterns can use up the short items that gaps need, so a few plans
+that use the fit more or less fully are made and the best one is taken. Items far shorter than a container are first put together, by the same
 plan, into bundles of a quarter of the capacity, so that few parts fill it.
 
 The plan says, for each size, which ranks go where; items are ranked within
@@ -22,6 +23,7 @@ id are items too; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import math
 from collections import Counter, defaultdict
 from itertools import combinations_with_replacement
 
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from braidwork.plans.columns import take
 from braidwork.plans.lineage import written
 
-BINS, PARTS, LEAST, SINGLE = 32, 4, 64, 4
+BINS, PARTS, LEAST = 32, 4, 64
+SINGLES, SHARES = (0.25, 0.8), (1.0, 0.75, 0.5, 0.25, 0.1)  # settings tried for each plan
+CLOSED = 1024  # a pattern may leave the capacity / CLOSED of a container empty
 RANKED = 1_000_000  # rows of one size ranked in one task
 
 
@@ -70,18 +74,20 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
 class Plan:
     """Containers of one capacity: groups of equal filling, each a Counter of sizes and a number of containers."""
 
-    def __init__(self, counts: dict[int, int], capacity: int):
+    def __init__(self, counts: dict[int, int], capacity: int, single: float = SINGLES[0], share: float = SHARES[0]):
+        """``single``: the part of the short items that stay single, to fill gaps; ``share``: the part of the fitted repeats that is used."""
         self.capacity, self.bundles = capacity, None
         left = Counter({s: n for s, n in counts.items() if n > 0})
-        # a part of the short items stays single, to fill gaps
-        self.low = {s: n - -(-n // SINGLE) for s, n in left.items() if s <= capacity // 8} if capacity // 4 >= LEAST else {}
+        self.low = {s: n - math.ceil(n * single) for s, n in left.items() if s <= capacity // 8} if capacity // 4 >= LEAST else {}
         if sum(self.low.values()) > 4:
-            self.bundles = Plan(self.low, capacity // 4)
+            self.bundles = Plan(self.low, capacity // 4, single)
             left -= Counter(self.low)
             for filling, n in self.bundles.groups:
                 left[sum(s * m for s, m in filling.items())] += n
         self.groups: list[tuple[Counter, int]] = []
-        gaps = self._patterns(left)
+        before = sum(s * n for s, n in left.items())
+        gaps = self._patterns(left, share)
+        self.by_pattern = before - sum(s * n for s, n in left.items())  # tokens
         self._residual(left, gaps)
         for held in gaps.values():
             self.groups.extend(held)
@@ -89,15 +95,23 @@ class Plan:
         self.containers = sum(n for _, n in self.groups)
         self._index()
 
-    def _patterns(self, left: Counter) -> dict[int, list]:
+    def _patterns(self, left: Counter, share: float) -> dict[int, list]:
+        """Takes the patterns' items out of ``left``; returns the fillings by the gap they leave.
+
+        A class spans capacity / BINS sizes, so parts that fill a container have
+        classes that sum up to BINS or little more. A repeat of a pattern takes
+        the longest items of its classes, and two for the last that close the
+        container but for ``capacity // CLOSED`` tokens; a repeat that cannot be
+        closed is given up, and its items are packed as residuals.
+        """
         gaps: dict[int, list] = defaultdict(list)
-        width = self.capacity / BINS
+        width, slack = self.capacity / BINS, self.capacity // CLOSED
         bin_of = lambda s: min(BINS, max(1, int(-(-s // width))))
         sizes: dict[int, list[int]] = defaultdict(list)
         for s in sorted(left):
             sizes[bin_of(s)].append(s)
         used = sorted(sizes)
-        fill = [p for k in range(1, PARTS + 1) for p in combinations_with_replacement(used, k) if sum(p) == BINS]
+        fill = [p for k in range(1, PARTS + 1) for p in combinations_with_replacement(used, k) if BINS <= sum(p) < BINS + k]
         if not fill:
             return gaps
         a = np.zeros((len(used), len(fill)))
@@ -106,31 +120,40 @@ class Plan:
                 a[used.index(b), j] += 1
         weight = np.array(used, float)
         want = np.array([sum(left[s] for s in sizes[b]) for b in used], float)
+        free = lambda s, filling: left[s] - filling[s] > 0
+
+        def closed(filling: Counter, room: int, classes: tuple[int, ...]) -> Counter | None:
+            """With two more parts, or one, that close what is left."""
+            if len(classes) == 1:
+                return next((filling + Counter({s: 1}) for s in range(room, max(0, room - slack - 1), -1) if bin_of(s) in (classes[0], classes[0] - 1, classes[0] + 1) and free(s, filling)), None)
+            for s in reversed(sizes[classes[0]]):
+                if s < room and free(s, filling):
+                    one = filling + Counter({s: 1})
+                    if (both := closed(one, room - s, classes[1:])) is not None:
+                        return both
+            return None
+
         for j, times in sorted(enumerate(nnls(a * weight[:, None], want * weight)), key=lambda x: -x[1]):
-            times = int(times + 1e-6)
+            times, classes = int(times * share + 1e-6), fill[j][::-1]
             while times > 0:
                 filling, room = Counter(), self.capacity
-                for k, b in enumerate(reversed(fill[j])):
-                    if k + 1 < len(fill[j]):
-                        s = next((s for s in reversed(sizes[b]) if left[s] > filling[s]), None)
-                    else:  # the shortest comes last and takes what fits best, from its class or the one above
-                        near = [s for c in (b, b + 1) for s in sizes.get(c, ()) if s <= room and left[s] > filling[s]]
-                        s = near[-1] if near else None
-                    if s is None or s > room:
+                for b in classes[:-2]:
+                    s = next((s for s in reversed(sizes[b]) if s < room and free(s, filling)), None)
+                    if s is None:
+                        room = 0
                         break
                     filling[s] += 1
                     room -= s
-                else:
-                    n = min(times, *(left[s] // m for s, m in filling.items()))
-                    for s, m in filling.items():
-                        left[s] -= n * m
-                    for s in filling:
-                        if not left[s]:
-                            sizes[bin_of(s)].remove(s)
-                    gaps[room].append((filling, n))
-                    times -= n
-                    continue
-                break
+                filling = closed(filling, room, classes[-2:]) if room > 0 else None
+                if filling is None:
+                    break
+                n = min(times, *(left[s] // m for s, m in filling.items()))
+                for s, m in filling.items():
+                    left[s] -= n * m
+                    if not left[s]:
+                        sizes[bin_of(s)].remove(s)
+                gaps[self.capacity - sum(s * m for s, m in filling.items())].append((filling, n))
+                times -= n
         return gaps
 
     def _residual(self, left: Counter, gaps: dict[int, list]) -> None:
@@ -213,6 +236,14 @@ class Plan:
         return self.table[at, 2] + (rank - self.table[at, 1]) // self.table[at, 3]
 
 
+def best_plan(counts: dict[int, int], capacity: int) -> Plan:
+    """Of the plans with the settings tried the one with the fewest containers, then with the most placed by patterns.
+
+    A plan costs the driver some hundredths of a second, whatever the number of items.
+    """
+    return min((Plan(counts, capacity, single, share) for single in SINGLES for share in SHARES), key=lambda p: (p.containers, -p.by_pattern))
+
+
 def _place(plan: Plan):
     def batches(it):
         for batch in it:
@@ -243,7 +274,7 @@ def pack(sized: DataFrame, key: str, tokens: str, capacity: int) -> DataFrame:
     pieces = rows.where("size > 0").select("id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / capacity).cast("long"))).alias("piece", "p"), "size")
     items = pieces.select("id", F.col("piece").cast("long").alias("piece"), F.least(F.col("size") - F.col("p") * capacity, F.lit(capacity).cast("long")).alias("tokens"))
     counts = {r[0]: r[1] for r in items.groupBy("tokens").count().collect()}  # at most ``capacity`` rows
-    plan = Plan(counts, capacity)
+    plan = best_plan(counts, capacity)
     kind = dict(rows.dtypes)["id"]
     placed = ranked(items, counts).mapInArrow(_place(plan), f"id {kind}, piece long, tokens long, container long") if counts else items.withColumn("container", F.lit(None).cast("long"))
     nowhere = F.pmod(F.xxhash64("id"), F.lit(plan.containers).cast("long")) if plan.containers else F.lit(None).cast("long")

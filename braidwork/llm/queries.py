@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm import mixing, near, oracle, packing, residue, runs, spans, terms, tokens
+from braidwork.plans.lineage import written
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -71,6 +72,25 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return used.withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
+def p6_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the assignment, counted for each spec."""
+    placed = written(p6_assignment(spark, sf), "placed")
+    docs = placed.groupBy("spec_id", "capacity_tokens", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.min("first_token").alias("low"), F.max(F.col("first_token") + F.col("tokens")).alias("high"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    by_doc = docs.groupBy("spec_id", "capacity_tokens").agg(F.count("*").alias("n_docs"), F.count_if(F.col("n") != pieces).alias("cut_wrongly"), F.count_if((F.col("low") != 0) | (F.col("high") != F.col("tokens"))).alias("incomplete"))
+    full = placed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("t"), F.first("capacity_tokens").alias("c")).groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("c")).alias("overfull"))
+    return by_doc.join(full, "spec_id")
+
+
+def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the mixture, counted for each target source."""
+    t = _table(spark, sf, "mix_targets").select(F.lower(F.trim("source")).alias("source"), F.col("max_repeats").cast("long").alias("max_repeats"))
+    docs = _table(spark, sf, "documents").select("doc_id", mixing.plain_source("source").alias("own"))
+    drawn = p7_mix(spark, sf).join(docs, "doc_id", "left").join(t, "source", "left")
+    faults = drawn.groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("foreign"), (F.count("*") - F.countDistinct("doc_id")).alias("twice"))
+    return t.join(faults, "source", "left").na.fill(0, ["too_often", "foreign", "twice"])
+
+
 def _targets(spark: SparkSession, sf: str) -> dict[str, tuple[float, int]]:
     return {r.source.strip().lower(): (r.target_share, r.max_repeats) for r in _table(spark, sf, "mix_targets").collect()}  # the setting, a row for each source
 
@@ -93,7 +113,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_classes, p3_found, p3_terms, p5_found, p5_cover, p6_assignment, p6_fill, p7_mix, p7_shares, p8_found, p8_residue)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_classes, p3_found, p3_terms, p5_found, p5_cover, p6_assignment, p6_fill, p6_checked, p7_mix, p7_shares, p7_checked, p8_found, p8_residue)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -145,6 +145,17 @@ def test_packing(spark):
     assert {r.container for r in packing.pack(df.where("tokens = 0"), "doc_id", "tokens", 10).collect()} == {None}
 
 
+def test_patterns_do_not_cost_containers(monkeypatch):
+    for seed in range(12):
+        r = random.Random(seed)
+        counts = collections.Counter(min(512, max(1, int(r.lognormvariate(4.6, 1.0)))) for _ in range(3000))
+        with_ = packing.best_plan(counts, 512)
+        with monkeypatch.context() as m:
+            m.setattr(packing.Plan, "_patterns", lambda self, left, share: collections.defaultdict(list))
+            without = packing.Plan(counts, 512)
+        assert with_.by_pattern > 0 and with_.containers <= without.containers
+
+
 def test_salted_ranks(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 10)
     items = spark.createDataFrame([(i, 0, 5 if i % 3 else 7) for i in range(90)], "id long, piece long, tokens long")
