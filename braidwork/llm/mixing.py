@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by balanced sampling with the cube method.
 
-The total is the largest at which no source with documents needs more repeats
+Unless it is given, the total is the largest at which no source with documents needs more repeats
 than it may have, so the shares of these sources stand to each other exactly as
 their targets do. A source then needs r uses a document: each document is used
 floor(r) times, and once more with probability r - floor(r). Which ones is
@@ -8,7 +8,8 @@ drawn by the cube method: probabilities move through the null space of the
 constraints (tokens and documents of the source) until they reach 0 or 1, so
 both totals are kept throughout. Flights run over blocks of BLOCK documents;
 of each block at most two documents stay undecided, which fly again together,
-level by level, until two a source are left to the landing.
+level by level, until two a source are left to the landing, which rounds them
+and makes up for the tokens by exchanges of documents of about the same size.
 
 Defined results: documents without tokens, id, or a target source are not
 drawn; a source without documents gets nothing and its share goes to the
@@ -18,9 +19,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
-from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -38,10 +39,16 @@ def plain_source(column: str) -> Column:
     return F.lower(F.trim(F.col(f"`{column}`")))
 
 
-def _fly_class(size: list[int], p: list[float], members: Iterable[int], rng: random.Random) -> list[int]:
-    """Moves the chances of the members until at most two lie between 0 and 1; these come back."""
+def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
+    """Moves the chances of a block along the null space of (size, 1) until at most two are open.
+
+    Three open documents, or two of one size, always have such a direction; a
+    random step along it, of expectation zero, decides at least one of them.
+    The next ones follow in the order given, longest first.
+    """
+    rng, p = random.Random(seed), list(chance)
     open_: list[int] = []
-    for i in members:
+    for i in range(len(p)):
         if not 0 < p[i] < 1:
             continue
         open_.append(i)
@@ -63,59 +70,40 @@ def _fly_class(size: list[int], p: list[float], members: Iterable[int], rng: ran
                 x = p[j] + step * u
                 p[j] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
             open_ = [j for j in open_ if 0 < p[j] < 1]
-    return open_
+    return p
 
 
-def flight(size: list[int], chance: list[float], seed: int) -> list[float]:
-    """Moves the chances of a block, longest first, along the null space of (size, 1) until at most two are open.
+def landing(size: list[int], chance: list[float], wanted: list[float]) -> list[float]:
+    """Decides the few that are open, so that the documents come closest to what was wanted, and then exchanges for the tokens.
 
-    Sizes that differ by less than a factor of two fly together. What a class
-    leaves open is rounded at random, and the shorter classes take over what
-    that shifts: their chances move by a line in the size that restores both
-    totals. So a long document does not stay open to the end. Where the shorter
-    ones cannot take that over, the open ones fly on with the next class.
+    What the open ones shift in tokens is made up for by exchanging a drawn
+    document for one not drawn whose size differs by just that; two exchanges
+    at most, and none that does not bring the tokens closer. ``wanted``: the
+    chances before the flight; only documents with a chance take part.
     """
-    rng, p, n = random.Random(seed), list(chance), len(chance)
-    at, left = 0, []
-    while at < n:
-        to = at + 1
-        while to < n and 2 * size[to] > size[at]:
-            to += 1
-        left = _fly_class(size, p, [*left, *range(at, to)], rng)
-        rest = [i for i in range(to, n) if 0 < p[i] < 1]
-        if rest and left:
-            before = list(p)
-            tokens = docs = 0.0
-            for i in left:
-                x = float(rng.random() < p[i])
-                tokens, docs, p[i] = tokens + (p[i] - x) * size[i], docs + p[i] - x, x
-            for _ in range(8):  # again for what the bounds hold back
-                rest = [i for i in rest if 0 < p[i] < 1]
-                if not rest or abs(tokens) < 1e-6 and abs(docs) < 1e-9:
-                    break
-                one, t, tt = float(len(rest)), float(sum(size[i] for i in rest)), float(sum(size[i] ** 2 for i in rest))
-                det = one * tt - t * t
-                a, b = ((docs * tt - tokens * t) / det, (tokens * one - docs * t) / det) if det > 1e-9 * tt * one else (tokens / t, 0.0)
-                for i in rest:
-                    x = min(1.0, max(0.0, p[i] + a + b * size[i]))
-                    tokens, docs, p[i] = tokens - (x - p[i]) * size[i], docs - (x - p[i]), x
-            if abs(tokens) < 1e-3 and abs(docs) < 1e-6:
-                left = []
-            else:
-                p = before
-        at = to
-    return p
-
-
-def landing(size: list[int], chance: list[float]) -> list[float]:
-    """The few chances that are left, rounded so that the tokens come closest, then the documents."""
-    left = [i for i, x in enumerate(chance) if 0 < x < 1]
-    want, docs = sum(size[i] * chance[i] for i in left), sum(chance[i] for i in left)
-    choices = [[m >> k & 1 for k in range(len(left))] for m in range(1 << len(left))]
-    best = min(choices, key=lambda c: (abs(sum(size[i] * x for i, x in zip(left, c)) - want), abs(sum(c) - docs))) if left else []
     p = list(chance)
+    left = [i for i, x in enumerate(p) if 0 < x < 1]
+    if not left:
+        return p
+    want, docs = sum(size[i] * x for i, x in enumerate(wanted)), sum(wanted)
+    fixed_docs, fixed = sum(x for x in p if x in (0, 1)), sum(size[i] * x for i, x in enumerate(p) if x in (0, 1))
+    choices = [[m >> k & 1 for k in range(len(left))] for m in range(1 << len(left))]
+    best = min(choices, key=lambda c: (round(abs(fixed_docs + sum(c) - docs), 6) >= 1, abs(fixed + sum(size[i] * x for i, x in zip(left, c)) - want)))
     for i, x in zip(left, best):
         p[i] = float(x)
+    for _ in range(2):
+        off = want - sum(size[i] * x for i, x in enumerate(p))
+        free = sorted((size[i], i) for i, x in enumerate(p) if x == 0 and wanted[i] > 0)
+        swap, rest = None, abs(off)
+        for i, x in enumerate(p):
+            if x == 1 and wanted[i] < 1 and free:
+                at = bisect.bisect_left(free, (size[i] + off, -1))
+                for s, j in free[max(0, at - 1) : at + 1]:
+                    if abs(off - (s - size[i])) < rest - 1e-9:
+                        swap, rest = (i, j), abs(off - (s - size[i]))
+        if swap is None:
+            break
+        p[swap[0]], p[swap[1]] = 0.0, 1.0
     return p
 
 
@@ -126,30 +114,45 @@ def _fly(last: bool):
         size, chance = table.column("tokens").to_pylist(), table.column("chance").to_pylist()
         seed = xxhash.xxh64_intdigest(f"{table.column('source')[0].as_py()}/{table.column('block')[0].as_py()}/{table.num_rows}")
         p = flight(size, chance, seed)
-        p = landing(size, p) if last else p
+        p = landing(size, p, chance) if last else p
         return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(p, pa.float64()))
 
     return group
 
 
-def needed(totals: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, float]:
-    """Uses a document of each source, none above its limit, for shares as near the targets as they come."""
+def needed(totals: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
+    """Uses a document of each source, none above its limit.
+
+    Without ``total``, the largest amount at which the shares stand to each
+    other exactly as the targets. With it, that many tokens as far as the limits
+    allow: what a source at its limit cannot give, the others give in proportion.
+    """
     there = {s: (share, most) for s, (share, most) in targets.items() if share > 0 and most > 0 and totals.get(s, 0) > 0}
-    whole = sum(share for share, _ in there.values())
     if not there:
         return {}
-    total = min(most * totals[s] * whole / share for s, (share, most) in there.items())
-    return {s: min(float(most), share / whole * total / totals[s]) for s, (share, most) in there.items()}
-
-
-def mix(sized: DataFrame, key: str, source: str | Column, tokens: str, targets: dict[str, tuple[float, int]]) -> DataFrame:
-    """(key, source, tokens, repeats) of the documents drawn. ``targets``: source to (share, most repeats)."""
+    if total is None:
+        whole = sum(share for share, _ in there.values())
+        total = min(most * totals[s] * whole / share for s, (share, most) in there.items())
+    uses: dict[str, float] = {}
+    open_ = dict(there)
+    while open_:
+        rest = total - sum(uses[s] * totals[s] for s in uses)
+        whole = sum(share for share, _ in open_.values())
+        full = [s for s, (share, most) in open_.items() if share / whole * rest > most * totals[s] * (1 + 1e-12)]
+        for s in full or list(open_):
+            share, most = open_.pop(s)
+            uses[s] = float(most) if full else min(float(most), max(0.0, share / whole * rest / totals[s]))
+    return uses
+
+
+def mix(sized: DataFrame, key: str, source: str | Column, tokens: str, targets: dict[str, tuple[float, int]], total: int | None = None) -> DataFrame:
+    """(key, source, tokens, repeats) of the documents drawn. ``targets``: source to (share, most repeats); ``total``: tokens to draw, see ``needed``."""
     source = plain_source(source) if isinstance(source, str) else source
     rows = take(sized, id=key, source=source, tokens=F.col(f"`{tokens}`").cast("long")).where("id is not null and tokens > 0").where(F.col("source").isin(list(targets)))
     rows = written(rows, "sources")
     kind = dict(rows.dtypes)["id"]
     totals = {r[0]: (r[1], r[2]) for r in rows.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}  # a row for each target
-    uses = needed({s: t for s, (t, _) in totals.items()}, targets)
+    uses = needed({s: t for s, (t, _) in totals.items()}, targets, total)
     if not uses:
         return rows.select(F.col("id").alias(key), "source", "tokens", F.lit(0).alias("repeats")).limit(0)
     pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for s in uses for x in (s, values(s))]), F.col("source"))

@@ -188,11 +188,30 @@ def test_mixing(spark, monkeypatch):
 
 def test_flight_keeps_totals():
     size = sorted((rng.randint(1, 5000) for _ in range(2000)), reverse=True)
-    flown = mixing.flight(size, [0.37] * 2000, 1)
-    p, open_ = mixing.landing(size, flown), [x for x, y in zip(size, flown) if 0 < y < 1]
     off = lambda q: abs(sum(map(lambda a, b: a * b, size, q)) - 0.37 * sum(size))
-    assert len(open_) <= 2 and off(flown) < 0.01 and abs(sum(flown) - 740) < 0.01  # the flight itself keeps both totals
-    assert set(p) <= {0.0, 1.0} and abs(sum(p) - 740) <= 1 and off(p) <= sum(open_) and sum(open_) <= 2 * size[-100]
+    for seed in range(5):
+        flown = mixing.flight(size, [0.37] * 2000, seed)
+        assert sum(0 < x < 1 for x in flown) <= 2 and off(flown) < 0.01 and abs(sum(flown) - 740) < 0.01  # the flight itself keeps both totals
+        p = mixing.landing(size, flown, [0.37] * 2000)
+        assert set(p) <= {0.0, 1.0} and abs(sum(p) - 740) <= 1 and off(p) <= 5
+
+
+def test_flight_keeps_chances():
+    size = sorted((rng.randint(1, 900) for _ in range(12)), reverse=True)
+    chance = [rng.random() for _ in size]
+    runs_ = [mixing.flight(size, chance, seed) for seed in range(4000)]
+    for i, x in enumerate(chance):
+        assert abs(sum(r[i] for r in runs_) / len(runs_) - x) < 0.04
+
+
+def test_total_of_a_mixture():
+    targets = {"a": (0.5, 2), "b": (0.3, 1), "c": (0.2, 4)}
+    totals = {"a": 1000, "b": 10, "c": 1000}
+    assert mixing.needed(totals, targets)["b"] == 1.0
+    uses = mixing.needed(totals, targets, 700)
+    assert uses["b"] == 1.0 and abs(sum(uses[s] * totals[s] for s in uses) - 700) < 1e-6 and abs(uses["a"] / uses["c"] - 2.5) < 1e-6
+    assert mixing.needed(totals, targets, 10**9) == {"a": 2.0, "b": 1.0, "c": 4.0}
+    assert mixing.needed(totals, targets, 0) == {"a": 0.0, "b": 0.0, "c": 0.0}
 
 
 CASES = [
