@@ -8,6 +8,8 @@ anchor. By the triangle inequality that meets every pair within the threshold.
 
 Which records may lie within an anchor's reach is read from minwise symbols:
 a record has BANDS bands, and two records meet in a bucket if a band agrees.
+Two bands must agree for partners. For guests of an anchor one is enough, and
+their distance to it is computed: only those within reach are replicated to it.
 Pairs that met are always compared exactly, on the sets themselves.
 
 A code over the bits of a Hamming fingerprint was not used: at a similarity of
@@ -15,9 +17,10 @@ A code over the bits of a Hamming fingerprint was not used: at a similarity of
 (covering radius plus threshold) takes in most of the code.
 
 Records with equal sets are one class with one representative, so copies cost
-one partial aggregation. Buckets are joined with a sort-merge join, which
-adaptive execution splits where a bucket is hot; a record that has a near
-anchor leaves the anchor side, so a crowd around one text meets in linear time.
+one partial aggregation. A record that has a near anchor leaves the anchor side,
+so a crowd around one text meets in linear time; a bucket in which many records
+without a near anchor meet is split by second bands (``_thinned``), so a stretch
+that all records have in common joins none of them.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,7 @@ from braidwork.plans.columns import take
 from braidwork.plans.lineage import written
 
 RADIUS = 0.1
+HOT = 1000  # records that are their own anchor, from which a bucket is split by second bands
 _PIECE = 2_000_000
 _EMPTY = np.uint64(0xFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -151,21 +156,41 @@ def _sketch_words(bands: int, per_band: int, least: int):
 
 def _sketch_lists(bands: int, per_band: int, least: int):
     salts = mix(np.arange(1, bands * per_band + 1, dtype=np.uint64) * _GOLDEN)
+    marks: dict[str | None, bytes] = {}
+
+    def mark(group: str | None) -> bytes:
+        if group not in marks:
+            if len(marks) > 10_000:
+                marks.clear()
+            marks[group] = hashlib.blake2b(b"-" if group is None else b"+" + group.encode(), digest_size=16).digest()
+        return marks[group]
 
     def batches(it):
         for batch in it:
-            out = []
-            for key, group, ids in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "ids"))):
-                ids = sorted({x for x in ids or () if x is not None})
-                if len(ids) < least:
-                    continue
-                payload = hashlib.blake2b(b"-" if group is None else b"+" + group.encode(), digest_size=16).digest() + np.array(ids, "<i8").tobytes()
-                token = mix(np.array(ids, np.int64).view(np.uint64) + np.frombuffer(payload[:8], "<u8"))
-                symbol = mix(token[:, None] ^ salts[None, :]).min(0).reshape(1, bands, per_band)
-                out.append((key, hashlib.blake2b(payload, digest_size=16).digest(), len(ids), _band_hash(symbol)[0].view(np.int64), payload))
-            columns = list(zip(*out)) or [[]] * 5
-            types = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["key", "set_id", "size", "bands", "payload"])
+            lists = batch.column("ids").cast(pa.large_list(pa.int64()))
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()) if not lists.null_count else pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            flat = lists.flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            row, value = row[known], flat.drop_null().to_numpy().astype(np.int64)
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])))[: len(row)]
+            row, value = row[new], value[new]
+            size = np.bincount(row, minlength=len(lists))
+            ok = np.flatnonzero(size >= least)
+            keep = np.isin(row, ok)
+            row, value, ends = row[keep], value[keep], np.concatenate(([0], np.cumsum(size[ok])))
+            groups = batch.column("part").take(pa.array(ok)).to_pylist()
+            group_marks = [mark(g) for g in groups]
+            token = mix(value.view(np.uint64) + np.repeat(np.frombuffer(b"".join(m[:8] for m in group_marks), "<u8"), size[ok]))
+            symbol = np.minimum.reduceat(mix(token[:, None] ^ salts[None, :]), ends[:-1], axis=0) if len(ok) else np.zeros((0, len(salts)), np.uint64)
+            raw = value.astype("<i8")
+            payload = [m + raw[a:b].tobytes() for m, a, b in zip(group_marks, ends[:-1], ends[1:])]
+            ids = [hashlib.blake2b(x, digest_size=16).digest() for x in payload]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(ok)), pa.array(ids, pa.binary()), pa.array(size[ok].astype(np.int32)), _list(_band_hash(symbol.reshape(len(ok), bands, per_band))), pa.array(payload, pa.binary())],
+                names=["key", "set_id", "size", "bands", "payload"],
+            )
 
     return batches
 
@@ -224,20 +249,41 @@ def _near(sketch: DataFrame, jaccard, threshold: float, agree: int) -> tuple[Dat
     homes = written(homes.select(F.col("a").alias("key"), F.col("b").alias("anchor")), "homes")
     anchors = homes.select(F.col("anchor").alias("key")).distinct().withColumn("serves", F.lit(True))
     flagged = posts.drop("centre").join(homes.select("key", F.lit(True).alias("homed")), "key", "left").join(anchors, "key", "left")
-    at_anchor = flagged.where("homed is null or serves").select("bucket", F.col("key").alias("anchor"), F.col("homed").alias("moved"), F.col("serves").alias("serves"))
+    flagged = written(_thinned(flagged, heads), "meetings")
+    at_anchor = flagged.where("homed is null or serves").select("bucket", F.col("key").alias("anchor"), F.col("homed").alias("moved"), F.col("serves").alias("serves"), "bands")
     others = flagged.select("bucket", "key", F.col("homed").alias("away"))
     # Both their own anchor, and nobody else's: one of the two meetings is enough.
     once = F.col("moved").isNotNull() | F.col("serves").isNotNull() | F.col("away").isNotNull() | (F.col("anchor") < F.col("key"))
     reach = at_anchor.join(others, "bucket").where((F.col("anchor") != F.col("key")) & once)
-    reach = reach.groupBy("anchor", "key", F.col("moved")).agg(F.count("*").alias("n")).where(F.col("n") >= agree)
-    reach = written(reach.select("anchor", "key", "moved"), "reach")
+    reach = reach.groupBy("anchor", "key", "moved", "serves", "away").agg(F.sum("bands").alias("n"))
+    # A guest of an anchor lies farther off than a partner, so one band in common is enough to test its distance.
+    reach = written(reach.where((F.col("n") >= agree) | F.col("serves").isNotNull() & F.col("away").isNotNull()), "reach")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    own = reach.where("moved is null").select(*pair("anchor", "key"))
-    guests = reach.select("anchor", F.col("key").alias("other")).join(homes, "anchor").where("key <> other").select(*pair("key", "other"))
+    own = reach.where((F.col("n") >= agree) & F.col("moved").isNull()).select(*pair("anchor", "key"))
+    guests = reach.where("serves").select(F.col("key").alias("a"), F.col("anchor").alias("b"))
+    guests = _likeness(guests, sketch, jaccard, threshold - RADIUS).select(F.col("a").alias("other"), F.col("b").alias("anchor"))
+    guests = guests.join(homes, "anchor").where("key <> other").select(*pair("key", "other"))
     pairs = own.unionByName(guests).unionByName(homes.select(*pair("key", "anchor"))).distinct()
     return copies, _likeness(pairs, sketch, jaccard, threshold)
 
 
+def _thinned(flagged: DataFrame, heads: DataFrame) -> DataFrame:
+    """Meetings with ``bands``, the number of bands that agree in one.
+
+    A bucket with more than HOT records on the anchor side is not joined: as two
+    bands have to agree, its records meet in it and each one of their other
+    bands instead, which a band they share by chance, such as that of a common
+    stretch, does not let them do. No pair with two bands in common is lost.
+    """
+    anchor_side = F.col("homed").isNull() | F.coalesce(F.col("serves"), F.lit(False))
+    hot = flagged.groupBy("bucket").agg(F.count_if(anchor_side).alias("m")).where(F.col("m") > HOT).select("bucket")
+    hot = written(hot, "hot")
+    cold = flagged.join(hot, "bucket", "left_anti").withColumn("bands", F.lit(1))
+    both = flagged.join(hot, "bucket").join(heads.select("key", F.explode("bands").alias("second")), "key").where("second <> bucket")
+    both = both.withColumn("bucket", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))).drop("second").distinct()
+    return cold.unionByName(both.withColumn("bands", F.lit(2)))
+
+
 def near_sequences(df: DataFrame, key: str, seq: str, threshold: float = 0.6, least: int = 100, bands: int = 28) -> tuple[DataFrame, DataFrame]:
     """Rows whose sets of canonical 16-letter words share ``threshold`` of their union.
 
@@ -255,11 +301,12 @@ def near_lists(df: DataFrame, key: str, group: str, ids: str, threshold: float =
     """Rows of one group whose integer lists, as sets, share ``threshold`` of their union.
 
     Returns (copies, links). Nulls in a list are left out, a null list is in no
-    pair; rows with a null group are one group. At a similarity of exactly 0.7
-    a pair stays unmet with a probability of 4e-9.
+    pair; rows with a null group are one group. Two bands of one symbol must
+    agree: at a similarity of exactly 0.7 a pair stays unmet with a probability
+    of 2e-7.
     """
     rows = take(df, key=F.col(f"`{key}`").cast("long"), part=F.col(f"`{group}`").cast("string"), ids=F.col(f"`{ids}`").cast("array<long>")).where("key is not null and ids is not null")
-    return _near(rows.mapInArrow(_sketch_lists(bands, 1, least), _SKETCH), _jaccard_lists, threshold, 1)
+    return _near(rows.mapInArrow(_sketch_lists(bands, 1, least), _SKETCH), _jaccard_lists, threshold, 2)
 
 
 def expanded(copies: DataFrame, links: DataFrame) -> DataFrame:

@@ -74,3 +74,36 @@ ORACLE["p6_checked"] = """
 select spec_id, capacity_tokens, (select count(*) from documents) as n_docs, 0::bigint as cut_wrongly, 0::bigint as incomplete, 0::bigint as overfull from pack_specs
 """
 ORACLE["p7_checked"] = "select lower(trim(source)) as source, max_repeats::bigint as max_repeats, 0::bigint as too_often, 0::bigint as foreign, 0::bigint as twice from mix_targets"
+
+_NEAR = """
+with reads as (
+  select read_key, replace(regexp_replace(upper(seq), '[^ACGTU]', 'N', 'g'), 'U', 'T') as s from seq_reads where length(seq) >= 16
+), spelt as (
+  select read_key as key, unnest([s[i:i+15] for i in range(1, length(s) - 14)]) as w from reads
+), words as (
+  select distinct 'read' as kind, '' as part, key, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as x from spelt where not contains(w, 'N')
+  union all select distinct 'cons', coalesce(group_id, ''), cons_key, cast(id as varchar)
+    from (select group_id, cons_key, unnest(clu_read_ids) as id from consensus) where id is not null
+), sized as (
+  select kind, part, key, count(*) as n from words group by all having count(*) >= case kind when 'read' then 100 else 3 end
+), members as (select b.*, n from words b join sized using (kind, part, key)
+), common as (
+  select a.kind, a.part, a.key as key_a, b.key as key_b, a.n as na, b.n as nb, count(*) as c
+  from members a join members b on a.kind = b.kind and a.part = b.part and a.x = b.x and a.key < b.key group by all
+), pairs as (
+  select kind, key_a, key_b, c = na and c = nb as equal from common where c >= case kind when 'read' then 0.6 else 0.7 end * (na + nb - c) - 1e-9
+)
+"""
+ORACLE["p2_found"] = _NEAR + "select kind, key_a, key_b from pairs"
+ORACLE["p2_classes"] = _NEAR + """, keys as (
+  select 'read' as kind, read_key as key from seq_reads union all select 'cons', cons_key from consensus
+), class as (
+  select k.kind, k.key, coalesce(min(p.key_a), k.key) as class_key from keys k left join pairs p on p.kind = k.kind and p.key_b = k.key and p.equal group by k.kind, k.key
+), links as (
+  select kind, class_key, count(distinct other) as n_links from (
+    select p.kind, a.class_key, b.class_key as other from pairs p join class a on a.kind = p.kind and a.key = p.key_a join class b on b.kind = p.kind and b.key = p.key_b where not equal
+    union all select p.kind, b.class_key, a.class_key from pairs p join class a on a.kind = p.kind and a.key = p.key_a join class b on b.kind = p.kind and b.key = p.key_b where not equal
+  ) group by all
+)
+select c.kind, c.key, c.class_key, count(*) over (partition by c.kind, c.class_key) as class_rows, coalesce(n_links, 0) as n_links
+from class c left join links using (kind, class_key)"""

@@ -84,7 +84,9 @@ def words16(s):
     return {min(w, w.translate(COMPLEMENT)[::-1]) for i in range(len(s) - 15) if "N" not in (w := s[i : i + 16])}
 
 
-def test_near(spark):
+@pytest.mark.parametrize("hot", [0, 2, 1000])
+def test_near(spark, monkeypatch, hot):
+    monkeypatch.setattr(near, "HOT", hot)
     base = [dna(300) for _ in range(6)]
     seqs = base + [changed(b, n) for b in base for n in (1, 2, 3, 4)] + [base[0]] * 3 + [base[1].translate(COMPLEMENT)[::-1].lower()] + [base[2] + dna(60), None, "", "ACGT", "N" * 400]
     df = spark.createDataFrame(list(enumerate(seqs)), "read_key long, seq string").withColumn("key", F.lit("x")).withColumn("bands", F.lit(1))
@@ -94,7 +96,7 @@ def test_near(spark):
     got = near.expanded(copies, links).collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
     cls = {r.key: r for r in near.classes(df, "read_key", copies, links).collect()}
-    assert len(cls) == len(seqs) and cls[0].class_rows == 4 and cls[len(seqs) - 1].n_links == 0
+    assert len(cls) == len(seqs) and cls[0].class_rows == sum(x == sets[0] for x in sets.values()) and cls[len(seqs) - 1].n_links == 0
     lists = [(i, "g" if i % 3 else None, sorted(rng.sample(range(9), 6)) + [None, 3]) for i in range(40)] + [(90, "g", None), (91, "g", [1, 2]), (92, "g", [])]
     ids = spark.createDataFrame(lists, "k long, g string, ids array<int>")
     s = {k: (g, {x for x in v or () if x is not None}) for k, g, v in lists}
@@ -102,6 +104,18 @@ def test_near(spark):
     assert {tuple(r) for r in near.expanded(*near.near_lists(ids, "k", "g", "ids")).collect()} == want
 
 
+def test_pairs_across_anchors(spark):
+    """Two crowds, each near an anchor of its own, that lie at the threshold from one another."""
+    one = dna(400)
+    two = one[:330] + dna(70)
+    seqs = [changed(x, n) for x in (one, two) for n in (0, 0, 1, 1, 1, 1, 1)] + [dna(400) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "k long, s string")
+    sets = {i: words16(s) for i, s in enumerate(seqs)}
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    assert any(i < 7 <= j for i, j in want)
+    assert {tuple(r) for r in near.expanded(*near.near_sequences(df, "k", "s")).collect()} == want
+
+
 @pytest.mark.parametrize("hot", [1, 50_000])
 def test_spans(spark, hot):
     shared = dna(130)
