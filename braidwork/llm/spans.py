@@ -8,7 +8,7 @@ in more than one record. Runs of such windows come back as spans.
 
 Skew: exact copies of a record are collapsed first, with partial aggregation,
 and take their class's spans at the end. A minimiser that holds more super-
-k-mers than HOT is salted by record: windows met within one salt are settled
+k-mers than HOT is salted by their places: windows met within one salt are settled
 there, and one row per distinct window and salt goes to a second round, which
 groups by the window itself.
 
@@ -32,6 +32,7 @@ WORD = 32
 HOT = 50_000
 _RUN = 256  # windows in one super-k-mer at most
 _PIECE = 1_000_000
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _LETTERS = np.array([[b >> s & 3 for s in (6, 4, 2, 0)] for b in range(256)], np.uint8)
 _TRAVEL = "mini long, key long, place long, letters binary"  # place: start << 10 | windows << 1 | whether the record has copies
 _FOUND = "key long, lo long, hi long, a long, b long, c long, shared boolean"
@@ -51,8 +52,8 @@ def _super_kmers(width: int):
         at = np.flatnonzero(valid(codes, width))
         if not len(at):
             return None
-        packed = Packed(codes)
-        mini = _sliding_min(mix(packed[WORD]), width - WORD + 1)[at]
+        packed, word = Packed(codes), min(WORD, width)
+        mini = _sliding_min(mix(packed[word]), width - word + 1)[at]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (mini[1:] != mini[:-1])
         begin = np.flatnonzero(new)
@@ -82,6 +83,18 @@ def _super_kmers(width: int):
     return batches
 
 
+def _window_words(packed: Packed, start: np.ndarray, width: int) -> list[np.ndarray]:
+    """Three numbers that stand for a window: its letters up to 96 of them, above that its first 32 and two hashes of all others."""
+    word = min(WORD, width)
+    words = [packed[word][start + i] for i in [*range(0, width - word, word), width - word]]
+    if len(words) > 3:
+        one = two = np.zeros(len(start), np.uint64)
+        for x in words[1:]:
+            one, two = mix(one * _ODD[0] + x), mix((two ^ x) * _ODD[1] + x)
+        words = [words[0], one, two]
+    return words + [np.zeros(len(start), np.uint64)] * (3 - len(words))
+
+
 def _find(width: int):
     def work(t: pa.Table) -> pa.RecordBatch | None:
         mini, key, place = (t.column(c).to_numpy() for c in ("mini", "key", "place"))
@@ -102,9 +115,7 @@ def _find(width: int):
         skm = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(skm)) - np.repeat(np.cumsum(n) - n, n)
         start = base[skm] + inner
-        packed, tail = Packed(codes), width - 2 * WORD
-        a, b = packed[WORD][start], packed[WORD][start + WORD]
-        c = packed[tail][start + 2 * WORD]
+        a, b, c = _window_words(Packed(codes), start, width)
         mark = mix(a ^ mix(b + mix(c)))
         order = np.argsort(mark)
         ma, mb, mc = a[order], b[order], c[order]
@@ -165,42 +176,41 @@ def _merged(spans: DataFrame) -> DataFrame:
 def shared_spans(df: DataFrame, key: str, seq: str, width: int = 80, hot: int = HOT) -> DataFrame:
     """(key, span_start, span_end) of each longest stretch covered by windows that stand in another row too.
 
-    ``key`` is a unique integer; rows without one are left out. ``width`` is
-    from 65 to 96 letters.
+    ``key`` is a unique integer; rows without one are left out. Windows above 96
+    letters are compared by their first 32 letters and 128 bits of hashes.
     """
-    if not 2 * WORD < width <= 3 * WORD:
-        raise ValueError("width must be from 65 to 96")
+    if width < 1:
+        raise ValueError("width must be at least 1")
     spark = df.sparkSession
     reads = take(df, key=F.col(f"`{key}`").cast("long"), seq=seq).where(F.col("key").isNotNull() & (F.length("seq") >= width))
     # The same letters in capitals, other characters as N.
     reads = reads.withColumn("seq", F.regexp_replace(F.translate("seq", "acgtuU", "ACGTTT"), "[^ACGT]", "N"))
-    classes = reads.groupBy("seq").agg(F.min("key").alias("key"), (F.count("*") > 1).alias("many"))
+    digests = written(reads.select("key", F.unhex(F.md5("seq")).alias("digest")), "digests")
+    heads = digests.groupBy("digest").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # of rows that have copies: the one that stands for them, for all
+    roles = written(digests.join(heads, "digest").select("key", "head"), "copies")
+    classes = reads.join(roles, "key", "left").where("head is null or head = key").select("seq", "key", F.col("head").isNotNull().alias("many"))
     travel = written(classes.mapInArrow(_super_kmers(width), _TRAVEL), "superkmers")
     total = travel.count()
-    # At most a million minimisers are hot, whatever the size.
-    limit = max(hot, total // 1_000_000)
-    crowded = travel.groupBy("mini").count().where(F.col("count") > limit).select("mini", F.ceil(F.col("count") / limit).cast("long").alias("salts"))
-    crowded = spark.createDataFrame(crowded.toArrow())
+    crowded = written(travel.groupBy("mini").count().where(F.col("count") > hot).select("mini", F.ceil(F.col("count") / hot).cast("long").alias("salts")), "crowded")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 250_000 + 1)
-    by = ["mini"]
-    if crowded.head(1):
-        salted = travel.join(F.broadcast(crowded), "mini", "left")
-        travel = salted.select("mini", "key", "place", "letters", F.col("salts").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("key"), "salts"), F.lit(0)).cast("long").alias("salt"))
+    by, salted = ["mini"], bool(crowded.head(1))
+    if salted:
+        travel = travel.join(crowded, "mini", "left")
+        travel = travel.select("mini", "key", "place", "letters", F.col("salts").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("key", "place"), "salts"), F.lit(0)).cast("long").alias("salt"))
         by = ["mini", "salt"]
     met = travel.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(_find(width), _FOUND)
-    if crowded.head(1):
+    if salted:
         met = written(met, "windows")
         again = met.where("a is not null")
-        twice = again.groupBy("a", "b", "c").agg(F.countDistinct("key").alias("keys"), F.max("shared").alias("any")).where("keys > 1 or any").select("a", "b", "c")
+        twice = again.groupBy("a", "b", "c").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("shared").alias("any")).where("low <> high or any").select("a", "b", "c")
         late = again.where("not shared").join(twice, ["a", "b", "c"])
         spans = met.where("a is null").select("key", "lo", "hi").unionByName(late.select("key", "lo", "hi"))
     else:
         spans = met.select("key", "lo", "hi")
     spans = _merged(spans)
     # Copies have the spans of the record that stood for them.
-    digest = F.unhex(F.sha2("seq", 256)).alias("digest")
-    heads = classes.where("many").select(digest, F.col("key").alias("head"))
-    copies = reads.select("key", digest).join(heads, "digest").where("key <> head").select(F.col("key").alias("copy"), F.col("head").alias("key"))
+    copies = roles.where("key <> head").select(F.col("key").alias("copy"), F.col("head").alias("key"))
     copied = spans.join(copies, "key").select(F.col("copy").alias("key"), "lo", "hi")
     return spans.unionByName(copied).select(F.col("key").alias(key), F.col("lo").alias("span_start"), F.col("hi").alias("span_end"))
 

@@ -116,6 +116,21 @@ def test_pairs_across_anchors(spark):
     assert {tuple(r) for r in near.expanded(*near.near_sequences(df, "k", "s")).collect()} == want
 
 
+def brute_spans(keys, seqs, width):
+    where = collections.defaultdict(set)
+    places = [(k, i, clean(s)[i : i + width]) for k, s in zip(keys, seqs) for i in range(len(s or "") - width + 1)]
+    for k, _, w in places:
+        where[w].add(k)
+    out = []
+    for k, i, w in places:
+        if "N" not in w and len(where[w]) > 1:
+            if out and out[-1][0] == k and out[-1][2] >= i:
+                out[-1] = (k, out[-1][1], i + width)
+            else:
+                out.append((k, i, i + width))
+    return set(out)
+
+
 @pytest.mark.parametrize("hot", [1, 50_000])
 def test_spans(spark, hot):
     shared = dna(130)
@@ -137,6 +152,10 @@ def test_spans(spark, hot):
                 want.discard(last)
                 want.add((k, last[1], i + 80))
     assert {tuple(r) for r in spans.shared_spans(df, "read_key", "seq", hot=hot).collect()} == want
+    if hot == 1:
+        for width in (20, 50, 129):
+            got = {tuple(r) for r in spans.shared_spans(df, "read_key", "seq", width=width, hot=3).collect()}
+            assert got == brute_spans(keys, seqs, width), width
     cover = {r.read_key: r.shared_letters for r in spans.shared_cover(df, "read_key", "seq").collect()}
     assert len(cover) == len(seqs) and all(cover[k] == sum(e - a for q, a, e in want if q == k) for k in keys)
 
