@@ -75,58 +75,67 @@ def _only(c: Column, letters: str) -> Column:
 RESIDUES = "ACGTUNRYSWKMBDHV"
 
 
-def _reasons() -> tuple[Column, dict[str, Column]]:
-    """The error array, and the fields as text, from the columns kind, line, fields, sound and tabs."""
-    kind, line, fields, sound, tabs = (F.col(c) for c in ("kind", "line", "fields", "sound", "tabs"))
-    csv, gfa = kind == "reads_csv", kind == "gfa_s"
-    residues = RESIDUES + RESIDUES.lower()
-    read_id, name, comment, seq, qual = (_field(fields, i) for i in range(5))
+_LETTERS = RESIDUES + RESIDUES.lower()
+_TEXT = ("read_id_text", "name", "comment", "seq", "qual")
+
+
+def _listed(rules: list[Column]) -> Column:
+    """The reasons that apply; a null line has none but ``columns``."""
+    return F.when(F.col("line").isNull(), F.array(F.lit("columns"))).otherwise(F.filter(F.array(*rules), lambda x: x.isNotNull()))
+
+
+def _checked(rows: DataFrame, errors: Column, typed: dict[str, Column]) -> DataFrame:
+    rows = rows.withColumn("errors", errors)
+    none = {**{k: F.lit(None).cast("string") for k in _TEXT}, "tags": F.lit(None).cast("array<string>")}
+    return rows.select("key", "source", "line_no", "kind", "line", "errors", *[F.when(F.size("errors") == 0, c).alias(k) for k, c in (none | typed).items()])
+
+
+def _csv(rows: DataFrame) -> DataFrame:
+    fields, sound = quoted_fields(F.col("line"))
+    rows = rows.select("*", fields.alias("fields"), sound.alias("sound"))
+    read_id, name, comment, seq, qual = (_field(F.col("fields"), i) for i in range(5))
     printable = "".join(map(chr, range(ord("!"), ord("~") + 1)))
     bad_qual = (qual != "") & ((F.length(qual) != F.length(seq)) | (F.translate(qual, printable, "") != ""))
-    csv_rules = [
-        F.when(~sound, "quoting"),
-        F.when(line.isNull() | (F.size(fields) != 5), "columns"),
+    rules = [
+        F.when(~F.col("sound"), "quoting"),
+        F.when(F.size("fields") != 5, "columns"),
         F.when(~_only(read_id, "0123456789"), "read_id"),
         F.when((name == "") | name.contains(" ") | name.contains("\t"), "name"),
-        F.when(~_only(seq, residues), "seq"),
+        F.when(~_only(seq, _LETTERS), "seq"),
         F.when(bad_qual, "qual"),
     ]
-    gfa_name, gfa_seq = _field(tabs, 1), _field(tabs, 2)
-    gfa_rules = [
-        F.when(line.isNull() | (F.size(tabs) < 3) | (_field(tabs, 0) != "S"), "columns"),
-        F.when((gfa_name == "") | gfa_name.contains(" "), "name"),
-        F.when(~_only(gfa_seq, residues), "seq"),
+    return _checked(rows, _listed(rules), {"read_id_text": read_id, "name": name, "comment": comment, "seq": seq, "qual": F.when(qual != "", qual)})
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("tabs", F.split("line", "\t", -1))
+    tabs = F.col("tabs")
+    name, seq = _field(tabs, 1), _field(tabs, 2)
+    rules = [
+        F.when((F.size(tabs) < 3) | (_field(tabs, 0) != "S"), "columns"),
+        F.when((name == "") | name.contains(" "), "name"),
+        F.when(~_only(seq, _LETTERS), "seq"),
     ]
-    rules = F.when(line.isNull(), F.array(F.lit("columns"))).when(csv, F.array(*csv_rules)).when(gfa, F.array(*gfa_rules)).otherwise(F.array(F.lit("format")))
-    typed = {
-        "read_id_text": F.when(csv, read_id),
-        "name": F.when(csv, name).otherwise(gfa_name),
-        "comment": F.when(csv, comment),
-        "seq": F.when(csv, seq).otherwise(gfa_seq),
-        "qual": F.when(csv & (qual != ""), qual),
-        "tags": F.when(gfa, F.slice(tabs, 4, F.greatest(F.size(tabs) - 3, F.lit(0)))),
-    }
-    return F.filter(rules, lambda x: x.isNotNull()), typed
+    rows = _checked(rows, _listed(rules), {"name": name, "seq": seq, "tags": F.slice(tabs, 4, F.greatest(F.size(tabs) - 3, F.lit(0)))})
+    # Names that faultless lines of one file repeat: few, and found with partial aggregation.
+    file = lambda: (F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), F.col("name").alias("n"))
+    first = rows.where(F.size("errors") == 0).groupBy(*file()).agg(F.min("line_no").alias("first_no"), F.count("*").alias("times")).where("times > 1").drop("times")
+    same = (F.size("errors") == 0) & (F.coalesce("source", F.lit("")) == F.col("s")) & (F.col("source").isNull() == F.col("none")) & (F.col("name") == F.col("n"))
+    rows = rows.join(first, same, "left")
+    again = F.coalesce(F.col("line_no") > F.col("first_no"), F.lit(False))
+    rows = rows.withColumn("errors", F.when(again, F.array(F.lit("duplicate_name"))).otherwise(F.col("errors")))
+    return rows.select("key", "source", "line_no", "kind", "line", "errors", *[F.when(~again, F.col(k)).alias(k) for k in (*_TEXT, "tags")])
 
 
 def parse_lines(df: DataFrame, key: str, source: str, line_no: str, kind: str, line: str) -> DataFrame:
-    """Every line with its error array and its fields as text, null where there are errors."""
+    """Every line with its error array and its fields as text, null where there are errors.
+
+    Each format is a scan of its own lines by its own rules; only segments, whose
+    names must not repeat, are shuffled.
+    """
     rows = take(df, key=key, source=source, line_no=line_no, kind=kind, line=line)
-    fields, sound = quoted_fields(F.col("line"))
-    rows = rows.select("*", fields.alias("fields"), sound.alias("sound"), F.split("line", "\t", -1).alias("tabs"))
-    errors, typed = _reasons()
-    rows = rows.withColumn("errors", errors)
-    fine = F.size("errors") == 0
-    rows = rows.select("key", "source", "line_no", "kind", "line", "errors", *[F.when(fine, c).alias(k) for k, c in typed.items()])
-    segment = (F.col("kind") == "gfa_s") & fine
-    first = rows.where(segment).groupBy(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), F.col("name").alias("n")).agg(F.min("line_no").alias("first_no"), F.count("*").alias("times"))
-    repeated = first.where("times > 1").drop("times")
-    same = segment & (F.coalesce("source", F.lit("")) == F.col("s")) & (F.col("source").isNull() == F.col("none")) & (F.col("name") == F.col("n"))
-    rows = rows.join(repeated, same, "left")
-    again = F.col("line_no") > F.col("first_no")
-    rows = rows.withColumn("errors", F.when(again, F.array(F.lit("duplicate_name"))).otherwise(F.col("errors")))
-    fine = F.size("errors") == 0
-    return rows.select("key", "source", "line_no", "kind", "line", "errors", *[F.when(fine, F.col(k)).alias(k) for k in typed])
+    other = rows.where("kind is null or kind not in ('reads_csv', 'gfa_s')")
+    return _csv(rows.where("kind = 'reads_csv'")).unionByName(_segments(rows.where("kind = 'gfa_s'"))).unionByName(_checked(other, _listed([F.lit("format")]), {}))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

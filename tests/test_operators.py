@@ -97,11 +97,21 @@ def test_sources(spark, tmp_path):
     assert fastx.parse_fastx(fq) == [("r1", "c", "ACGT", "@>+I"), ("r2", None, "ACGT", "IIII")]
     with pytest.raises(ValueError):
         fastx.parse_fastx("@r\nACGT\n+\nII\n")
+    assert fastx.parse_fastx(">c\tx y\nA\x0bC\n> z\nG\r\n") == [("c", "x y", "AC", None), ("", "z", "G", None)]
+    records = [(f"n{i}", f"c {i}" if i % 3 else None, "ACGT" * (1 + i % 5), ("@" if i % 4 == 0 else "I") + "+>@I" [: 3] + "I" * (4 * (i % 5))) for i in range(200)]
+    (tmp_path / "big.fq").write_text("".join(f"@{n}{' ' + c if c else ''}\n{s}\n+\n{q}\n" for n, c, s, q in records))
+    for size in (200, 333, 700, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert sorted(((r.name, r.comment, r.seq, r.qual) for r in fastx.read_fastq(spark, str(tmp_path / "big.fq")).collect()), key=str) == sorted(records, key=str)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "a.fa").write_text(">a one\nACG\nT\n>b\nAC\n")
     (tmp_path / "b.fq.gz").write_bytes(gzip.compress(fq.encode()))
     (tmp_path / "list").write_text(f"{tmp_path}/a.fa\n{tmp_path}/b.fq.gz")
     assert sorted((r.name, r.comment, r.seq) for r in fastx.read_fasta(spark, str(tmp_path / "a.fa")).collect()) == [("a", "one", "ACGT"), ("b", None, "AC")]
     got = fastx.read_list(spark, str(tmp_path / "list")).collect()
+    assert {r.group_id for r in got} == {f"{tmp_path}/a.fa", f"{tmp_path}/b.fq.gz"}
     assert {(r.batch_index, r.read_id, r.name) for r in got} == {(1, 0, "a"), (1, 1, "b"), (2, 0, "r1"), (2, 1, "r2")}
     (tmp_path / "m").write_text("# x\n  A C\nA 3 -1\nC -2 4\n* -5 -5\n")
     m = fastx.read_matrix(str(tmp_path / "m"), Params())
