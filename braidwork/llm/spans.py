@@ -210,9 +210,9 @@ def shared_spans(df: DataFrame, key: str, seq: str, width: int = 80, hot: int =
         spans = met.select("key", "lo", "hi")
     spans = _merged(spans)
     # Copies have the spans of the record that stood for them.
-    copies = roles.where("key <> head").select(F.col("key").alias("copy"), F.col("head").alias("key"))
-    copied = spans.join(copies, "key").select(F.col("copy").alias("key"), "lo", "hi")
-    return spans.unionByName(copied).select(F.col("key").alias(key), F.col("lo").alias("span_start"), F.col("hi").alias("span_end"))
+    members = roles.select(F.col("head").alias("key"), F.col("key").alias("member"))
+    out = spans.join(members, "key", "left").select(F.coalesce("member", "key").alias("key"), "lo", "hi")
+    return out.select(F.col("key").alias(key), F.col("lo").alias("span_start"), F.col("hi").alias("span_end"))
 
 
 def shared_cover(df: DataFrame, key: str, seq: str, width: int = 80) -> DataFrame:
