@@ -99,14 +99,15 @@ _SHAPE = re.compile(
             r"[{]\W{0,2}(?:status|code|error)\W{1,4}[45]\d\d\b",
             r"(?:^|[.!…]\s+)(?:http )?(?:error|fehler|erreur|código de error|ошибка) [45]\d\d\s?[:.]", r"^\W*(?:error|fehler|erreur|ошибка) [45]\d\d\W*$",
             r"\b(?:fatal|parse) error: |\b(?:warning|notice|deprecated): (?:undefined|division by|uninitialized|trying to|array to|unknown)\b|\bin (?:/[\w.-]*)+ on line \S", r"\btraceback \(most recent call last\)|^\W*(?:uncaught |unhandled )\w*(?:error|exception)\b",
-            r"^\W*(?:exception in thread|caused by: )|^\s*at [\w$.<>@]+\([\w$.@]+(?::[\d#]+)?\)|^\s*(?:[a-z]\w*\.){2,}[A-Z]\w*(?:Exception|Error)\b|^\s*file \"[^\"]*\", line [\d#]+, in |\bpanic: runtime error\b|\bsegmentation fault\b",
+            r"^\W*(?:exception in thread|caused by: )|^\s*at [\w$.<>@]+\((?:[\w$.@]+\.(?:java|kt|scala|js):[\d#]+|native method|unknown source)\)|^\s*(?:[a-z]\w*\.){2,}[A-Z]\w*(?:Exception|Error)\b|^\s*file \"[^\"]*\", line [\d#]+, in |\bpanic: runtime error\b|\bsegmentation fault\b",
             r"\bsqlstate\b|\bora-[\d#]+|\b(?-i:ERR_[A-Z_]+)\b|^\W*(?-i:[A-Z]\w+(?:Error|Exception)): |\bsyntax error (?:at or )?near\b|\bstack trace:", r"\bnginx/[\d#.]+$|\bapache/[\d#.]+ .*\bserver at\b",
         ]
     ),
     re.I,
 )
-_SHAPE_MARKS = re.compile(r"error|exception|[<{]|traceback| on line |sqlstate|caused by: |\", line |panic: |segmentation fault|stack trace|nginx/|apache/|\bora-|(?:warning|notice|deprecated): |\bat [\w$.<>@]+\(|\berr_")
-_STATUS = re.compile(r"(?<![\w.,])[45]\d\d(?![\w%]|[.,]\d)")
+# A shape holds one of these, in small letters, or a status number.
+_MARKS = "error|exception|<|{|traceback| on line |sqlstate|caused by: |\", line |panic: |segmentation fault|stack trace|nginx/|apache/|ora-|warning: |notice: |deprecated: |err_|.java:|.kt:|.scala:|.js:|(native method)|(unknown source)".split("|")
+_STATUS = [str(n) for n in range(400, 600)]
 
 _ADDRESS = re.compile(r"(?:^|\s)@(?=\s)")  # the mark of a masked address
 
@@ -122,8 +123,10 @@ def _automaton() -> ahocorasick.Automaton:
             if phrase.strip():
                 kinds.setdefault(phrase.strip(), set()).add(n)
     a = ahocorasick.Automaton()
+    for mark in (*_MARKS, *_STATUS):
+        a.add_word(mark, (len(mark), 0, False, mark in _MARKS, True))
     for phrase, n in kinds.items():
-        a.add_word(phrase, (len(phrase), sum(1 << k for k in n), any(k not in _WEAK for k in n)))
+        a.add_word(phrase, (len(phrase), sum(1 << k for k in n), any(k not in _WEAK for k in n), phrase in _MARKS, phrase in _MARKS))
     a.make_automaton()
     return a
 
@@ -135,22 +138,30 @@ def plain(text: str) -> str:
     return text.lower().replace("’", "'")
 
 
+def _apart(low: str, end: int, n: int) -> bool:
+    """Whether what ends there is no part of a longer word or number."""
+    return not (low[end + 1 : end + 2].isalnum() or end >= n and low[end - n].isalnum())
+
+
 def promising(low: str) -> bool:
     """Whether a text, in small letters, holds any phrase or mark without which nothing in it is a case; a quick test."""
-    for end, (n, _, strong) in _FIND.iter(low):
-        if strong and not (low[end + 1 : end + 2].isalpha() or low[end - n : end - n + 1].isalpha() and end >= n):
+    for end, (n, _, strong, anywhere, mark) in _FIND.iter(low):
+        if anywhere or (strong or mark) and _apart(low, end, n):
             return True
-    return _SHAPE_MARKS.search(low) is not None or _STATUS.search(low) is not None
+    return False
 
 
 def kinds_in(message: str) -> int:
     """The kinds of evidence in a message, as bits; the bit after the last kind is a shape."""
     low = plain(message)
     bits = 1 << KINDS.index("thing") if _ADDRESS.search(message) else 0
-    for end, (n, kinds, _) in _FIND.iter(low):
-        if not (low[end + 1 : end + 2].isalpha() or end >= n and low[end - n].isalpha()):
+    marked = False
+    for end, (n, kinds, _, anywhere, mark) in _FIND.iter(low):
+        if _apart(low, end, n):
             bits |= kinds
-    if (_SHAPE_MARKS.search(low) or _STATUS.search(low)) and _SHAPE.search(message):
+            marked |= mark
+        marked |= anywhere
+    if marked and _SHAPE.search(message):
         bits |= 1 << len(KINDS)
     return bits
 

@@ -7,6 +7,8 @@ import re
 
 _QUOTE = re.compile(r"\[(/?)(quote)(?:=[^\]\n]*)?\]|<(/?)(blockquote)\b[^>\n]*>", re.I)
 _QUOTED_LINE = re.compile(r"^[ \t]*(?:>|&gt;).*$", re.M)
+_SAYING = "wrote", "schrieb", "escribió", "a écrit"
+_RULES = "--", "* * *", "~~~", "____", "==="
 _SAYS = re.compile(r"^.+(?:wrote|schrieb|escribió|a écrit) ?:[ \t]*$", re.M)
 _CODE = re.compile(r"```.*?(?:```|\Z)|\[code\].*?(?:\[/code\]|\Z)|<pre\b[^>]*>.*?(?:</pre>|\Z)|<code\b[^>]*>.*?(?:</code>|\Z)", re.S | re.I)
 SIGNATURE_LINES = 3  # what follows a line of dashes up to the end is a signature if it has no more lines; else it is a part of the post
@@ -54,12 +56,20 @@ def own_text(text: str | None) -> str:
     """What is left of a post without quoted posts, code and signature, and without markup."""
     if not text:
         return ""
-    t = _BREAK.sub("\n", text)
-    t = _QUOTED_LINE.sub("", t)
-    if "[" in t or "<" in t:
+    t, tagged = text, "<" in text
+    if tagged:
+        t = _BREAK.sub("\n", t)
+    if ">" in t or "&gt;" in t:
+        t = _QUOTED_LINE.sub("", t)
+    tagged = "<" in t or "[" in t
+    if tagged:
         t = _cut_quotes(t)
-    t = _CODE.sub("\n\n", t)
-    t = _SAYS.sub("", t)
-    t = _SIGNATURE.sub("", t)
-    t = _MARKUP.sub("", t)
+    if tagged or "```" in t:
+        t = _CODE.sub("\n\n", t)
+    if any(w in t for w in _SAYING):
+        t = _SAYS.sub("", t)
+    if tagged or any(w in t for w in _RULES):
+        t = _SIGNATURE.sub("", t)
+    if tagged or "**" in t:
+        t = _MARKUP.sub("", t)
     return html.unescape(t).strip() if "&" in t else t.strip()
