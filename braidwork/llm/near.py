@@ -240,7 +240,7 @@ def _near(sketch: DataFrame, jaccard, threshold: float, agree: int) -> tuple[Dat
     copies = written(sketch.select("set_id", "key").join(reps, "set_id").where("key <> rep").select("key", "rep"), "copies")
     heads = sketch.join(copies.select("key"), "key", "left_anti")  # a written table, so its size is known to the planner
     posts = heads.select("key", F.explode("bands").alias("bucket"))
-    crowds = posts.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    crowds = posts.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("members")).where("members > 1")
     posts = written(posts.join(crowds, "bucket"), "buckets")
     # The covering: a record's home is the centre it meets most, if that lies within RADIUS, else itself.
     near = posts.where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("n")).where(F.col("n") >= agree)
@@ -249,7 +249,7 @@ def _near(sketch: DataFrame, jaccard, threshold: float, agree: int) -> tuple[Dat
     homes = written(homes.select(F.col("a").alias("key"), F.col("b").alias("anchor")), "homes")
     anchors = homes.select(F.col("anchor").alias("key")).distinct().withColumn("serves", F.lit(True))
     flagged = posts.drop("centre").join(homes.select("key", F.lit(True).alias("homed")), "key", "left").join(anchors, "key", "left")
-    flagged = written(_thinned(flagged, heads), "meetings")
+    flagged = _thinned(flagged, heads)
     at_anchor = flagged.where("homed is null or serves").select("bucket", F.col("key").alias("anchor"), F.col("homed").alias("moved"), F.col("serves").alias("serves"), "bands")
     others = flagged.select("bucket", "key", F.col("homed").alias("away"))
     # Both their own anchor, and nobody else's: one of the two meetings is enough.
@@ -275,13 +275,15 @@ def _thinned(flagged: DataFrame, heads: DataFrame) -> DataFrame:
     bands instead, which a band they share by chance, such as that of a common
     stretch, does not let them do. No pair with two bands in common is lost.
     """
+    few, many = flagged.where(F.col("members") <= HOT).drop("members").withColumn("bands", F.lit(1)), flagged.where(F.col("members") > HOT).drop("members")
     anchor_side = F.col("homed").isNull() | F.coalesce(F.col("serves"), F.lit(False))
-    hot = flagged.groupBy("bucket").agg(F.count_if(anchor_side).alias("m")).where(F.col("m") > HOT).select("bucket")
-    hot = written(hot, "hot")
-    cold = flagged.join(hot, "bucket", "left_anti").withColumn("bands", F.lit(1))
-    both = flagged.join(hot, "bucket").join(heads.select("key", F.explode("bands").alias("second")), "key").where("second <> bucket")
+    hot = written(many.groupBy("bucket").agg(F.count_if(anchor_side).alias("m")).where(F.col("m") > HOT).select("bucket"), "hot")
+    if not hot.head(1):
+        return few.unionByName(many.withColumn("bands", F.lit(1)))
+    both = many.join(hot, "bucket").join(heads.select("key", F.explode("bands").alias("second")), "key").where("second <> bucket")
     both = both.withColumn("bucket", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))).drop("second").distinct()
-    return cold.unionByName(both.withColumn("bands", F.lit(2)))
+    cold = many.join(hot, "bucket", "left_anti").withColumn("bands", F.lit(1))
+    return few.unionByName(cold).unionByName(written(both.withColumn("bands", F.lit(2)), "seconds"))
 
 
 def near_sequences(df: DataFrame, key: str, seq: str, threshold: float = 0.6, least: int = 100, bands: int = 28) -> tuple[DataFrame, DataFrame]:
