@@ -92,7 +92,8 @@ def _checked(rows: DataFrame, errors: Column, typed: dict[str, Column]) -> DataF
 
 def _csv(rows: DataFrame) -> DataFrame:
     fields, sound = quoted_fields(F.col("line"))
-    rows = rows.select("*", fields.alias("fields"), sound.alias("sound"))
+    # A generator, so that no filter on what follows makes the optimiser cut each line several times.
+    rows = rows.select("*", F.inline(F.array(F.struct(fields.alias("fields"), sound.alias("sound")))))
     read_id, name, comment, seq, qual = (_field(F.col("fields"), i) for i in range(5))
     printable = "".join(map(chr, range(ord("!"), ord("~") + 1)))
     bad_qual = (qual != "") & ((F.length(qual) != F.length(seq)) | (F.translate(qual, printable, "") != ""))
@@ -108,7 +109,7 @@ def _csv(rows: DataFrame) -> DataFrame:
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("tabs", F.split("line", "\t", -1))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.split("line", "\t", -1).alias("tabs")))))
     tabs = F.col("tabs")
     name, seq = _field(tabs, 1), _field(tabs, 2)
     rules = [
