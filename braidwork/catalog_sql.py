@@ -179,18 +179,13 @@ ORACLE["gfa_path_walk"] = f"""with {_SEGS}, lines as (select group_id, string_ag
 steps as (select group_id, unnest(range(0, len(string_split(path, ',')))) as at, unnest(string_split(path, ',')) as step from lines)
 select s.group_id, s.at, rtrim(s.step, '+') as name, lead(rtrim(s.step, '+')) over (partition by s.group_id order by s.at) as next_name, g.seq
 from steps s join segs g on g.group_id = s.group_id and g.name = rtrim(s.step, '+')"""
-_LINES = """
-cut as (select *, string_split(raw_line, '"') as parts, string_split(raw_line, chr(9)) as tabs from raw_records),
-marked as (
-  select *, list_transform(parts, lambda x, i: i % 2 = 1 and not (x = '' and i > 1 and i < len(parts))
-      and ((i > 1 and not starts_with(x, ',') and not (i = len(parts) and x = '')) or (i < len(parts) and not ends_with(x, ',') and not (i = 1 and x = '')))) as bad,
-    list_transform(parts, lambda x, i: case when i % 2 = 0 then replace(replace(x, chr(1), chr(1) || 'e'), ',', chr(1) || 'c')
-      when x = '' and i > 1 and i < len(parts) then '"' else replace(x, chr(1), chr(1) || 'e') end) as texts
-  from cut
-), split_ as (
-  select *, len(parts) % 2 = 1 and not list_contains(bad, true) as sound,
-    list_transform(string_split(array_to_string(texts, ''), ','), lambda x: replace(replace(x, chr(1) || 'c', ','), chr(1) || 'e', chr(1))) as f
-  from marked
+# A field in quotation marks, a doubled mark standing for one, or a field without any.
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_LINES = f"""
+split_ as (
+  select *, string_split(raw_line, chr(9)) as tabs, regexp_full_match(raw_line, '{_FIELD}(?:,{_FIELD})*') as sound,
+    list_transform(regexp_extract_all(',' || raw_line, ',({_FIELD})', 1), lambda x: case when starts_with(x, '"') then replace(x[2:-2], '""', '"') else x end) as f
+  from raw_records
 ), judged as (
   select *, case
     when raw_line is null then 'columns'
