@@ -199,28 +199,25 @@ class Lattice:
     # Parts ------------------------------------------------------------------------------
 
     def region(self, first: int, last: int) -> tuple[int, int]:
-        """The nodes just outside a closed part of the graph that holds first to last."""
+        """The two ends of the smallest stretch of the topological order around first to last that edges enter and leave at its ends only.
+
+        Both ends lie outside; the nodes between them are the part. It grows to
+        the farthest nodes its edges come from and go to, until it is closed;
+        each node is looked at once.
+        """
         if self.stale:
             self.order()
-        at = self.index
-
-        def closed(low: int, high: int, left: int, right: int) -> bool:
-            lo, hi = min(low, left), max(high, right)
-            return all(lo <= at[x] <= hi for i in range(low + 1, high + 1) for x in self.into[self.node_at[i]])
-
-        lo, hi = a, b = at[first], at[last]
-        while True:
-            up = min([a, *(at[x] for i in range(a, b + 1) for x in self.into[self.node_at[i]])])
-            if closed(up, a, a, b):
-                break
-            a, b = up, a
-        a, b = lo, hi
-        while True:
-            down = max([b, *(at[x] for i in range(a, b + 1) for x in self.out[self.node_at[i]])])
-            if closed(b, down, a, b):
-                break
-            a, b = b, down
-        return self.node_at[up], self.node_at[down]
+        at, nodes = self.index, self.node_at
+        low, high = at[first], at[last]  # what has been looked at
+        start, stop = low, high
+        fresh = range(low, high + 1)
+        while fresh:
+            inside = [nodes[i] for i in fresh]
+            start = min(start, *(at[x] for y in inside for x in self.into[y]), at[SINK])
+            stop = max(stop, *(at[x] for y in inside for x in self.out[y]), at[SOURCE])
+            fresh = [*range(start + 1, low), *range(high + 1, stop)]
+            low, high = min(low, start + 1), max(high, stop - 1)
+        return nodes[start], nodes[stop]
 
     def edges(self):
         """(from, to, weight, reads as bits, place among the edges out, place among the edges in)."""

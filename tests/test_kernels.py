@@ -178,7 +178,45 @@ def test_minimisers_are_window_minima():
     want = {i + 4 for a in range(193) for i in range(a, a + 4) if h[i] == h[a : a + 4].min()}
     assert set(m.last.tolist()) == want
     assert len(set(seed.hash_words(np.arange(1024, dtype=np.uint64), 10).tolist())) == 1024
-    assert seed.step_score(5, 5, 19) == 6 and seed.step_score(300, 5, 19) is None
+
+
+def test_chains():
+    # what a step adds, number by number
+    for dq, dt in ((5, 5), (7, 9), (40, 90), (100, 3)):
+        drift = abs(dq - dt)
+        assert seed.step_scores(np.array([dq]), np.array([dt]), 19)[0] == int(min(dq, dt, 19) - ((drift.bit_length() - 1 >> 1) + drift * 0.01 * 19))
+    r = random.Random(11)
+    for _ in range(30):
+        found = sorted({(r.randrange(2), r.randrange(300), r.randrange(300)) for _ in range(60)})
+        a = np.array(found)
+        score, before = seed._linked(a, 19)
+        for i, (s, t, q) in enumerate(found):  # brute force over all anchors before
+            best = max([19] + [int(score[j]) + int(seed.step_scores(np.array([q - y]), np.array([t - x]), 19)[0]) for j, (z, x, y) in enumerate(found[:i]) if z == s and t - x <= 100 and 0 < q - y <= 100 and abs((q - y) - (t - x)) <= 100])
+            assert score[i] == best
+        chains = seed._local_chains(score, before)
+        assert len({x for c in chains for x in c}) == sum(map(len, chains))
+    line = np.array([(0, i, i + 3) for i in range(19, 400, 7)])
+    got = seed.chain(line, 19, 60, 420, 420)
+    assert got and all(b[1] - a[1] >= 60 and b[2] - a[2] >= 60 for a, b in zip(got, got[1:])) and all(q == t + 3 for _, t, q in got)
+    assert seed.chain(np.zeros((0, 3), np.int64), 19, 10, 5, 5) == []
+    two = np.array([(0, i, i) for i in range(19, 200, 5)] + [(0, i, i + 150) for i in range(210, 400, 5)])
+    got = seed.chain(two, 19, 20, 500, 700)
+    assert all(a[1] < b[1] and a[2] < b[2] for a, b in zip(got, got[1:])) and {q - t for _, t, q in got} == {0, 150}
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text("ACGT", min_size=8, max_size=30), min_size=2, max_size=6), st.data())
+def test_region_is_closed_and_smallest(seqs, data):
+    g = made(seqs).graph
+    i = data.draw(st.integers(1, len(g) - 2))
+    j = data.draw(st.integers(i, len(g) - 2))
+    a, b = (g.index[x] for x in g.region(g.node_at[i], g.node_at[j]))
+
+    def closed(a, b):
+        return all(a <= g.index[x] for y in g.node_at[a + 1 : b] for x in g.into[y]) and all(g.index[x] <= b for y in g.node_at[a + 1 : b] for x in g.out[y])
+
+    assert a < i <= j < b and closed(a, b)
+    assert not any(closed(c, d) for c in range(a, i) for d in range(j + 1, b + 1) if (c, d) != (a, b))
 
 
 def test_restore_and_region():
