@@ -194,6 +194,20 @@ def poa_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _finished(incremental.add(state, r.where("read_id % 2 = 1")))
 
 
+@query(f"""{_NUMBERED} select group_id, cast(nth as integer) as read,
+  case when nth = 0 then s else s[cast(floor(length(s) * 0.2) as integer) + 1 : cast(floor(length(s) * 0.6) as integer) + 1] end as seq from numbered""")
+def poa_between(spark: SparkSession, sf: str) -> DataFrame:
+    """The middle of each read aligned to the part of the graph around the middle of its group's first read; rows without gaps."""
+    r = reads(spark, sf)
+    first = r.groupBy("group_id").agg(F.min_by(F.struct("read_id", F.length("seq").alias("n")), "read_id").alias("f")).select("group_id", "f.*")
+    low, high = (F.floor(F.length("seq") * x).cast("int") for x in (0.2, 0.6))
+    heads = r.join(first.select("group_id", "read_id"), ["group_id", "read_id"])
+    # the first read's letters are nodes 2, 3, ...
+    rest = r.join(first.select("group_id", F.col("read_id").alias("head"), "n"), "group_id").where("read_id <> head")
+    rest = rest.select("group_id", "read_id", "name", F.substr("seq", low + 1, high - low + 1).alias("seq"), "qual", (2 + F.floor(F.col("n") * 0.2)).alias("a"), (2 + F.floor(F.col("n") * 0.6)).alias("b"))
+    return _finished(incremental.add(incremental.add(None, heads), rest, nodes=("a", "b")))
+
+
 @query(f"with {_READS} select group_id, count(*) as n_seq, true as agree from plain group by group_id")
 def poa_frequent(spark: SparkSession, sf: str) -> DataFrame:
     """Whether most-frequent consensus of the graph equals the votes counted in the columns of its aligned rows."""

@@ -48,8 +48,8 @@ def fold(reads: Reads, params: Params, graph: Lattice | None = None) -> Folded:
     return next(fold_many([(reads, graph)], params))
 
 
-def fold_many(groups: Iterable[tuple[Reads, Lattice | None]], params: Params) -> Iterator[Folded]:
-    """The fold of each group, in their order.
+def fold_many(groups: Iterable[tuple], params: Params) -> Iterator[Folded]:
+    """The fold of each group (reads, graph or None, and for ``_between`` the node spans), in their order.
 
     A group's reads follow one another, so each round aligns one read of every
     group in flight. ``groups`` is read only as far as there is room.
@@ -59,11 +59,11 @@ def fold_many(groups: Iterable[tuple[Reads, Lattice | None]], params: Params) ->
     while more or flight or done:
         while more and len(flight) < LANES and taken - given < 4 * LANES:
             try:
-                reads, graph = next(waiting)
+                reads, graph, *spans = next(waiting)
             except StopIteration:
                 more = False
                 break
-            steps = _steps(reads, params, graph)
+            steps = _between(reads, params, graph, *spans) if spans else _steps(reads, params, graph)
             _advance(flight, done, taken, steps, None)
             taken += 1
         while given in done:
@@ -123,6 +123,30 @@ def _steps(reads: Reads, params: Params, graph: Lattice | None) -> Generator[Req
     return out
 
 
+def _between(reads: Reads, params: Params, graph: Lattice | None, spans: list[tuple[int, int] | None]) -> Generator[Request, Alignment, Folded]:
+    """Reads that belong to a part of the graph: each is aligned to the closed part around its first and last node only.
+
+    A read without a span, and the first of an empty graph, goes to the whole graph.
+    """
+    graph = graph or Lattice()
+    out = Folded(graph, list(range(len(reads))), [False] * len(reads), [0] * len(reads))
+    base = graph.n_seq
+    graph.n_seq += len(reads)
+    for i, ((seq, qual), span) in enumerate(zip(reads, spans)):
+        q = params.encode(seq)
+        if not len(q):
+            continue
+        begin, end = SOURCE, SINK
+        if span is not None and not graph.empty:
+            if not 2 <= min(span) <= max(span) < len(graph) or graph.index[span[0]] > graph.index[span[1]]:
+                raise ValueError(f"no part of the graph from node {span[0]} to node {span[1]}")
+            begin, end = graph.region(*span)
+        found = _NOTHING if graph.empty else (yield Request(graph, q, begin, end))
+        out.scores[i] = found.score if found.steps else 0
+        graph.fuse(q, weights_of(qual, len(seq), params.use_quality), found.steps, base + i, begin, end, both_ends=(begin, end) == (SOURCE, SINK))
+    return out
+
+
 _NOTHING = Alignment(-1)
 
 

@@ -113,6 +113,13 @@ def _folder(params: Params, parts: tuple[str, ...]):
     return run
 
 
+def checked_weights(weights: str, seq: str) -> Column:
+    """The column of weights; an error where they are not one number of at least 0 for each letter."""
+    w = F.col(f"`{weights}`").cast("array<int>")
+    bad = F.coalesce((F.size(w) > 0) & ((F.size(w) != F.length(F.coalesce(F.col(f"`{seq}`"), F.lit("")))) | F.exists(w, lambda x: x.isNull() | (x < 0))), F.lit(False))
+    return F.when(bad, F.raise_error(F.lit("weights must be one number of at least 0 for each letter"))).otherwise(w)
+
+
 def poa(reads: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PARTS, group: str = "group_id", read_id: str = "read_id", name: str | None = "name", seq: str = "seq", qual: str | None = "qual", weights: str | None = None, partitions: int | None = None) -> DataFrame:
     """One row a group: its reads, graph, alignment and consensus, as far as ``parts`` asks.
 
@@ -128,9 +135,7 @@ def poa(reads: DataFrame, params: Params = Params(), parts: tuple[str, ...] = PA
     given = F.lit(None).cast("array<int>")
     if weights:
         params = params.with_(use_quality=True)
-        w = F.col(f"`{weights}`").cast("array<int>")
-        bad = F.coalesce((F.size(w) > 0) & ((F.size(w) != F.length(F.coalesce(F.col(f"`{seq}`"), F.lit("")))) | F.exists(w, lambda x: x.isNull() | (x < 0))), F.lit(False))
-        given = F.when(bad, F.raise_error(F.lit("weights must be one number of at least 0 for each letter"))).otherwise(w)
+        given = checked_weights(weights, seq)
     rows = take(reads, group_id=F.col(f"`{group}`").cast("string"), read_id=F.col(f"`{read_id}`").cast("int"), name=F.col(f"`{name}`").cast("string") if name else nothing, seq=seq, qual=(F.col(f"`{qual}`") if qual and params.use_quality else nothing), weights=given)
     return grouped(rows, "group_id", "read_id", "seq", "name", partitions=partitions).mapInArrow(_folder(params, parts), RESULT)
 
@@ -269,19 +274,35 @@ def dot_lines(result: DataFrame) -> DataFrame:
     for letter, value in COLOURS.items():
         colour = F.when((F.col("base") == letter) & (F.col("node_id") > 1), value).otherwise(colour)
     groups = nodes.groupBy("group_id").agg(F.count("*").alias("n"))
-    head = groups.select("group_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit('digraph graph_of_reads {\n\tgraph [rankdir="LR"];\n\tnode [width=1, style=filled, fixedsize=true, shape=circle];').alias("line"))
+    head = groups.select("group_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("// graph of reads, "), F.col("n").cast("string"), F.lit(" nodes")).alias("line"))
+    head = head.unionByName(groups.select("group_id", F.lit(0).alias("section"), F.lit(1).cast("long").alias("ord"), F.lit('digraph graph_of_reads {\n\tgraph [rankdir="LR"];\n\tnode [width=1, style=filled, fixedsize=true, fontsize=24, shape=circle];\n\tedge [fontsize=20];').alias("line")))
     dots = nodes.select("group_id", F.lit(1).alias("section"), F.col("topo_index").cast("long").alias("ord"), F.concat("label", F.lit(" [color="), colour, F.lit("]")).alias("line"))
     ends = nodes.select("group_id", "node_id", "label", "topo_index")
     a, b = (ends.select("group_id", F.col("node_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_label"), F.col("topo_index").alias(f"{s}_at")) for s in ("from", "to"))
     arrows = part(result, "edges").join(a, ["group_id", "from_id"]).join(b, ["group_id", "to_id"])
     arrows = arrows.select("group_id", F.lit(2).alias("section"), (F.col("from_at").cast("long") * (1 << 20) + F.col("out_ord")).alias("ord"), F.concat(F.lit("\t"), "from_label", F.lit(" -> "), "to_label", F.lit(' [label="'), F.col("weight").cast("string"), F.lit('", penwidth='), (F.col("weight") + 1).cast("string"), F.lit("]")).alias("line"))
-    pairs = part(result, "aligned").where("node_id < aligned_id").select("group_id", F.col("node_id").alias("from_id"), F.col("aligned_id").alias("to_id"))
-    columns = pairs.join(a, ["group_id", "from_id"]).join(b, ["group_id", "to_id"])
-    columns = columns.select("group_id", F.lit(3).alias("section"), (F.col("from_at").cast("long") * (1 << 20) + F.col("to_at")).alias("ord"), F.concat(F.lit("\t{rank=same; "), "from_label", F.lit(" -> "), "to_label", F.lit(" [style=dashed, arrowhead=none]}")).alias("line"))
+    # one set for each column with more than one node, named by all of them
+    mates = part(result, "aligned").select("group_id", F.col("node_id").alias("from_id"), F.col("aligned_id").alias("to_id"))
+    mates = mates.join(a, ["group_id", "from_id"]).join(b, ["group_id", "to_id"]).groupBy("group_id", "from_id", "from_at", "from_label").agg(F.sort_array(F.collect_list(F.struct("to_at", "to_label"))).alias("x"))
+    chained = F.concat(F.lit("\t{rank=same; "), F.array_join(F.concat(F.array("from_label"), F.transform("x", lambda m: m.to_label)), " -> "), F.lit(" [style=dashed, arrowhead=none]}"))
+    columns = mates.where(F.col("from_at") < F.col("x")[0].to_at).select("group_id", F.lit(3).alias("section"), F.col("from_at").cast("long").alias("ord"), chained.alias("line"))
     foot = groups.select("group_id", F.lit(4).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit("}").alias("line"))
     return head.unionByName(dots).unionByName(arrows).unionByName(columns).unionByName(foot)
 
 
+#: The numbered modes of output, with the parts of a result each needs.
+MODES = {0: ("consensus",), 1: ("msa",), 2: ("msa", "consensus"), 3: ("graph",), 4: ("graph", "consensus"), 5: ("consensus",)}
+
+
+def lines(result: DataFrame, mode: int) -> DataFrame:
+    """Lines of a mode: 0 consensus as FASTA, 1 aligned rows, 2 both, 3 the graph, 4 the graph with consensus paths, 5 consensus as FASTQ."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode}")
+    if mode in (0, 5):
+        return consensus_lines(result, quality=mode == 5)
+    return msa_lines(result, with_consensus=mode == 2) if mode in (1, 2) else gfa_lines(result, with_consensus=mode == 4)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """One file a group, lines in their order; ``lines`` has group_id, line and one or two columns of order."""
     order = [c for c in ("section", "ord") if c in lines.columns]

@@ -23,7 +23,7 @@ from braidwork.kernels.fold import fold_many
 from braidwork.kernels.lattice import Lattice
 from braidwork.kernels.params import Params
 from braidwork.operators import poa
-from braidwork.operators.poa import RESULT, SCHEMA, describe
+from braidwork.operators.poa import RESULT, SCHEMA, checked_weights, describe
 from braidwork.plans.columns import take
 from braidwork.plans.grouping import each_group, grouped, tables
 
@@ -56,7 +56,9 @@ def _grow(states: Iterable[tuple[bytes | None, dict[str, list]]], params: Params
         for state, c in states:
             graph, reads = unpack(state)
             held.append((c, reads))
-            yield [(s or "", q) for s, q in zip(c["seq"], c["qual"])], graph
+            rows = [(s or "", w or q) for s, q, w in zip(c["seq"], c["qual"], c["weights"])]
+            spans = [None if a is None or b is None else (a, b) for a, b in zip(c["first_node"], c["last_node"])]
+            yield (rows, graph, spans) if any(spans) else (rows, graph)
 
     for done in fold_many(groups(), params):
         c, reads = held.popleft()
@@ -64,16 +66,28 @@ def _grow(states: Iterable[tuple[bytes | None, dict[str, list]]], params: Params
         yield done.graph, reads
 
 
-def _reads(df: DataFrame) -> DataFrame:
-    return take(df, group_id=F.col("group_id").cast("string"), read_id=F.col("read_id").cast("int"), name="name", seq="seq", qual="qual")
+def _reads(df: DataFrame, weights: str | None = None, nodes: tuple[str, str] | None = None) -> DataFrame:
+    none = lambda t: F.lit(None).cast(t)
+    first, last = (F.col(f"`{n}`").cast("int") for n in nodes) if nodes else (none("int"), none("int"))
+    return take(
+        df, group_id=F.col("group_id").cast("string"), read_id=F.col("read_id").cast("int"), name="name", seq="seq", qual="qual",
+        weights=checked_weights(weights, "seq") if weights else none("array<int>"), first_node=first, last_node=last,
+    )
 
 
 _STATE = pa.schema([("group_id", pa.string()), ("n_seq", pa.int32()), ("state", pa.binary())])
-_COLUMNS = ("read_id", "name", "seq", "qual")
+_COLUMNS = ("read_id", "name", "seq", "qual", "weights", "first_node", "last_node")
 
 
-def add(state: DataFrame | None, reads: DataFrame, params: Params = Params(), partitions: int | None = None) -> DataFrame:
-    """(group_id, n_seq, state) after the reads; groups without new reads stay as they are. ``state``: of ``add``, ``from_gfa`` or ``from_aligned``."""
+def add(state: DataFrame | None, reads: DataFrame, params: Params = Params(), partitions: int | None = None, weights: str | None = None, nodes: tuple[str, str] | None = None) -> DataFrame:
+    """(group_id, n_seq, state) after the reads; groups without new reads stay as they are.
+
+    ``state``: of ``add``, ``from_gfa`` or ``from_aligned``. ``weights``: as in
+    ``poa``. ``nodes``: columns with the first and last node a read belongs to; it
+    is aligned to the closed part of the graph around them only. Reads without
+    both go to the whole graph.
+    """
+    params = params.with_(use_quality=True) if weights else params
 
     def run(batches):
         names: deque = deque()
@@ -87,9 +101,9 @@ def add(state: DataFrame | None, reads: DataFrame, params: Params = Params(), pa
         done = ((names.popleft(), graph, kept) for graph, kept in _grow(states(), params))
         yield from tables(({"group_id": n, "n_seq": g.n_seq, "state": pack(g, r)} for n, g, r in done), _STATE)
 
-    rows = _reads(reads).withColumns({"state": F.lit(None).cast("binary"), "is_new": F.lit(True)})
+    rows = _reads(reads, weights, nodes).withColumns({"state": F.lit(None).cast("binary"), "is_new": F.lit(True)})
     if state is not None:
-        none = {c: F.lit(None).cast(t) for c, t in (("read_id", "int"), ("name", "string"), ("seq", "string"), ("qual", "string"))}
+        none = {c: F.lit(None).cast(t) for c, t in rows.dtypes if c in _COLUMNS}
         rows = rows.unionByName(state.select("group_id", *[v.alias(k) for k, v in none.items()], "state", F.lit(False).alias("is_new")))
     return grouped(rows, "group_id", "is_new", "read_id", "seq", "name", partitions=partitions).mapInArrow(run, STATE)
 
@@ -139,9 +153,9 @@ def consensus_stream(reads: DataFrame, params: Params = Params()) -> DataFrame:
     from braidwork.kernels.consensus import call
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = sorted((r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")), key=lambda r: (r["read_id"] is not None, r["read_id"] or 0))
+        rows = sorted((dict.fromkeys(_COLUMNS) | r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")), key=lambda r: (r["read_id"] is not None, r["read_id"] or 0))
         graph, kept = next(_grow([(bytes(state.get[0]) if state.exists else None, {k: [r[k] for r in rows] for k in _COLUMNS})], params))
         state.update((pack(graph, kept),))
         yield pd.DataFrame([(key[0], graph.n_seq, i, params.decode(c.bases), "".join(map(chr, c.quality))) for i, c in enumerate(call(graph, params), 1)], columns=["group_id", "n_seq", "cons_id", "seq", "qual"])
 
-    return _reads(reads).groupBy("group_id").applyInPandasWithState(update, CALLED, "state binary", "update", GroupStateTimeout.NoTimeout)
+    return _reads(reads).drop("weights", "first_node", "last_node").groupBy("group_id").applyInPandasWithState(update, CALLED, "state binary", "update", GroupStateTimeout.NoTimeout)

@@ -8,7 +8,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork import catalog, catalog_sql
+from braidwork import aligner, catalog, catalog_sql
+from braidwork.aligner import Aligner
 from braidwork.functions import sequences as S
 from braidwork.kernels.params import Params
 from braidwork.operators import audit, columns, poa, reject
@@ -163,7 +164,7 @@ def test_graphs_fold_all_reads(spark, monkeypatch):
     table, seen = catalog._table, set()
     monkeypatch.setattr(catalog, "_table", lambda s, sf, name: seen.add(name) or table(s, sf, name).where("group_id = 'g000000005' and read_id < 2"))
     names = [n for n in catalog.queries() if n.startswith("poa_")]
-    assert len(names) == 24
+    assert len(names) == 25
     for name in names:
         seen.clear()
         catalog.queries()[name](spark, DATA)
@@ -198,6 +199,40 @@ def test_restore_and_weights(spark):
     assert got == {"g": 7, None: 2}
 
 
+def test_aligner(spark, tmp_path):
+    a = Aligner(spark)
+    assert a.msa(["ACGTACGT", "ACGACGT"]).of_one()["cons_seq"] == ["ACGTACGT"]
+    for bad in (lambda: a.add(["A"]), lambda: a.output(), lambda: a.msa(["A"], quals=["I", "I"]), lambda: a.restore()):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(TypeError):
+        a.align("ACGT")
+    got = a.align(["ACGTACGT", "ACGACGT"]).add(["ACGTACGT"]).output().of_one()
+    assert (got["n_seq"], got["cons_seq"], [x.replace("-", "") for x in got["msa_seq"]]) == (3, ["ACGTACGT"], ["ACGTACGT", "ACGACGT", "ACGTACGT", "ACGTACGT"])
+    assert a.msa(["ACGT", "ACGT", "ACGA"], quals=[[1] * 4, [1] * 4, [9] * 4]).of_one()["cons_seq"] == ["ACGA"]
+    df = spark.createDataFrame(READS, SCHEMA)
+    result = a.msa(df)
+    starts = {0: ">Consensus_sequence", 1: ">a", 2: ">a", 3: "H\tVN:Z:1.0", 4: "H\tVN:Z:1.0", 5: "@Consensus_sequence"}
+    for mode, start in starts.items():
+        result.write(str(tmp_path / str(mode)), mode)
+        lines = [x.value for x in spark.read.text(str(tmp_path / str(mode) / "group_id=g")).collect()]
+        assert lines[0].startswith(start) and (lines[-1].startswith("P\tConsensus_sequence") if mode == 4 else True)
+    with pytest.raises(ValueError):
+        result.lines(6)
+    again = Aligner(spark).restore(rows=result.rows.where("group_id = 'g'")).add(df.where("group_id = 'g' and read_id = 1")).output()
+    assert again.frame.first().n_seq == 4
+    report = aligner.run(df, 2, str(tmp_path / "run"))
+    assert report["reads"] == 6 and report["seconds"] > 0 and report["peak_gb"] > 0
+
+
+def test_parts_of_graphs(spark):
+    df = spark.createDataFrame([("g", 0, None, "ACGTACGTAC", None, None, None), ("g", 1, None, "GTTC", None, 4, 7)], SCHEMA + ", a int, b int")
+    rows = poa.part(incremental.finish(incremental.add(None, df, nodes=("a", "b"))), "msa").orderBy("read_id").collect()
+    assert [r.aligned.replace("-", "") for r in rows] == ["ACGTACGTAC", "GTTC"]
+    with pytest.raises(Exception, match="no part of the graph"):
+        incremental.add(None, df.withColumn("b", F.lit(99)), nodes=("a", "b")).collect()
+
+
 def test_groups_over_batches():
     import pyarrow as pa
 
