@@ -222,13 +222,14 @@ def read_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def farthest_pair(spark: SparkSession, sf: str) -> DataFrame:
-    return columns.farthest(columns.distances(_rows(spark, sf)))
+    rows = _rows(spark, sf)
+    return columns.farthest(rows, columns.distances(rows))
 
 
 def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _rows(spark, sf)
     d = written(columns.distances(rows), "distances")  # read three times
-    return rows, d, columns.assign(rows, d, columns.farthest(d))
+    return rows, d, columns.assign(rows, d, columns.farthest(rows, d))
 
 
 @query

@@ -142,26 +142,42 @@ at_site as (
 ), distances as (
   select a.group_id, a.read_id as i, b.read_id as j, cast(sum(a.weight) as bigint) as dis
   from at_site a join at_site b on a.group_id = b.group_id and a.site = b.site and a.read_id < b.read_id and a.base <> b.base group by 1, 2, 3
-), far as (select group_id, i, j, dis from (select *, row_number() over (partition by group_id order by dis desc, i, j) as nth from distances) where nth = 1),
-both_ as (select group_id, i as a, j as b, dis from distances union all select group_id, j, i, dis from distances),
-assigned as (
-  select r.group_id, r.read_id, case when coalesce(y.dis, 0) < coalesce(x.dis, 0) then 1 else 0 end as cluster
+), both_ as (select group_id, i as a, j as b, dis from distances union all select group_id, j, i, dis from distances),
+top_ as (
+  select a.group_id, c.read_id, a.nth from (
+    select a.group_id, a.col, a.base, row_number() over (partition by a.group_id order by a.first_read) as nth from alleles a join (
+      select *, row_number() over (partition by group_id order by count desc, depth desc, var_type, site) as priority from profiles
+    ) p on p.group_id = a.group_id and p.site = a.col and priority = 1
+  ) a join allcells c on c.group_id = a.group_id and c.col = a.col and c.base = a.base
+), far as (
+  select group_id, i, j, dis from (
+    select x.group_id, x.read_id as i, y.read_id as j, d.dis, row_number() over (partition by x.group_id order by d.dis desc, x.nth, y.nth, x.read_id, y.read_id) as nth
+    from top_ x join top_ y on x.group_id = y.group_id and x.nth < y.nth join both_ d on d.group_id = x.group_id and d.a = x.read_id and d.b = y.read_id
+  ) where nth = 1
+), reached as (
+  select r.group_id, r.read_id, coalesce(x.dis, 0) as di, coalesce(y.dis, 0) as dj, row_number() over (partition by r.group_id order by r.read_id) as nth
   from rows_ r join far using (group_id) left join both_ x on x.group_id = r.group_id and x.a = r.read_id and x.b = far.i
   left join both_ y on y.group_id = r.group_id and y.a = r.read_id and y.b = far.j
+), walk as (
+  select group_id, 0 as nth, 0 as zeros, 0 as ones, cast(null as integer) as read_id, cast(null as integer) as cluster from far
+  union all select group_id, nth, zeros + 1 - to_, ones + to_, read_id, to_ from (
+    select r.group_id, cast(r.nth as integer) as nth, w.zeros, w.ones, r.read_id, case when di < dj then 0 when dj < di then 1 when w.zeros < w.ones then 0 else 1 end as to_
+    from walk w join reached r on r.group_id = w.group_id and r.nth = w.nth + 1)
+), assigned as (select group_id, read_id, cluster from walk where nth > 0
 ), inner_ as (
   select a.group_id, a.cluster, a.read_id, coalesce(sum(case when b.read_id is not null then d.dis end), 0) as total
   from assigned a left join both_ d on d.group_id = a.group_id and d.a = a.read_id
   left join assigned b on b.group_id = a.group_id and b.read_id = d.b and b.cluster = a.cluster group by 1, 2, 3
 )
 """
-ORACLE["het_sites"] = f"with {_ROWS}, {_SITES} select group_id, cast(col as integer) as col, depth, var_type, alleles from sites"
-ORACLE["het_profiles"] = f"with {_ROWS}, {_SITES} select group_id, cast(site as integer) as site, count, depth, var_type from profiles"
-ORACLE["het_priority"] = f"with {_ROWS}, {_SITES} select group_id, cast(site as integer) as site, count, depth, var_type, row_number() over (partition by group_id order by count desc, depth desc, var_type, site) as priority from profiles"
-ORACLE["read_distances"] = f"with {_ROWS}, {_SITES} select * from distances"
-ORACLE["farthest_pair"] = f"with {_ROWS}, {_SITES} select * from far"
-ORACLE["cluster_assignment"] = f"with {_ROWS}, {_SITES} select * from assigned"
-ORACLE["cluster_medoids"] = f"with {_ROWS}, {_SITES} select group_id, cluster, read_id as medoid, cast(total as bigint) as total from (select *, row_number() over (partition by group_id, cluster order by total, read_id) as nth from inner_) where nth = 1"
-ORACLE["cluster_cover"] = f"with {_ROWS}, {_SITES}, {_STEPS} select s.group_id, cluster, from_node as node, count(*) as cov from steps s join assigned a on s.group_id = a.group_id and s.read_id = a.read_id where from_node <> 'S' group by all"
+ORACLE["het_sites"] = f"with recursive {_ROWS}, {_SITES} select group_id, cast(col as integer) as col, depth, var_type, alleles from sites"
+ORACLE["het_profiles"] = f"with recursive {_ROWS}, {_SITES} select group_id, cast(site as integer) as site, count, depth, var_type from profiles"
+ORACLE["het_priority"] = f"with recursive {_ROWS}, {_SITES} select group_id, cast(site as integer) as site, count, depth, var_type, row_number() over (partition by group_id order by count desc, depth desc, var_type, site) as priority from profiles"
+ORACLE["read_distances"] = f"with recursive {_ROWS}, {_SITES} select * from distances"
+ORACLE["farthest_pair"] = f"with recursive {_ROWS}, {_SITES} select * from far"
+ORACLE["cluster_assignment"] = f"with recursive {_ROWS}, {_SITES} select * from assigned"
+ORACLE["cluster_medoids"] = f"with recursive {_ROWS}, {_SITES} select group_id, cluster, read_id as medoid, cast(total as bigint) as total from (select *, row_number() over (partition by group_id, cluster order by total, read_id) as nth from inner_) where nth = 1"
+ORACLE["cluster_cover"] = f"with recursive {_ROWS}, {_SITES}, {_STEPS} select s.group_id, cluster, from_node as node, count(*) as cov from steps s join assigned a on s.group_id = a.group_id and s.read_id = a.read_id where from_node <> 'S' group by all"
 ORACLE["aligned_rows"] = f"with {_ROWS} select group_id, read_id, aligned from rows_"
 _GFA_NODE = "cast(dense_rank() over (partition by group_id order by col, base) as varchar)"
 ORACLE["gfa_segments_of_rows"] = f"with {_ROWS} select group_id, concat('S', chr(9), {_GFA_NODE}, chr(9), base) as line from (select distinct group_id, col, base from cells)"

@@ -1,17 +1,22 @@
 """Relational analysis of aligned rows: depths, votes, edges, variable sites, distances and clusters.
 
 Input is one row a read: (group_id, read_id, aligned), ``-`` for gaps, rows of
-a group of one length. All of it is joins and aggregations on (group, column)
-or (group, site), with partial aggregation; pairs of reads are formed within a
-group and site only.
+a group of one length, read_id unique in its group. Letters are exploded once
+and aggregated to (group, column, letter) with their reads; a gap's reads are
+those of the group that have no letter there, so gaps and padding are never
+rows. What has reads in pairs (distances) or in their order (assignment) is
+computed group by group on the few variable sites.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions import sequences as S
+from braidwork.plans.grouping import each_group, grouped
 
 GAP = "-"
 
@@ -43,7 +48,7 @@ def group_sizes(rows: DataFrame) -> DataFrame:
 
 def votes(rows: DataFrame) -> DataFrame:
     """(group_id, col, base, cov, n): the most frequent known letter of a column, where gaps are not more frequent."""
-    known = depth(rows).where(F.col("base").isin("A", "C", "G", "T"))
+    known = cells(rows).where(F.col("base").isin("A", "C", "G", "T")).groupBy("group_id", "col", "base").agg(F.count("*").alias("depth"))
     best = known.groupBy("group_id", "col").agg(F.max_by("base", F.struct("depth", -F.ascii("base"))).alias("base"), F.max("depth").alias("cov"), F.sum("depth").alias("total"))
     out = best.join(group_sizes(rows), "group_id")
     return out.where(F.col("cov") >= F.col("n") - F.col("total")).select("group_id", "col", "base", "cov", "n")
@@ -96,30 +101,44 @@ def _least(n: Column, freq: float) -> Column:
     return F.greatest(F.lit(2), F.floor(least / 2))
 
 
-def alleles(rows: DataFrame, freq: float = 0.25) -> DataFrame:
-    """(group_id, col, base, depth, first_read) of letters and gaps that enough reads have and enough lack, where a column has two."""
-    d = depth(rows).join(group_sizes(rows), "group_id")
-    least = _least(F.col("n"), freq)
-    kept = d.where((F.col("depth") >= least) & (F.col("depth") <= F.col("n") - least))
-    two = kept.groupBy("group_id", "col").agg(F.count("*").alias("k")).where("k >= 2").select("group_id", "col")
-    return kept.join(two, ["group_id", "col"]).select("group_id", "col", "base", "depth", "first_read")
+def site_table(rows: DataFrame, freq: float = 0.25) -> DataFrame:
+    """(group_id, col, alleles): columns with two or more alleles that enough reads have and enough lack.
+
+    alleles: (first_read, base, depth, reads) of those, by their first read.
+    """
+    letters = cells(rows).groupBy("group_id", "col", "base").agg(F.count("*").alias("depth"), F.min("read_id").alias("first_read"), F.collect_list("read_id").alias("reads"))
+    per = letters.groupBy("group_id", "col").agg(F.collect_list(F.struct("first_read", "base", "depth", "reads")).alias("x"), F.sum("depth").alias("total"))
+    n, least = F.col("n"), _least(F.col("n"), freq)
+    enough = lambda d: (d >= least) & (d <= n - least)
+    groups = rows.groupBy("group_id").agg(F.count("*").alias("n"), F.collect_list("read_id").alias("everyone"))
+    per = per.join(groups, "group_id").where(F.size(F.filter("x", lambda a: enough(a.depth))) + enough(n - F.col("total")).cast("int") >= 2)
+    known = F.filter(F.transform("x", lambda a: a.withField("reads", F.sort_array(a.reads))), lambda a: enough(a.depth))
+    gap_reads = F.sort_array(F.array_except("everyone", F.flatten(F.transform("x", lambda a: a.reads))))
+    gap = F.struct(gap_reads[0].alias("first_read"), F.lit(GAP).alias("base"), (n - F.col("total")).alias("depth"), gap_reads.alias("reads"))
+    return per.select("group_id", "col", F.sort_array(F.when(enough(n - F.col("total")), F.concat(known, F.array(gap))).otherwise(known)).alias("alleles"))
+
+
+def _summary(alleles: str = "alleles") -> tuple[Column, Column]:
+    depth_ = F.aggregate(F.transform(alleles, lambda a: a.depth), F.lit(0).cast("long"), lambda x, d: x + d)
+    return depth_.alias("depth"), F.exists(alleles, lambda a: a.base == GAP).cast("int").alias("var_type")
 
 
 def sites(rows: DataFrame, freq: float = 0.25) -> DataFrame:
     """(group_id, col, depth, var_type, alleles): 0 for letters alone, 1 with a gap; alleles by their first read."""
-    got = alleles(rows, freq).groupBy("group_id", "col").agg(F.sum("depth").alias("depth"), F.max((F.col("base") == GAP).cast("int")).alias("var_type"), F.sort_array(F.collect_list(F.struct("first_read", "base"))).alias("x"))
-    return got.select("group_id", "col", "depth", "var_type", F.array_join(F.transform("x", lambda s: s.base), "").alias("alleles"))
+    return site_table(rows, freq).select("group_id", "col", *_summary(), F.array_join(F.transform("alleles", lambda a: a.base), "").alias("alleles"))
+
+
+def _profiles(rows: DataFrame, freq: float) -> DataFrame:
+    """One row a site, with the reads of each allele by its first read, and their letters in the first column."""
+    rows_ = site_table(rows, freq).select("group_id", "col", *_summary(), F.transform("alleles", lambda a: a.reads).alias("reads"), F.transform("alleles", lambda a: a.base).alias("bases"))
+    first = F.min_by(F.struct("depth", "bases"), "col").alias("f")
+    got = rows_.groupBy("group_id", "reads").agg(F.min("col").alias("site"), F.count("*").alias("count"), F.min("var_type").alias("var_type"), first)
+    return got.select("group_id", "site", "count", F.col("f.depth").alias("depth"), "var_type", "reads", F.col("f.bases").alias("bases"))
 
 
 def profiles(rows: DataFrame, freq: float = 0.25) -> DataFrame:
     """(group_id, site, count, depth, var_type): columns that part the reads alike, as one site, named by the first."""
-    kept = alleles(rows, freq)
-    members = all_cells(rows).join(kept.select("group_id", "col", "base", "first_read"), ["group_id", "col", "base"])
-    one = members.groupBy("group_id", "col", "base", "first_read").agg(F.sort_array(F.collect_list("read_id")).alias("r"), F.count("*").alias("depth"))
-    text = F.array_join(F.transform("r", lambda x: x.cast("string")), ",")
-    per = one.groupBy("group_id", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_read", text.alias("t")))), lambda s: s.t), ";").alias("profile"), F.sum("depth").alias("depth"), F.max((F.col("base") == GAP).cast("int")).alias("var_type"))
-    got = per.groupBy("group_id", "profile").agg(F.min("col").alias("site"), F.count("*").alias("count"), F.first("depth").alias("depth"), F.min("var_type").alias("var_type"))
-    return got.select("group_id", "site", "count", "depth", "var_type")
+    return _profiles(rows, freq).select("group_id", "site", "count", "depth", "var_type")
 
 
 def priorities(profile_table: DataFrame) -> DataFrame:
@@ -128,35 +147,79 @@ def priorities(profile_table: DataFrame) -> DataFrame:
     return profile_table.withColumn("priority", F.row_number().over(w).cast("long"))
 
 
+def _weight() -> Column:
+    return F.col("count") * F.when(F.col("var_type") == 0, 2).otherwise(1)
+
+
 def site_alleles(rows: DataFrame, freq: float = 0.25) -> DataFrame:
     """(group_id, site, read_id, base, weight): each read's allele at each site."""
-    p = profiles(rows, freq).select("group_id", F.col("site").alias("col"), (F.col("count") * F.when(F.col("var_type") == 0, 2).otherwise(1)).alias("weight"))
-    kept = alleles(rows, freq).select("group_id", "col", "base").join(p, ["group_id", "col"])
-    return all_cells(rows).join(kept, ["group_id", "col", "base"]).select("group_id", F.col("col").alias("site"), "read_id", "base", "weight")
+    each = _profiles(rows, freq).select("group_id", "site", _weight().alias("weight"), F.explode(F.arrays_zip("bases", "reads")).alias("a"))
+    return each.select("group_id", "site", F.explode("a.reads").alias("read_id"), F.col("a.bases").alias("base"), "weight")
+
+
+_PAIRS = pa.schema([("group_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("dis", pa.int64())])
+
+
+def _pairs(batches):
+    """Distances of a group's reads from its sites, some rows of the matrix at a time."""
+    for name, c in each_group(batches, "group_id"):
+        reads = np.unique(np.concatenate([np.array(r, np.int32) for alleles in c["reads"] for r in alleles]))
+        of = np.full((len(c["site"]), len(reads)), -1, np.int8 if max(map(len, c["reads"])) < 127 else np.int16)
+        for row, alleles in zip(of, c["reads"]):
+            for n, r in enumerate(alleles):
+                row[np.searchsorted(reads, r)] = n
+        step = max(1, (1 << 22) // max(1, len(reads)))
+        for low in range(0, len(reads), step):
+            part = of[:, low : low + step]
+            d = np.zeros((part.shape[1], len(reads)), np.int64)
+            for row, mine, weight in zip(of, part, c["weight"]):
+                d += weight * ((mine[:, None] != row[None, :]) & (mine[:, None] >= 0) & (row[None, :] >= 0))
+            i, j = np.nonzero(np.triu(d, low + 1))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(reads[i + low]), pa.array(reads[j]), pa.array(d[i, j])], schema=_PAIRS)
 
 
 def distances(rows: DataFrame, freq: float = 0.25) -> DataFrame:
     """(group_id, i, j, dis), i < j, of reads that differ at a site; all others are at 0."""
-    at = site_alleles(rows, freq)
-    a, b = (at.select("group_id", "site", F.col("read_id").alias(x), F.col("base").alias("b" + x), *(["weight"] if x == "i" else [])) for x in "ij")
-    differ = a.join(b, ["group_id", "site"]).where((F.col("i") < F.col("j")) & (F.col("bi") != F.col("bj")))
-    return differ.groupBy("group_id", "i", "j").agg(F.sum("weight").alias("dis"))
+    table = _profiles(rows, freq).select("group_id", "site", _weight().alias("weight"), "reads")
+    return grouped(table, "group_id", "site").mapInArrow(_pairs, "group_id string, i int, j int, dis long")
+
 
+def farthest(rows: DataFrame, distance_table: DataFrame, freq: float = 0.25) -> DataFrame:
+    """(group_id, i, j, dis): of the reads with different alleles at the group's first site by priority the two farthest apart.
 
-def farthest(distance_table: DataFrame) -> DataFrame:
-    """(group_id, i, j, dis): the two reads farthest apart, the first of equals."""
-    best = distance_table.groupBy("group_id").agg(F.max_by(F.struct("i", "j", "dis"), F.struct("dis", -F.col("i"), -F.col("j"))).alias("x"))
-    return best.select("group_id", "x.*")
+    Of equals the first by alleles, then by reads; i has the allele that comes first.
+    """
+    best = _profiles(rows, freq).groupBy("group_id").agg(F.max_by("reads", F.struct("count", "depth", -F.col("var_type"), -F.col("site"))).alias("reads"))
+    at = best.select("group_id", F.posexplode("reads").alias("allele", "r")).select("group_id", "allele", F.explode("r").alias("read"))
+    side = lambda x: at.select("group_id", F.col("read").alias(x), F.col("allele").alias("a" + x))
+    met = distance_table.join(side("i"), ["group_id", "i"]).join(side("j"), ["group_id", "j"]).where("ai <> aj")
+    turned = F.when(F.col("ai") < F.col("aj"), F.struct("ai", "aj", "i", "j")).otherwise(F.struct(F.col("aj").alias("ai"), F.col("ai").alias("aj"), F.col("j").alias("i"), F.col("i").alias("j")))
+    got = met.select("group_id", "dis", turned.alias("t")).groupBy("group_id").agg(F.min(F.struct((-F.col("dis")).alias("far"), "t")).alias("x"))
+    return got.select("group_id", F.col("x.t.i").alias("i"), F.col("x.t.j").alias("j"), (-F.col("x.far")).alias("dis"))
+
+
+def _nearer(batches):
+    for name, c in each_group(batches, "group_id"):
+        out, sizes = [], [0, 0]
+        for a, b in zip(c["di"], c["dj"]):
+            out.append(int(b < a) if a != b else int(sizes[0] >= sizes[1]))
+            sizes[out[-1]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(c["read_id"], pa.int32()), pa.array(out, pa.int32())], names=["group_id", "read_id", "cluster"])
 
 
 def assign(rows: DataFrame, distance_table: DataFrame, medoids: DataFrame) -> DataFrame:
-    """(group_id, read_id, cluster): the nearer of the group's two medoids (i: 0, j: 1), 0 of equals."""
+    """(group_id, read_id, cluster): the nearer of the group's two medoids (i: 0, j: 1).
+
+    A tie goes to the cluster that is smaller so far, in the order of reads, and
+    to 1 if both are of one size; so a group's reads are gone through in order.
+    """
     both = distance_table.select("group_id", F.col("i").alias("a"), F.col("j").alias("b"), "dis")
     both = both.unionByName(both.select("group_id", F.col("b").alias("a"), F.col("a").alias("b"), "dis"))
     to = lambda x: both.select("group_id", F.col("a").alias("read_id"), F.col("b").alias(x), F.col("dis").alias("d" + x))
     m = medoids.select("group_id", "i", "j")
     out = rows.select("group_id", "read_id").join(m, "group_id").join(to("i"), ["group_id", "read_id", "i"], "left").join(to("j"), ["group_id", "read_id", "j"], "left").na.fill(0, ["di", "dj"])
-    return out.select("group_id", "read_id", F.when(F.col("dj") < F.col("di"), 1).otherwise(0).alias("cluster"))
+    return grouped(out.select("group_id", "read_id", "di", "dj"), "group_id", "read_id").mapInArrow(_nearer, "group_id string, read_id int, cluster int")
 
 
 def medoids(distance_table: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -140,6 +140,11 @@ def test_columns(spark):
     assert {(r.site, r["count"], r.var_type) for r in columns.profiles(rows).collect()} == {(1, 2, 0)}
     assert {(r.i, r.j, r.dis) for r in columns.distances(rows).collect()} == {(0, 2, 4), (0, 3, 4), (1, 2, 4), (1, 3, 4)}
     assert columns.voted_consensus(rows).first().seq == "ACT"
+    far = columns.farthest(rows, columns.distances(rows))
+    assert [tuple(r) for r in far.collect()] == [("g", 0, 2, 4)]
+    tied = spark.createDataFrame([("g", i, "A" + x) for i, x in enumerate("CCGGNN")], rows.schema)  # the last two are as far from one as from the other
+    d = columns.distances(tied)
+    assert {r.read_id: r.cluster for r in columns.assign(tied, d, columns.farthest(tied, d)).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
     assert columns.rows_of(columns.cells(rows), spark.createDataFrame([("g", 3)], "group_id string, width int")).where("aligned = 'AC-'").count() == 2
 
 
