@@ -11,7 +11,7 @@ from braidwork import catalog_sql
 from braidwork.functions import sequences as S
 from braidwork.kernels.params import Params
 from braidwork.operators import columns, reject, sketch
-from braidwork.plans.lineage import written
+from braidwork.plans.lineage import scratch, written
 from braidwork.sources import fastx, gfa
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,43 @@ def fasta_records(spark: SparkSession, sf: str) -> DataFrame:
     return fastx.parse_fasta(text, "text", "group_id").select("group_id", "name", "seq")
 
 
+@query
+def fastq_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads with a quality for each letter, written as FASTQ files and read again."""
+    sound = reads(spark, sf).where("length(qual) = length(seq)").select("name", "seq", "qual")
+    path = scratch(spark, "fastq")
+    sound.select(F.concat(F.lit("@"), "name", F.lit(" x\n"), "seq", F.lit("\n+\n"), "qual")).write.text(path)
+    return fastx.read_fastq(spark, path).select("name", "comment", "seq", "qual")
+
+
+# A matrix of nucleotide scores that is not symmetric.
+_MATRIX = """
+    A       C       G       T       N
+A   91      -114    -31     -123    0
+C   -114    100     -125    -31     0
+G   -31     -125    100     -114    0
+T   -123    -31     -144    91      0
+N   0       0       0       0       0
+"""
+
+
+@query
+def matrix_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A score matrix written to a file and read again, as rows."""
+    path, p = scratch(spark, "matrix"), Params()
+    spark.createDataFrame([("# scores\n" + _MATRIX,)], "value string").coalesce(1).write.text(path)
+    s = fastx.read_matrix(path, p, spark)
+    rows = [(a, b, int(s[i, j])) for i, a in enumerate(p.letters) for j, b in enumerate(p.letters)]
+    return spark.createDataFrame(rows, "a string, b string, score long")
+
+
+@query
+def amino_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Letters of posts as codes of the 27-letter alphabet."""
+    codes = _table(spark, sf, "documents").where("text <> ''").select("doc_id", S.amino_codes("text").alias("c"))
+    return codes.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter("c", lambda x: x == 26)).cast("long").alias("unknown"))
+
+
 # Expressions ---------------------------------------------------------------------------
 
 
@@ -127,6 +164,11 @@ def minimisers(spark: SparkSession, sf: str) -> DataFrame:
     return _minis(spark, sf).select("group_id", "read_id", "hash", "last")
 
 
+@query
+def minimisers_of_both_strands(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.minimisers(reads(spark, sf), Params(both_strands=True)).select("group_id", "read_id", "hash", "last", F.col("strand").cast("int").alias("strand"))
+
+
 @query
 def shared_minimisers(spark: SparkSession, sf: str) -> DataFrame:
     return sketch.shared(_minis(spark, sf))

@@ -60,6 +60,22 @@ lows as (
   select group_id, read_id, hash, cast(pos + 18 as integer) as last from tops where (n >= 10 and top = hash) or (n < 10 and place = 1)
 )
 """
+_BOTH = _MINIS.replace("known as (select * from words where not contains(word, 'N'))", """known as (
+  select group_id, read_id, pos, least(word, reverse(translate(word, 'ACGT', 'TGCA'))) as word from words where not contains(word, 'N')
+)""")
+ORACLE["minimisers_of_both_strands"] = f"""with {_BOTH}
+select m.group_id, m.read_id, hash, last, cast(s[last - 17 : last + 1] > reverse(translate(s[last - 17 : last + 1], 'ACGT', 'TGCA')) as integer) as strand
+from minis m join plain p on p.group_id = m.group_id and p.read_id = m.read_id"""
+ORACLE["fastq_records"] = f"with {_READS} select name, 'x' as comment, seq, qual from reads where length(qual) = length(seq)"
+ORACLE["matrix_file"] = """
+with m as (select unnest(['A', 'C', 'G', 'T', 'N']) as a, unnest([[91, -114, -31, -123, 0], [-114, 100, -125, -31, 0], [-31, -125, 100, -114, 0], [-123, -31, -144, 91, 0], [0, 0, 0, 0, 0]]) as s)
+select a, unnest(['A', 'C', 'G', 'T', 'N']) as b, cast(unnest(s) as bigint) as score from m"""
+ORACLE["amino_letters"] = """
+with c as (
+  select doc_id, list_transform(string_split(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ''),
+    lambda x: case when x <> '' and instr('ACGTNBDEFHIJKLMOPQRSUVWXYZ', x) > 0 then instr('ACGTNBDEFHIJKLMOPQRSUVWXYZ', x) - 1 else 26 end) as c
+  from documents where text <> ''
+) select doc_id, len(c) as n, cast(list_sum(c) as bigint) as total, len(list_filter(c, lambda x: x = 26)) as unknown from c"""
 ORACLE["minimisers"] = f"with {_MINIS} select * from minis"
 _PAIRS = """
 counts as (select group_id, hash, read_id, count(*) as n from minis group by group_id, hash, read_id),

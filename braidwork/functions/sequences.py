@@ -30,7 +30,7 @@ def decode(codes: str | Column) -> Column:
 def amino_codes(seq: str | Column) -> Column:
     """Letters to an array of codes in the 27-letter alphabet; unknown letters are 26."""
     place = F.create_map(*[F.lit(x) for i, a in enumerate(AMINO[:-1]) for x in (a, i)])
-    return F.transform(F.split(F.upper(_c(seq)), ""), lambda x: F.coalesce(F.try_element_at(place, x), F.lit(len(AMINO) - 1)))
+    return F.transform(F.split(F.translate(_c(seq), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ""), lambda x: F.coalesce(F.try_element_at(place, x), F.lit(len(AMINO) - 1)))
 
 
 def reverse_complement(seq: str | Column) -> Column:

@@ -43,6 +43,13 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files that are dropped like written tables."""
+    path = f"{_folder(spark).rstrip('/')}/braidwork-{name}-{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
@@ -50,7 +57,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     ``drop_written``, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark).rstrip('/')}/braidwork-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -134,21 +135,28 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("batch_index", known)
 
 
-def read_matrix(path: str, params: Params) -> np.ndarray:
-    """A score matrix file: ``#`` comments, a line of column letters, then a letter and its scores a line.
+def parse_matrix(lines: Iterable[str], params: Params) -> np.ndarray:
+    """A score matrix: ``#`` comments, a line of column letters, then a letter and its scores a line.
 
     A row labelled ``*`` is read as such, and its first score keeps its sign.
     """
     out, columns = np.zeros((params.m, params.m), np.int32), None
     code = lambda c: int(params.encode(c)[0])
-    with open(path) as f:
-        for line in f:
-            if not line.strip() or line.startswith("#"):
-                continue
-            fields = line.split()
-            if columns is None:
-                columns = [code(c) for c in fields]
-                continue
-            for column, score in zip(columns, fields[1:]):
-                out[code(fields[0]), column] = int(score)
+    for line in lines:
+        fields = line.split()
+        if not fields or fields[0].startswith("#"):
+            continue
+        if columns is None:
+            columns = [code(c) for c in fields]
+            continue
+        for column, score in zip(columns, fields[1:]):
+            out[code(fields[0]), column] = int(score)
     return out
+
+
+def read_matrix(path: str, params: Params, spark: SparkSession | None = None) -> np.ndarray:
+    """The matrix of a file; with ``spark`` from any file system it reads. A matrix has a line for each letter."""
+    if spark is not None:
+        return parse_matrix(spark.read.text(path, wholetext=True).first().value.split("\n"), params)
+    with open(path) as f:
+        return parse_matrix(f, params)
