@@ -5,7 +5,10 @@ records) under a prefix, and a leaf that grows beyond ``burst`` terms splits by
 its next letter. A task's leaves are written as packed rows. The routing table
 is the set of prefixes at which some task's trie burst, cut at ROUTE_DEPTH
 letters, so it holds at most 4**ROUTE_DEPTH entries however large the corpus;
-each leaf is split along it, and matching subtrees of all tasks are merged.
+each leaf is split along it, and matching subtrees of all tasks are merged. A
+trie of more than HELD terms is written and a new one begun; a prefix that holds
+more than MERGED terms is routed by further letters. So memory is bounded
+whatever the number of distinct terms.
 
 Tasks hand over at most one entry a distinct term, so a term that makes up a
 third of all letters costs no more than any other.
@@ -27,6 +30,8 @@ from braidwork.plans.columns import take
 from braidwork.plans.lineage import written
 
 ROUTE_DEPTH = 7
+HELD = 4_000_000  # terms in a task's trie, above which it is written and a new one begun
+MERGED = 2_000_000  # terms merged in one group, about
 _PIECE = 2_000_000
 
 
@@ -140,26 +145,30 @@ def _grow(k: int, burst: int):
                 else:
                     held = term
                 trie.add(term, occ, rec)
+                if sum(len(x[0]) for x in trie.leaves.values()) > HELD:
+                    yield _rows([_pack(_spell(p, d), x, 0) for (d, p), x in sorted(trie.leaves.items()) if len(x[0])])
+                    trie = BurstTrie(k, burst)
         out = [_pack(_spell(p, d), held, 0) for (d, p), held in sorted(trie.leaves.items()) if len(held[0])]
         yield _rows([*out, _pack("", (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), rows)])
 
     return batches
 
 
-def _route(k: int, inner: frozenset[str]):
-    """Splits leaves along the prefixes at which some trie burst."""
+def _route(k: int, inner: frozenset[str], more: dict[str, int]):
+    """Splits leaves along the prefixes at which some trie burst, and by so many more letters where these hold much."""
 
-    def split(prefix: str, held: tuple, out: list) -> None:
-        if prefix[:ROUTE_DEPTH] != prefix:
+    def split(prefix: str, held: tuple, out: list, left: int = -1) -> None:
+        if left < 0:
             prefix = prefix[:ROUTE_DEPTH]
-        if prefix not in inner:
+            left = more.get(prefix, 0) if prefix not in inner else -1
+        if left == 0:
             out.append(_pack(prefix, held, 0))
             return
         depth = len(prefix) + 1
         cuts = np.searchsorted(held[0], np.array([_code(prefix + c) << 2 * (k - depth) for c in "ACGT"], np.uint64))
         for c, a, b in zip("ACGT", cuts, [*cuts[1:], len(held[0])]):
             if a < b:
-                split(prefix + c, tuple(x[a:b] for x in held), out)
+                split(prefix + c, tuple(x[a:b] for x in held), out, left - 1 if left > 0 else -1)
 
     def batches(it):
         for batch in it:
@@ -172,6 +181,19 @@ def _route(k: int, inner: frozenset[str]):
     return batches
 
 
+def _deeper(cut: dict[str, int], k: int) -> dict[str, int]:
+    """For each prefix that may hold more than MERGED terms, how many more letters part them; its leaves may be handed over under shorter prefixes too."""
+    out = {}
+    for prefix in cut:
+        n = cut[prefix] + sum(cut.get(prefix[:i], 0) for i in range(len(prefix)))
+        letters = 0
+        while n > MERGED << 2 * letters and len(prefix) + letters < k:
+            letters += 1
+        if letters:
+            out[prefix] = letters
+    return out
+
+
 def _join(k: int):
     def group(key, table):
         term, occ, rec = _merge([_unpack(x) for x in table.to_pylist()])
@@ -194,9 +216,9 @@ def term_counts(df: DataFrame, seq: str, k: int = 9, rare_per: int = 20_000, com
     leaves = written(take(df, seq=seq).mapInArrow(_grow(k, burst), _LEAF), "terms")
     n = leaves.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     # At most 4**ROUTE_DEPTH prefixes come to the driver.
-    cut = [r[0] for r in leaves.where("n > 0").select(F.substring("prefix", 1, ROUTE_DEPTH)).distinct().collect()]
+    cut = {r[0]: r[1] for r in leaves.where("n > 0").groupBy(F.substring("prefix", 1, ROUTE_DEPTH)).agg(F.sum("n")).collect()}
     inner = frozenset(p[:i] for p in cut for i in range(len(p)))
-    routed = leaves.where("n > 0").mapInArrow(_route(k, inner), _LEAF)
+    routed = leaves.where("n > 0").mapInArrow(_route(k, inner, _deeper(cut, k)), _LEAF)
     terms = routed.groupBy("prefix").applyInArrow(_join(k), "term string, occurrences long, records long")
     rare = (F.col("records") == 1) | (F.col("records") * rare_per <= n)
     return terms.withColumn("mark", F.when(rare, "rare").when(F.col("records") * 100 >= n * common_percent, "common"))

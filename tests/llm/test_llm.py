@@ -63,8 +63,19 @@ def test_runs(spark):
     assert runs.collapse_runs(df.limit(0), "read_key", "step_no", runs.residue_event("seq"), "step_id").count() == 0
 
 
-@pytest.mark.parametrize("k, burst", [(9, 16), (4, 2), (12, 4096)])
-def test_terms(spark, k, burst):
+@pytest.mark.parametrize("k, burst, held, merged", [(9, 16, 10**6, 10**6), (4, 2, 40, 1), (12, 4096, 10**6, 10**6), (12, 8, 50, 3), (20, 8, 50, 3)])
+def test_terms(spark, monkeypatch, k, burst, held, merged):
+    monkeypatch.setattr(terms, "MERGED", merged)
+    grow = terms._grow
+
+    def short(*args):  # the limit a worker sees
+        def batches(it):
+            terms.HELD = held
+            yield from grow(*args)(it)
+
+        return batches
+
+    monkeypatch.setattr(terms, "_grow", short)
     seqs = [dna(60), None, "", "ACGTNACGTACGTAC", "a" * 40, *[dna(30, "AC") for _ in range(20)]] * 2
     df = spark.createDataFrame([(s,) for s in seqs], "seq string").withColumn("prefix", F.lit(1)).repartition(3)
     occ, rec = collections.Counter(), collections.Counter()
