@@ -6,13 +6,14 @@ import base64
 import os
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FOLDER = os.environ.get("TOKENIZERS", "/opt/tokenizers")
-_PIECE = 100_000  # letters encoded at once; longer texts are counted in pieces that end at white space
+_PIECE = 100_000  # letters encoded at once, about
 
 
 def _encoder(path: str):
@@ -25,22 +26,20 @@ def _encoder(path: str):
 
 def _count(path: str):
     def batches(it):
-        encoder = _encoder(path)
+        encoder, pattern = _encoder(path), regex.compile(PATTERN)
 
         def size(text: str | None) -> int:
             if not text:
                 return 0
             if len(text) <= _PIECE:
                 return len(encoder.encode_ordinary(text))
+            # in pieces that end where a match of the pattern ends, so that the tokens are those of the whole
             n = at = 0
-            while at < len(text):
-                to = min(len(text), at + _PIECE)
-                if to < len(text):  # a letter after a space opens a new word for the pattern
-                    cut = max(text.rfind(" ", at + 1, to), at)
-                    to = cut if cut > at else to
-                n += len(encoder.encode_ordinary(text[at:to]))
-                at = to
-            return n
+            for m in pattern.finditer(text):
+                if m.end() - at >= _PIECE:
+                    n += len(encoder.encode_ordinary(text[at : m.end()]))
+                    at = m.end()
+            return n + len(encoder.encode_ordinary(text[at:]))
 
         for batch in it:
             kept = [i for i, c in enumerate(batch.schema.names) if c not in ("text", "tokens")]

@@ -365,7 +365,7 @@ def test_filter_words_examples(spark):
 
 
 def test_token_sizes(spark):
-    text = [None, "", "hello world", "word " * 30_000, "x" * 1000]
+    text = [None, "", "hello world", "word " * 30_000, "x" * 1000, "".join(rng.choice(["ab ", "  ", "\n\n", "é", "12", "?!", " x"]) for _ in range(120_000)), "(" * 150_000 + "y" * 300]
     got = {r.i: r.tokens for r in tokens.token_sizes(spark.createDataFrame(list(enumerate(text)), "i int, text string").withColumn("tokens", F.lit("x"))).collect()}
     enc = tokens._encoder(f"{tokens.FOLDER}/{tokens.TOKENIZER}")
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(text)}
