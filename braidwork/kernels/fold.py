@@ -36,7 +36,7 @@ def weights_of(qual: str | list[int] | None, n: int, use_quality: bool) -> np.nd
     return np.frombuffer(qual.encode("latin-1", "replace"), np.uint8).astype(np.int64) - 32
 
 
-LANES = 48  # groups folded side by side
+LANES = 32  # groups folded side by side
 CELLS = 5_000_000  # kept at a time in one round, about
 
 Reads = list[tuple[str, "str | Weights | None"]]
