@@ -119,7 +119,7 @@ def collapse_runs(df: DataFrame, entity: str, order: str, event: str | Column, t
         (F.col(f"`{dwell}`").cast("long") if dwell else F.lit(None).cast("long")).alias("dwell"),
     ).where("entity is not null and step is not null")
     # The first of the rows delivered again; partial aggregation runs before the shuffle.
-    once = rows.groupBy("entity", "step").agg(*[F.min_by(c, "tie").alias(c) for c in ("event", "at", "dwell")])
+    once = rows.groupBy("entity", "step").agg(F.min(F.struct("tie", "event", "at", "dwell")).alias("x")).select("entity", "step", "x.event", "x.at", "x.dwell")
     strings = once.groupBy("entity", F.shiftright(F.col("step") + _HALF, BLOCK_BITS).alias("block")).agg(F.sort_array(F.collect_list(F.struct("step", "event", "at", "dwell"))).alias("events"))
     found = strings.mapInArrow(_matcher(min_run), _PIECES.format(dict(rows.dtypes)["entity"]))
     # Pieces at an edge meet in one group an entity; the others keep their block's.
