@@ -10,6 +10,8 @@ computed group by group on the few variable sites.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -199,12 +201,18 @@ def farthest(rows: DataFrame, distance_table: DataFrame, freq: float = 0.25) ->
     return got.select("group_id", F.col("x.t.i").alias("i"), F.col("x.t.j").alias("j"), (-F.col("x.far")).alias("dis"))
 
 
+def _smaller(di: list, dj: list) -> list[int]:
+    """The nearer of two for each read; of equals the cluster that is smaller so far, else the second."""
+    out, sizes = [], [0, 0]
+    for a, b in zip(di, dj):
+        out.append(int(b < a) if a != b else int(sizes[0] >= sizes[1]))
+        sizes[out[-1]] += 1
+    return out
+
+
 def _nearer(batches):
     for name, c in each_group(batches, "group_id"):
-        out, sizes = [], [0, 0]
-        for a, b in zip(c["di"], c["dj"]):
-            out.append(int(b < a) if a != b else int(sizes[0] >= sizes[1]))
-            sizes[out[-1]] += 1
+        out = _smaller(c["di"], c["dj"])
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(c["read_id"], pa.int32()), pa.array(out, pa.int32())], names=["group_id", "read_id", "cluster"])
 
 
@@ -234,6 +242,134 @@ def medoids(distance_table: DataFrame, clusters: DataFrame) -> DataFrame:
     return best.select("group_id", "cluster", F.col("x.a").alias("medoid"), F.col("x.total").alias("total"))
 
 
+def _letters(aligned: list[str]) -> np.ndarray:
+    """Reads by columns, one code a letter; a row that is shorter than the longest ends in gaps."""
+    wide = max(1, max(map(len, aligned)))
+    if all(map(str.isascii, aligned)):
+        out = np.array([a.encode() for a in aligned], f"S{wide}").view(np.uint8).reshape(len(aligned), wide)
+    else:
+        out = np.array(aligned, f"U{wide}").view(np.uint32).reshape(len(aligned), wide)
+    out[out == 0] = ord(GAP)
+    return out
+
+
+def _labels(m: np.ndarray, freq: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sites of ``profiles`` of one group: each read's allele at each (or -1), their weights, and the first by priority."""
+    n = len(m)
+    least = max(2, max(2, math.ceil(n * freq)) // 2)
+    kinds = np.unique(m)
+    depth = np.array([(m == x).sum(0) for x in kinds])
+    kept = (depth >= least) & (depth <= n - least)
+    at = np.flatnonzero(kept.sum(0) >= 2)
+    if not len(at):
+        return np.zeros((n, 0), np.int8), np.zeros(0), -1
+    m, depth, kept = m[:, at], depth[:, at], kept[:, at]
+    first = np.array([np.where(k, (m == x).argmax(0), n) for x, k in zip(kinds, kept)])
+    nth = first.argsort(0, kind="stable").argsort(0, kind="stable")  # place of each allele by its first read
+    of = np.full(m.shape, -1, np.int8 if len(kinds) < 128 else np.int32)
+    for x, k, place in zip(kinds, kept, nth.astype(of.dtype)):
+        np.copyto(of, place, where=(m == x) & k)
+    gap = np.zeros(len(at), bool) if ord(GAP) not in kinds else kept[np.searchsorted(kinds, ord(GAP))]
+    rows = np.ascontiguousarray(of.T)
+    _, site, profile, count = np.unique(rows.view(np.dtype((np.void, n * rows.itemsize))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+    only_gaps = np.bincount(profile.ravel(), ~gap, len(site)) == 0
+    best = int(np.lexsort((site, only_gaps, -np.where(kept, depth, 0).sum(0)[site], -count))[0])
+    return of[:, site], np.where(only_gaps, count, 2 * count).astype(np.float64), best
+
+
+def _apart(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Distances of some reads from others; whole numbers, far below what a float holds exactly."""
+    out = ((x >= 0) * weight) @ (y >= 0).T.astype(np.float64)
+    for a in range(int(x.max(initial=-1)) + 1):
+        out -= ((x == a) * weight) @ (y == a).T.astype(np.float64)
+    return out
+
+
+_PART = 2048  # reads compared with as many at a time
+
+
+def _two(of: np.ndarray, weight: np.ndarray, best: int) -> tuple[int, int]:
+    """The pair of ``farthest``."""
+    parts = [np.flatnonzero(of[:, best] == a) for a in range(int(of[:, best].max()) + 1)]
+    top, pick = -1.0, (0, 0)
+    for nth, mine in enumerate(parts):
+        for other in parts[nth + 1 :]:
+            for low in range(0, len(mine), _PART):
+                x = mine[low : low + _PART]
+                cut = [other[k : k + _PART] for k in range(0, len(other), _PART)]
+                tops, ends = np.full(len(x), -1.0), np.zeros(len(x), np.int64)
+                for y in cut:
+                    d = _apart(of[x], of[y], weight)
+                    j = d.argmax(1)
+                    d = d[np.arange(len(x)), j]
+                    ends[d > tops] = y[j][d > tops]
+                    np.maximum(tops, d, out=tops)
+                i = int(tops.argmax())
+                if tops[i] > top:
+                    top, pick = tops[i], (int(x[i]), int(ends[i]))
+    return pick
+
+
+def _sums(of: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The sum of each read's distances from all."""
+    some, out = (of >= 0).sum(0), np.zeros(len(of))
+    for a in range(int(of.max()) + 1):
+        lacking = weight * (some - (of == a).sum(0))
+        for low in range(0, len(of), _PART):
+            out[low : low + _PART] += (of[low : low + _PART] == a) @ lacking
+    return out
+
+
+def _two_clusters(freq: float, give: str):
+    def run(batches):
+        for name, c in each_group(batches, "group_id"):
+            m, ids = _letters(c["aligned"]), c["read_id"]
+            of, weight, best = _labels(m, freq)
+            if best < 0:
+                continue
+            i, j = _two(of, weight, best)
+            di, dj = np.concatenate([_apart(of[k : k + _PART], of[[i, j]], weight) for k in range(0, len(of), _PART)]).T
+            to = np.array(_smaller(di.tolist(), dj.tolist()), np.int32)
+            if give == "reads":
+                out = [pa.array(ids, pa.int32()), pa.array(to)]
+            else:
+                members = [np.flatnonzero(to == x) for x in (0, 1)]
+                if give == "medoids":
+                    totals = [_sums(of[x], weight) for x in members]
+                    least = [int(t.argmin()) for t in totals]
+                    out = [pa.array([0, 1], pa.int32()), pa.array([ids[x[k]] for x, k in zip(members, least)], pa.int32()), pa.array([int(t[k]) for t, k in zip(totals, least)], pa.int64())]
+                else:
+                    got: tuple[list, list, list] = ([], [], [])
+                    for x, reads in enumerate(members):
+                        mine = m[reads]
+                        for letter in np.unique(mine):
+                            if letter != ord(GAP):
+                                cov = (mine == letter).sum(0)
+                                at = np.flatnonzero(cov)
+                                got[0].append(np.full(len(at), x, np.int32))
+                                got[1].extend([f"{k}{chr(letter)}" for k in at.tolist()])
+                                got[2].append(cov[at])
+                    out = [pa.array(np.concatenate([*got[0], np.zeros(0, np.int32)])), pa.array(got[1], pa.string()), pa.array(np.concatenate([*got[2], np.zeros(0, np.int64)]), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(out[0]), pa.string()), *out], names=["group_id", *(x.split()[0] for x in _GIVEN[give].split(", "))])
+
+    return run
+
+
+#: Columns of each result behind the group.
+_GIVEN = {"reads": "read_id int, cluster int", "medoids": "cluster int, medoid int, total long", "cover": "cluster int, node string, cov long"}
+
+
+def two_clusters(rows: DataFrame, give: str = "reads", freq: float = 0.25) -> DataFrame:
+    """``assign``, ``medoids`` or ``cluster_cover`` (``give``: reads, medoids, cover) of the reads of each group around its two farthest.
+
+    The whole way from rows to clusters in one pass over a group, after one
+    shuffle; no pairs of reads are written. A row that is shorter than the
+    longest of its group ends in gaps.
+    """
+    kept = rows.select("group_id", "read_id", "aligned")
+    return grouped(kept, "group_id", "read_id").mapInArrow(_two_clusters(freq, give), f"group_id string, {_GIVEN[give]}")
+
+
 def rows_of(cell_table: DataFrame, widths: DataFrame) -> DataFrame:
     """(group_id, read_id, aligned) from cells without gaps and (group_id, width)."""
     got = cell_table.groupBy("group_id", "read_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "base"))).alias("m")).join(widths, "group_id")

@@ -148,6 +148,43 @@ def test_columns(spark):
     assert columns.rows_of(columns.cells(rows), spark.createDataFrame([("g", 3)], "group_id string, width int")).where("aligned = 'AC-'").count() == 2
 
 
+def _shuffles_and_joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Join")
+
+
+@pytest.fixture(scope="module")
+def parted(spark):
+    """Groups with ties, gaps, odd letters, rows of unequal length and none at all, with their clusters by joins."""
+    import random
+
+    r = random.Random(3)
+    rows = [("one", 5, "ACGT"), ("alike", 1, "AC"), ("alike", 2, "AC"), ("odd", 0, "Aé"), ("odd", 1, "Aé"), ("odd", 2, "Cß"), ("odd", 4, "Cß")]
+    for g in range(12):
+        kinds = ["".join(r.choice("ACGTN") for _ in range(9)) for _ in range(3)]
+        for i in r.sample(range(50), r.randint(2, 14)):
+            rows.append((f"g{g}", i, "".join(x if r.random() < 0.85 else r.choice("ACGT-") for x in r.choice(kinds))[: r.randint(6, 9)]))
+    short = spark.createDataFrame(rows, "group_id string, read_id int, aligned string")
+    width = collections.Counter()
+    for g, _, a in rows:
+        width[g] = max(width[g], len(a))
+    full = spark.createDataFrame([(g, i, a.ljust(width[g], "-")) for g, i, a in rows], short.schema)
+    d = columns.distances(full).localCheckpoint()
+    return short, full, d, columns.assign(full, d, columns.farthest(full, d)).localCheckpoint()
+
+
+def test_two_clusters_reads(spark, parted, monkeypatch):
+    short, _, _, clusters = parted
+    want = sorted(map(tuple, clusters.collect()))
+    assert len(want) > 40 and sorted(map(tuple, columns.two_clusters(short).collect())) == want
+    batch = [b for b in short.where("group_id = 'g3'").orderBy("read_id").toArrow().to_batches()]
+    monkeypatch.setattr(columns, "_PART", 2)  # parts of reads
+    got = [x for b in columns._two_clusters(0.25, "reads")(batch) for x in b.to_pylist()]
+    assert [tuple(x.values()) for x in got] == [x for x in want if x[0] == "g3"]
+    if os.path.exists(DATA):
+        assert _shuffles_and_joins(catalog.queries()["cluster_assignment"](spark, DATA)) == (2, 0)
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="the test tables are not there")
 @pytest.mark.parametrize("name", ["p4_found", "fasta_records", "quality_weights", "minimisers", "minimiser_jaccard", "most_frequent", "het_profiles", "gfa_path_walk"])
 def test_sql(spark, name):
