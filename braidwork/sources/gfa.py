@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.kernels import jvm
+
 
 def segments(lines: DataFrame, line: str = "line", *keep: str) -> DataFrame:
     """(keep, name, seq, tags) of S lines."""
@@ -29,6 +31,20 @@ def missing(segment_table: DataFrame, steps: DataFrame, *keys: str) -> DataFrame
     return steps.join(segment_table, [*keys, "name"], "left_anti")
 
 
+def spelt(graphs: DataFrame, *keep: str) -> DataFrame:
+    """(keep, read, path, seq) of ``paths`` (read, P line) with the S lines of ``lines``, both lists of one graph a row; ``?`` for a step without a segment.
+
+    ``keep`` names a row. Segments and paths meet in the row, where the JVM can be reached; else by joins.
+    """
+    if jvm.available(graphs.sparkSession):
+        found = jvm.call(graphs, "array<struct<read:int,path:string,seq:string>>", F.col("lines"), F.col("paths"), kernel="Spell")
+        return graphs.select(*keep, F.explode(found).alias("x")).select(*keep, "x.*")
+    ways = graphs.select(*keep, F.posexplode("paths").alias("nth", "x")).select(*keep, "nth", "x.read", "x.line")
+    known = segments(graphs.select(*keep, F.explode("lines").alias("line")), "line", *keep)
+    steps = path_steps(ways, "line", *keep, "nth", "read").join(known, [*keep, "name"], "left").groupBy(*keep, "nth", "read", "path")
+    return steps.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("seq", F.lit("?")).alias("seq")))), lambda x: x.seq), "").alias("seq")).drop("nth")
+
+
 def tag(tags: str, name: str):
     """The value of a ``NAME:TYPE:value`` tag in an array of tags, as text."""
     return F.regexp_extract(F.get(F.filter(tags, lambda x: x.startswith(name + ":")), F.lit(0)), r"^[^:]*:[AifZHB]:(.*)$", 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.kernels import jvm
 from braidwork.kernels.params import Params
 from braidwork.operators import audit, poa
+from braidwork.sources import gfa
 
 SETTINGS = {
     "convex": {}, "linear": {"gap_open": (0, 0)}, "affine": {"gap_open": (4, 0)}, "local": {"mode": "local"}, "local_affine": {"mode": "local", "gap_open": (4, 0)}, "extend": {"mode": "extend", "zdrop": 100},
@@ -59,3 +60,32 @@ def test_counts_where_the_graph_is_made_are_those_of_its_audit(reads, name):
     got = poa.counted(whole, params)
     assert got.schema == wanted.schema or got.dtypes == wanted.dtypes
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.where("group_id is not null").collect() + [r for r in got.collect() if r.group_id is None]))
+
+
+@pytest.mark.parametrize("name", ["convex", "strand", "quality", "frequent", "longest_first"])
+@pytest.mark.parametrize("with_consensus", [True, False])
+def test_lines_made_where_the_graph_is_are_those_of_its_tables(reads, name, with_consensus, monkeypatch):
+    params = Params(**SETTINGS[name])
+    known = reads.where("group_id is not null")
+    rows = poa.gfa_lines(poa.poa(known, params).cache(), with_consensus).orderBy("group_id", "section", "ord").collect()
+    graphs = poa.graph_lines(known, params, with_consensus)
+    assert graphs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    graphs = graphs.cache()
+    made = graphs.select("group_id", F.posexplode(F.concat("lines", "paths.line")).alias("at", "line")).orderBy("group_id", "at").collect()
+    assert [(r.group_id, r.line) for r in made] == [(r.group_id, r.line) for r in rows]
+    reads_of = graphs.select("group_id", F.explode("paths.read").alias("read")).collect()
+    assert sorted(map(str, reads_of)) == sorted(f"Row(group_id={r.group_id!r}, read={r.ord if r.section == 2 else None})" for r in rows if r.section > 1)
+    spelt = gfa.spelt(graphs, "group_id")
+    assert "Join" not in spelt._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, spelt.collect()))
+    assert len(got) == sum(r.section > 1 for r in rows)
+    monkeypatch.setattr(jvm, "available", lambda spark: False)
+    assert got == sorted(map(str, gfa.spelt(graphs, "group_id").collect()))
+    if name == "strand":
+        whole = lambda df: sorted((r.group_id, r.lines, r.paths) for r in df.collect() if r.lines)
+        assert whole(graphs) == whole(poa.graph_lines(known, params, with_consensus))
+
+
+def test_a_step_without_a_segment_is_marked(spark):
+    graphs = spark.createDataFrame([("a", ["S\tx\tAC", "S\ty\tG\tLN:i:1", "H\t"], [(0, "P\tp\tx+,z+,y+\t*"), (None, "P\tq\ty+")])], f"group_id string, {poa.GRAPH_LINES}")
+    assert [tuple(r) for r in gfa.spelt(graphs, "group_id").orderBy("path").collect()] == [("a", 0, "p", "AC?G"), ("a", None, "q", "G")]
