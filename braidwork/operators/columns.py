@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions import sequences as S
+from braidwork.kernels import jvm
 from braidwork.plans.grouping import each_group, grouped
+from braidwork.plans.lineage import written
 
 GAP = "-"
 
@@ -62,6 +64,18 @@ def voted_consensus(rows: DataFrame) -> DataFrame:
     return got.select("group_id", F.array_join(F.transform("x", lambda s: s.base), "").alias("seq"), F.size("x").cast("long").alias("len"))
 
 
+def voted(groups: DataFrame, *keep: str) -> DataFrame:
+    """(group_id, keep, voted): as ``voted_consensus`` of groups with their rows in one list ``msa``, empty without votes; ``keep`` may be any columns.
+
+    A group's rows are counted where they are, where the JVM can be reached; else by ``voted_consensus`` and a join.
+    """
+    if jvm.available(groups.sparkSession):
+        return groups.select("group_id", *keep, jvm.call(groups, "string", F.col("msa.aligned"), F.lit(""), kernel="Vote").alias("voted"))
+    groups = written(groups.withColumn("of", F.to_json(F.struct("group_id"))), "rows")  # no null, for the join
+    called = voted_consensus(groups.select(F.col("of").alias("group_id"), F.explode("msa").alias("x")).select("group_id", "x.*"))
+    return groups.join(called.select(F.col("group_id").alias("of"), F.col("seq").alias("voted")), "of", "left").select("group_id", *keep, F.coalesce("voted", F.lit("")).alias("voted"))
+
+
 def steps(rows: DataFrame) -> DataFrame:
     """(group_id, read_id, from_node, to_node): the edges each read takes; a node is its column and letter."""
     order = Window.partitionBy("group_id", "read_id").orderBy("col")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwork.kernels import jvm
 from braidwork.kernels.params import Params
-from braidwork.operators import audit, poa
+from braidwork.operators import audit, columns, poa
 from braidwork.sources import gfa
 
 SETTINGS = {
@@ -89,3 +89,18 @@ def test_lines_made_where_the_graph_is_are_those_of_its_tables(reads, name, with
 def test_a_step_without_a_segment_is_marked(spark):
     graphs = spark.createDataFrame([("a", ["S\tx\tAC", "S\ty\tG\tLN:i:1", "H\t"], [(0, "P\tp\tx+,z+,y+\t*"), (None, "P\tq\ty+")])], f"group_id string, {poa.GRAPH_LINES}")
     assert [tuple(r) for r in gfa.spelt(graphs, "group_id").orderBy("path").collect()] == [("a", 0, "p", "AC?G"), ("a", None, "q", "G")]
+
+
+@pytest.mark.parametrize("name", ["frequent", "strand"])
+def test_votes_where_the_rows_are_are_those_of_their_cells(reads, name, monkeypatch):
+    result = poa.poa(reads, Params(**SETTINGS[name]), ("msa",)).cache()
+    got = columns.voted(result, "n_seq")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, got.collect()))
+    monkeypatch.setattr(jvm, "available", lambda spark: False)
+    assert got == sorted(map(str, columns.voted(result, "n_seq").collect())) and len(got) == 5
+
+
+def test_columns_of_gaps_and_unknown_letters_have_no_vote(spark):
+    groups = spark.createDataFrame([("a", [(0, "AC-N"), (1, "AG-N"), (2, "-GT-")]), ("b", [])], "group_id string, msa array<struct<read_id:int,aligned:string>>")
+    assert [tuple(r) for r in columns.voted(groups).orderBy("group_id").collect()] == [("a", "AG"), ("b", "")]
