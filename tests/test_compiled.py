@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.kernels import jvm
+from braidwork.kernels.fold import fold
 from braidwork.kernels.params import Params
 from braidwork.operators import audit, columns, poa
 from braidwork.sources import gfa
+from braidwork.streaming import incremental
 
 SETTINGS = {
     "convex": {}, "linear": {"gap_open": (0, 0)}, "affine": {"gap_open": (4, 0)}, "local": {"mode": "local"}, "local_affine": {"mode": "local", "gap_open": (4, 0)}, "extend": {"mode": "extend", "zdrop": 100},
@@ -104,3 +106,38 @@ def test_votes_where_the_rows_are_are_those_of_their_cells(reads, name, monkeypa
 def test_columns_of_gaps_and_unknown_letters_have_no_vote(spark):
     groups = spark.createDataFrame([("a", [(0, "AC-N"), (1, "AG-N"), (2, "-GT-")]), ("b", [])], "group_id string, msa array<struct<read_id:int,aligned:string>>")
     assert [tuple(r) for r in columns.voted(groups).orderBy("group_id").collect()] == [("a", "AG"), ("b", "")]
+
+
+@pytest.mark.parametrize("name", ["convex", "quality", "strand", "longest_first"])
+def test_kept_graphs_are_those_of_the_numpy_kernels(reads, name, monkeypatch):
+    params, key = Params(**SETTINGS[name]), lambda r: (r.group_id is not None, r.group_id or "")
+    first, second = reads.where("read_id % 3 < 2"), reads.where("read_id % 3 = 2")
+
+    def states():
+        one = incremental.add(None, first, params)
+        restored = incremental.from_graph_lines(poa.graph_lines(first.where("group_id is not null"), params), params)
+        return [incremental.add(one, second, params), incremental.add(restored, second, params)]
+
+    made = states()
+    assert not any("MapInArrow" in x._jdf.queryExecution().executedPlan().toString() for x in made)
+    made = [x.cache() for x in made]
+    got = [sorted(incremental.finish(x, params).collect(), key=key) for x in made]
+    assert got[0] == sorted(incremental.add(incremental.add(None, first, params), second, params, parts=poa.PARTS).collect(), key=key)
+    monkeypatch.setattr(jvm, "available", lambda spark: False)
+    assert got == [sorted(incremental.finish(x, params).collect(), key=key) for x in made]  # states are read by either kernel
+    assert got == [sorted(incremental.finish(x, params).collect(), key=key) for x in states()]
+
+
+def test_a_packed_state_is_the_same_graph():
+    params = Params(use_quality=True, max_consensus=2)
+    graph = fold([("ACGTACGT", "IIIIIIII"), ("ACGACGT", None), ("ACTTACGT", "!!!!!!!!")], params).graph
+    reads = [{"read_id": None, "name": "é", "is_rc": True, "score": -3}, {"read_id": 7, "name": None, "is_rc": False, "score": 0}, {"read_id": 0, "name": "", "is_rc": False, "score": 9}]
+    again, kept = incremental.unpack(incremental.pack(graph, reads))
+    assert kept == reads and vars(again) == vars(graph)
+
+
+def test_lines_of_a_graph_that_do_not_fit_are_an_error(spark):
+    for path in ("P\tp\tx+,z+\t*", "P\tp\tx+,x-\t*", "P\tp\t\t*"):
+        graphs = spark.createDataFrame([("a", ["S\tx\tAC"], [(0, path)])], f"group_id string, {poa.GRAPH_LINES}")
+        with pytest.raises(Exception, match="path 'p'"):
+            incremental.from_graph_lines(graphs).collect()
