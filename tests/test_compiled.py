@@ -80,6 +80,33 @@ def test_compiled_seeding_is_that_of_the_numpy_fold(long_reads, name, monkeypatc
     assert got == sorted(poa.poa(long_reads, params).collect(), key=key)
 
 
+def test_loops_over_several_cells_are_those_over_single_cells(spark):
+    one, many = jvm._kernel(spark, "Fold$Loops"), jvm._kernel(spark, "Lanes")
+    assert any(m.getName() == "linear" for m in many.getClass().getDeclaredMethods())
+    rnd, new, kind = random.Random(3), spark._sc._gateway.new_array, spark._jvm.int
+    lanes, none = many.getClass().getField("lanes").getInt(many), -(1 << 28)
+
+    def ints(values):
+        out = new(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    for width in (1, 2, lanes - 1, lanes, lanes + 1, 29, 67):
+        for start, cost, least in ((none, 0, -(1 << 31)), (0, 0, 0), (7, -3, -(1 << 31))):
+            before = ints([none] * lanes + [rnd.choice([none, rnd.randrange(-90, 90)]) for _ in range(width + 3)] + [none] * 3 * lanes)
+            letters = ints([rnd.choice([2, -4, 0]) for _ in range(width + 2 * lanes)])
+            made = []
+            for loops in (one, many):
+                h = ints([0] * (width + 4 * lanes))
+                loops.linear(before, lanes, cost, start, letters, 0, h, lanes, width, 2, least)
+                loops.fence(h, 0, lanes + width, lanes + (width + lanes - 1) // lanes * lanes + lanes)
+                best = loops.most(h, lanes, width)
+                made.append((list(h)[lanes : lanes + width], best, loops.ends(h, lanes, width, best)))
+            cells, best, _ = made[0]
+            assert made[0] == made[1] == (cells, max(cells), cells.index(best) << 32 | width - 1 - cells[::-1].index(best))
+
+
 def test_weights_reach_the_compiled_fold(reads, monkeypatch):
     weighted = reads.withColumn("w", F.when(F.col("read_id") % 2 == 0, F.sequence(F.lit(0), F.greatest(F.length(F.coalesce("seq", F.lit(""))) - 1, F.lit(0)))))
     weighted = weighted.where("seq is not null and seq <> ''")
